@@ -135,7 +135,7 @@ def settle(batches: Iterator[pa.RecordBatch], min_docs: int = 3) -> Iterator[pa.
 
 def pack(drops: np.ndarray) -> bytes:
     """A compressed bitmap of the lines to keep; lines beyond its end are kept."""
-    keep = np.ones(int(drops.max()) + 1, np.uint8)
+    keep = np.ones(int(drops.max()) // 8 * 8 + 8, np.uint8)  # whole bytes, so that padding keeps
     keep[drops] = 0
     return zlib.compress(np.packbits(keep).tobytes())
 
