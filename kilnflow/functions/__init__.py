@@ -1,0 +1 @@
+"""Column patterns and distributed statistics that Spark has no built-in for."""

@@ -1,0 +1 @@
+"""Row-level operators: profiling, quality, preparation, splits, calibration, diagnosis, events, recommendation."""

@@ -1,6 +1,8 @@
-"""All queries of the engine's own operators by name."""
+"""All queries of the engine's own operators by name, each with SQL that computes the same rows in another engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from kilnflow.plans import anomaly, preparation, recommendation
+
+QUERIES: dict = preparation.QUERIES | anomaly.QUERIES | recommendation.QUERIES
+ORACLE_SQL: dict = preparation.ORACLE_SQL | anomaly.ORACLE_SQL | recommendation.ORACLE_SQL

@@ -1,0 +1 @@
+"""Scans with stable row identity, sinks, and the shared folder."""
