@@ -19,9 +19,9 @@ def correlation(x: str, y: str, minimum_scale: float = 1e-12) -> Column:
 
 
 def first_seen_mode(df: DataFrame, value: str, row_id: str) -> DataFrame:
-    """One row: the most frequent non-null value, the one seen first among equals, and its count."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.min(row_id).alias("first_id"))
-    return counts.orderBy(F.desc("n"), F.asc("first_id")).limit(1)
+    """One row: the most frequent non-null value, the one seen first among equals, with its count and first id."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"), F.min(row_id).alias("_first"))
+    return counts.orderBy(F.desc("_n"), F.asc("_first")).limit(1)
 
 
 def is_number(text: Column) -> Column:

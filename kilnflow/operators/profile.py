@@ -67,8 +67,8 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def duplicate_excess(df: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """One row: rows, distinct rows (nulls equal) and the excess, over all columns but ``ignore``."""
     columns = [F.col(f"`{c}`") for c in df.columns if c not in ignore]
-    groups = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct")).withColumn("excess", F.col("n_rows") - F.col("n_distinct"))
+    groups = df.groupBy(*columns).agg(F.count("*").alias("_rows_"))
+    return groups.agg(F.coalesce(F.sum("_rows_"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct")).withColumn("excess", F.col("n_rows") - F.col("n_distinct"))
 
 
 def _weighted(df: DataFrame, severity: Column, issue: Column) -> DataFrame:

@@ -1,0 +1 @@
+"""Scoring of unbounded tables by frozen calibrations."""
