@@ -11,11 +11,13 @@ def remainder(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: tuple[int, int]) -> tuple[list[bytes], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: tuple[int, int]) -> tuple[list[bytes], np.ndarray, float]:
     """Texts and labels (0 or 1) of at most ``per_class[y]`` documents of class y that aren't held out, the same ones in every run.
 
     Labels that are null or neither 0 nor 1 and ids with conflicting labels are
     left out; of repeated rows one is taken. The choice is by a hash of the id.
+    Also returns the log of how much rarer class 1 is, against class 0, among
+    all usable labels than in the sample.
     """
     usable = labels.filter(F.col(label).isin(0, 1) & (remainder(mod) != held_out)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).filter("y = z")
     # A few more ids than needed, for ids without a document.
@@ -31,4 +33,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: i
         if taken[y] < per_class[y]:
             taken[y] += 1
             out.append((bytes(rows[i].text or b""), y))
-    return [t for t, _ in out], np.array([y for _, y in out], np.float32)
+    all_labels = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    rarer = np.log(all_labels[1] / all_labels[0] * taken[0] / taken[1]) if taken[0] and taken[1] else 0.0
+    return [t for t, _ in out], np.array([y for _, y in out], np.float32), float(rarer)

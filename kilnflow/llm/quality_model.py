@@ -157,7 +157,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
     A null doc_id isn't held out. Without labels every score is 0.5.
     """
     spark = docs.sparkSession
-    net = fit(*sample(docs, labels, label, mod, held_out, per_class))
+    net = fit(*sample(docs, labels, label, mod, held_out, per_class)[:2])
     shared = spark.sparkContext.broadcast(net.p)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

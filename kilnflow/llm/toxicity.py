@@ -40,6 +40,9 @@ def buckets(word: bytes) -> list[int]:
 class Model:
     weights: np.ndarray
     bias: float
+    #: Slope and offset of the document's log odds.
+    a: float = 1.0
+    b: float = 0.0
     known: dict[bytes, float] = field(default_factory=dict)
     listed: list[float] = field(init=False)
 
@@ -76,11 +79,29 @@ class Model:
     def probability(self, text: bytes) -> float:
         """Noisy-or: one minus the product of the sentences' complements. A text without words has the chance of one neutral sentence."""
         _, z = self.sentences(text)
-        return noisy_or(z if len(z) else np.array([self.bias]))
+        return self.combined(z if len(z) else np.array([self.bias]))
 
+    def combined(self, z: np.ndarray) -> float:
+        """The document's probability from its sentences' log odds, set to the held-back documents' scale."""
+        return float(1 / (1 + np.exp(-(self.a * log_odds(z) + self.b))))
 
-def noisy_or(z: np.ndarray) -> float:
-    return float(min(1.0, max(0.0, -np.expm1(-np.logaddexp(0, z).sum()))))
+
+def log_odds(z: np.ndarray) -> float:
+    """Of the noisy-or, kept within 15 either way."""
+    total = float(np.logaddexp(0, z).sum())  # minus the log of the complement
+    return float(np.clip(np.log(np.maximum(np.expm1(min(total, 50.0)), 1e-300)), -15, 15))
+
+
+def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit of labels on log odds, by damped Newton steps; the slope stays positive."""
+    a, b = 1.0, 0.0
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g, w = q - y, q * (1 - q) + 1e-6
+        h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
+        step = np.linalg.solve(h, [(g * x).sum() + (a - 1), g.sum()])
+        a, b = max(0.05, a - step[0]), b - step[1]
+    return float(a), float(b)
 
 
 def _bag(text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +119,19 @@ def _bag(text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.nda
     return np.array(bucket, np.int64), np.array(sentence, np.int64)
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.8, decay: float = 1e-4, seed: int = 7) -> Model:
-    """AdaGrad on the noisy-or likelihood of documents. Only features seen in MIN_SEEN documents or more are fitted. Without both classes every score is near that class's."""
+def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.8, decay: float = 1e-4, sparsity: float = 6e-4, seed: int = 7) -> Model:
+    """AdaGrad on the noisy-or likelihood of documents, with weights drawn to zero; every fifth document is held back to scale the result.
+
+    Only features seen in MIN_SEEN documents or more are fitted. Without both
+    classes every score is near that class's.
+    """
     model = Model(np.zeros(BUCKETS), -5.0)
     if len(set(y.tolist())) < 2:
         model.bias = 4.0 if len(y) and y[0] else (-4.0 if len(y) else 0.0)
         return model
+    aside = np.arange(len(y)) % 5 == 4
+    held, held_y = [t for t, x in zip(texts, aside) if x], y[aside]
+    texts, y = [t for t, x in zip(texts, aside) if not x], y[~aside]
     words: dict[bytes, list[int]] = {}
     bags = [_bag(t, words) for t in texts]
     words.clear()
@@ -131,11 +159,17 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64
             touched = np.flatnonzero(all_g)
             g = all_g[touched] + decay * model.weights[touched]
             speed[touched] += g * g
-            model.weights[touched] -= rate * g / np.sqrt(speed[touched])
+            step = rate / np.sqrt(speed[touched])
+            w = model.weights[touched] - step * g
+            model.weights[touched] = np.sign(w) * np.maximum(np.abs(w) - step * sparsity, 0)
             gb = float(dz.sum())
             bias_speed += gb * gb
             model.bias -= 0.5 * rate * gb / bias_speed**0.5
-    return Model(model.weights, model.bias)
+    model = Model(model.weights, model.bias)
+    if len(set(held_y.tolist())) == 2:
+        odds = [log_odds(z if len(z) else np.array([model.bias])) for _, z in map(model.sentences, held)]
+        model.a, model.b = _scale(np.array(odds), held_y)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held_out: int = 2, threshold: float = 0.3, per_class: tuple[int, int] = PER_CLASS) -> DataFrame:
@@ -145,8 +179,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4
     held out; only texts are inputs. Null texts are empty and get a score, too.
     A null doc_id isn't held out. Sentences end with . ! ? or a line feed.
     """
-    model = fit(*sample(docs, labels, label, mod, held_out, per_class))
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # of fixed size
+    texts, y, rarer = sample(docs, labels, label, mod, held_out, per_class)
+    model = fit(texts, y)
+    model.b += rarer
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.a, model.b))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -154,7 +190,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4
             s, worst, worst_score = np.zeros(b.num_rows), [], []
             for i, text in enumerate(b.column(2)):
                 numbers, z = own.sentences(text.as_py() or b"")
-                s[i] = noisy_or(z if len(z) else np.array([own.bias]))
+                s[i] = own.combined(z if len(z) else np.array([own.bias]))
                 k = int(z.argmax()) if len(z) else None
                 worst.append(None if k is None else int(numbers[k]))
                 worst_score.append(None if k is None else float(1 / (1 + np.exp(-np.clip(z[k], -500, 500)))))
