@@ -1,60 +1,17 @@
-"""What the training-data operators share: text columns, the shared folder, tables written to cut lineage."""
+"""What the training-data operators share: words of texts, tables by name; and, from the engine, tables written to cut lineage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kilnflow.sources.shared import cut, shared_dir
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, as one class and as characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir``; where that is unset on a local master, a
-    temporary folder becomes the checkpoint folder. On a cluster without the
-    setting this raises, as a machine-local folder would not be seen by others.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        base = tempfile.mkdtemp(prefix="kilnflow-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, so that lost executors cost no recomputation before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kilnflow-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def release() -> None:
-    """Delete the tables that cut() wrote; runs at the end of the program, as results are lazy until then."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended: the folder's owner clears it
-            continue
-
-
 def partitions(spark: SparkSession) -> int:
     """The configured number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -73,3 +30,6 @@ def n_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "cut", "n_words", "partitions", "shared_dir", "table", "words"]
