@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,28 @@ RADIUS, BLOCKS = 23, 8
 MAX_ITEMS = 200_000
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: ASCII marks that are no word characters become spaces.
+_SPACED = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+#: ASCII, and the bytes of U+00C0 to U+02AF, which are letters but for two.
+_PLAIN = bytes([*range(128), *range(0x80, 0xC0), *range(0xC3, 0xCB)])
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words of letters and digits in lower case; punctuation and white space part them."""
-    return _WORD.findall((text or "").lower())
+def tokens(text: str | None) -> list[bytes]:
+    """Words of letters, digits and underscores in lower case, as UTF-8.
+
+    Texts of ASCII and Latin letters, most by far, are split as bytes, others by a pattern; both give the same.
+    """
+    low = (text or "").lower()
+    data = low.encode()
+    if not data.translate(None, _PLAIN) and b"\xc3\x97" not in data and b"\xc3\xb7" not in data:
+        return data.translate(_SPACED).split()
+    return [w.encode() for w in _WORD.findall(low)]
 
 
-def shingles(words: list[str], width: int = WIDTH) -> np.ndarray:
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` words (of the whole sequence, if shorter)."""
     n = max(1, len(words) - width + 1) if words else 0
-    return np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + width])) for i in range(n)), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(n)), np.uint64, n)
 
 
 def weighted(hashes: np.ndarray) -> np.ndarray:
@@ -59,54 +71,60 @@ def simhash(hashes: np.ndarray) -> int:
 
 @dataclass(frozen=True)
 class Benchmark:
-    """What a task needs to pick windows: a number for each benchmark word, the benchmark's shingles in these numbers, and the item sizes."""
+    """What a task needs to pick windows: a number for each benchmark word, and the shingles in these numbers, all by shingle width and those of each item size."""
 
-    ids: dict[str, int]
-    known: np.ndarray
-    sizes: tuple[int, ...]
+    ids: dict[bytes, int]
+    known: dict[int, np.ndarray]
+    by_size: dict[int, np.ndarray]
     width: int
     similarity: float
 
     @staticmethod
-    def of(texts: list[str], width: int, similarity: float) -> Benchmark:
+    def of(texts: list[str | None], width: int, similarity: float) -> Benchmark:
         words = [w for t in texts if (w := tokens(t))]
         ids = {w: i + 1 for i, w in enumerate(sorted({x for w in words for x in w}))}
-        out = Benchmark(ids, np.empty(0, np.uint64), tuple(sorted({len(w) for w in words})), width, similarity)
-        known = {n: np.unique(np.concatenate([out.rolled(w, n) for w in words if len(w) == n or n == width <= len(w)])) for n in {min(len(w), width) for w in words}}
-        return Benchmark(ids, known, out.sizes, width, similarity)  # type: ignore[arg-type]
+        out = Benchmark(ids, {}, {}, width, similarity)
+        for w in words:
+            out.by_size.setdefault(len(w), []).append(out.rolled(w, min(len(w), width)))  # type: ignore[arg-type]
+        for size in sorted(out.by_size):
+            out.by_size[size] = np.unique(np.concatenate(out.by_size[size]))
+            n = min(size, width)
+            out.known[n] = np.union1d(out.known[n], out.by_size[size]) if n in out.known else out.by_size[size]
+        return out
 
-    def rolled(self, words: list[str], width: int) -> np.ndarray:
+    def rolled(self, words: list[bytes], width: int) -> np.ndarray:
         """A number for each run of ``width`` words, from their numbers; unknown words are 0."""
-        get = self.ids.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
+        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.uint64, len(words))
         n = len(ids) - width + 1
         out = np.zeros(max(n, 0), np.uint64)
         for j in range(width if n > 0 else 0):
             out = out * _PRIME + ids[j : j + n]
         return out
 
-    def windows(self, words: list[str]) -> list[tuple[int, int]]:
-        """(start, size) of the windows that hold enough benchmark shingles to be similar to an item of their size."""
+    def windows(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(start, size) of the windows that hold enough shingles of items of their size to be similar to one."""
         found: list[tuple[int, int]] = []
-        sums: dict[int, np.ndarray] = {}
-        for size in self.sizes:
-            if size > len(words):
-                break
-            width = min(size, self.width)
-            if width not in sums:
-                rolled, known = self.rolled(words, width), self.known[width]
-                at = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
-                sums[width] = np.concatenate([[0], np.cumsum(known[at] == rolled)])
-            hits = sums[width]
-            if not hits[-1]:
+        for width, known in self.known.items():
+            rolled = self.rolled(words, width)
+            places = np.flatnonzero(known[np.minimum(np.searchsorted(known, rolled), len(known) - 1)] == rolled)
+            if not len(places):
                 continue
-            n = size - width + 1
-            need = int(np.ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9))
-            found += [(int(i), size) for i in np.flatnonzero(hits[n:] - hits[:-n] >= need)]
+            for size, own in self.by_size.items():
+                n = size - width + 1
+                if min(size, self.width) != width or size > len(words):
+                    continue
+                need = int(np.ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9))
+                hits = places[own[np.minimum(np.searchsorted(own, rolled[places]), len(own) - 1)] == rolled[places]]
+                if len(hits) < need:
+                    continue
+                marks = np.zeros(len(rolled) + 1, np.int64)
+                marks[hits + 1] = 1
+                sums = np.cumsum(marks)
+                found += [(int(i), size) for i in np.flatnonzero(sums[n:] - sums[:-n] >= need)]
         return found
 
 
-def _fingerprinted(words: list[str], spots: list[tuple[int, int]], width: int) -> list[tuple[int, np.ndarray]]:
+def _fingerprinted(words: list[bytes], spots: list[tuple[int, int]], width: int) -> list[tuple[int, np.ndarray]]:
     """(fingerprint, weighted shingles) of each (start, size); a shingle shared by windows is hashed once."""
     cache: dict[tuple[int, int], int] = {}
     out = []
@@ -114,7 +132,7 @@ def _fingerprinted(words: list[str], spots: list[tuple[int, int]], width: int) -
         w = min(size, width)
         for i in range(at, at + size - w + 1):
             if (i, w) not in cache:
-                cache[i, w] = xxhash.xxh64_intdigest(" ".join(words[i : i + w]))
+                cache[i, w] = xxhash.xxh64_intdigest(b" ".join(words[i : i + w]))
         hashes = np.array([cache[i, w] for i in range(at, at + size - w + 1)], np.uint64)
         out.append((simhash(hashes), weighted(hashes)))
     return out
