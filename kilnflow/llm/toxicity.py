@@ -116,7 +116,7 @@ def _bag(text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.nda
                 own = known[w] = buckets(w)
             bucket += own
             sentence += [number] * len(own)
-    return np.array(bucket, np.int64), np.array(sentence, np.int64)
+    return np.array(bucket, np.int32), np.array(sentence, np.int32)
 
 
 def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.8, decay: float = 1e-4, sparsity: float = 6e-4, seed: int = 7) -> Model:
@@ -138,7 +138,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64
     seen = np.zeros(BUCKETS, np.int64)
     for b, _ in bags:
         seen[np.unique(b)] += 1
-    bags = [(b[seen[b] >= MIN_SEEN], np.unique(s[seen[b] >= MIN_SEEN], return_inverse=True)[1]) for b, s in bags]
+    bags = [(b[seen[b] >= MIN_SEEN], np.unique(s[seen[b] >= MIN_SEEN], return_inverse=True)[1].astype(np.int32)) for b, s in bags]
     speed, bias_speed, r = np.full(BUCKETS, 1e-6), 1e-6, np.random.default_rng(seed)
     for _ in range(epochs):
         order = r.permutation(len(y))
