@@ -10,12 +10,14 @@ Parquet data set, which every store that Spark writes can hold.
 
 from __future__ import annotations
 
+import gc
 import json
-import re
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from kilnflow.llm.common import cut, partitions
 
-LANES = 512
+LANES = 2048
 #: Frequencies add up to 2 ** PROBABILITY_BITS; states stay at 2 ** 31 and above.
-PROBABILITY_BITS = 22
+PROBABILITY_BITS = 20
 _LOW = np.uint64(1 << 31)
 #: A block closes when it has this many ids; a document is never split.
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 18
 #: Steps of all lanes between two checkpoints.
-CHECKPOINT = 64
+CHECKPOINT = 32
 END_ID = 0
-_CACHED = 400_000
+#: Words of a generation that a worker remembers, and characters of texts that it encodes at a time.
+_CACHED, _SLAB = 450_000, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -120,77 +123,159 @@ def decode(payload: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-class Encoder:
-    """Ids of texts, by the tokenizers library, with pieces that recur kept in memory.
+#: Marks that pre-tokens part from a letter before them.
+_MARKS = ".,;:!?*$%&#|()\""
+#: Stands for a word after which a text can't be cut into pieces: it is empty or begins with white space.
+_BAD = False
+
+
+class _Pieces(dict):
+    """Ids of a space and each word. Words that it doesn't have come from the generation before; new ones get an empty place that is filled when they are learnt."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: dict[str, bytearray] = {}
+        self.old: dict[str, bytes | bool] = {}
+
+    def __missing__(self, word: str) -> bytes | bytearray | bool:
+        ids = self.old.get(word)
+        if ids is None:
+            return self.new.setdefault(word, bytearray())
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        """Start a new generation when this one is full; words that recur move on to it."""
+        if len(self) > _CACHED:
+            self.old = self.copy()
+            self.clear()
 
-    Byte-level pre-tokens never hold a mark after which white space follows, so
-    a text can be cut before each run of white space and its pieces be encoded
-    alone. Runs of spaces and line feeds are cut off so; a text with a piece
-    that ends in any other white space is encoded whole. A piece of letters and
-    then plain marks is cut between them as pre-tokens are.
+
+class Encoder:
+    """Ids of texts, by the tokenizers library, with words that recur kept in memory.
+
+    In a byte-level pre-token a space comes first or among white space only. So
+    where each space is followed by a mark that isn't white space, a text is cut
+    before its spaces, and the pieces' ids join to the text's. Other texts, and
+    those with special tokens, are encoded whole. A piece of letters and then
+    plain marks is cut between them as pre-tokens are. New pieces are encoded
+    many at a time, run together; as ids stand for bytes, their lengths tell
+    where each piece's ids end.
     """
 
     def __init__(self, path: str) -> None:
-        self.encode_all = _tokenizer(path).encode_batch_fast
-        self.pieces = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-        self.special = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]  # these are found across pieces
-        self.known: dict[str, bytes | None] = {}
+        tokenizer = _tokenizer(path)
+        self.encode_all = tokenizer.encode_batch_fast
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]  # these are found across pieces
+        vocabulary = tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # one character of a byte-level token is one byte
+        self.known = _Pieces()
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > _CACHED:
-            self.known.clear()
-        parts: dict[str, tuple[str, str]] = {}
-        wanted: set[str] = set()
-        for piece in new:
-            if piece[-1].isspace() and piece[-1] not in " \n":
-                self.known[piece] = None
+    def _together(self, words: list[str]) -> None:
+        """Learn words that end without white space."""
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for group, e in zip(groups, self.encode_all([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in group]), side="right").tolist()
+            data, a = ids.tobytes(), 0
+            for word, z in zip(group, ends):
+                self.known[word] = data[4 * a : 4 * z]
+                a = z
+
+    def learn(self) -> None:
+        new, self.known.new = self.known.new, {}
+        parts: list[tuple[str, str, str]] = []
+        joined: set[str] = set()
+        alone: list[str] = []
+        for word in new:
+            if not word or word[0].isspace():
+                self.known[word] = _BAD
                 continue
-            stem = piece.rstrip(".,;:!?")
-            if stem and stem != piece and stem[-1].isalpha():
-                parts[piece] = (stem, piece[len(stem) :])
-                wanted.update(parts[piece])
+            stem = word.rstrip(_MARKS)
+            if stem and stem != word and stem[-1].isalpha():
+                parts.append((word, stem, word[len(stem) :]))
+                if stem not in new and stem not in self.known:
+                    joined.add(stem)
+            elif word[-1].isspace():
+                alone.append(word)
             else:
-                wanted.add(piece)
-        todo = [x for x in wanted if x not in self.known]
-        for at in range(0, len(todo), 2048):
-            batch = todo[at : at + 2048]
-            self.known.update(zip(batch, self.whole(batch)))
-        for piece, (a, b) in parts.items():
-            self.known[piece] = self.known[a] + self.known[b]  # type: ignore[operator]
+                joined.add(word)
+        self._together(list(joined))
+        self.known.update(zip(alone, self.whole([" " + w for w in alone])))
+        fresh = list({mark for _, _, mark in parts} - self.marks.keys())
+        self.marks.update(zip(fresh, self.whole(fresh)))
+        # A stem that is cut itself comes before what it is the stem of.
+        for word, stem, mark in sorted(parts, key=lambda x: len(x[0])):
+            self.known[word] = self.known[stem] + self.marks[mark]  # type: ignore[operator]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        cut = [None if any(s in t for s in self.special) else self.pieces(t) for t in texts]
-        out: list[bytes] = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self.whole([text])[0])
-                continue
-            try:
-                found = list(map(self.known.__getitem__, pieces))
-            except KeyError:
-                self.learn({p for p in pieces if p not in self.known})
-                found = [self.known.get(p) if p in self.known else self.whole([p])[0] for p in pieces]
-            out.append(self.whole([text])[0] if None in found else b"".join(found))
-        return out
+        self.known.age()
+        get = self.known.__getitem__
+        cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        first = self.whole([t if words is None else words[0] for t, words in zip(texts, cut)])
+        found = [None if words is None else list(map(get, islice(words, 1, None))) for words in cut]
+        places = self.known.new
+        if places:
+            self.learn()
+            odd = False
+            for word, place in places.items():
+                ids = get(word)
+                if ids is _BAD:
+                    odd = True
+                else:
+                    place[:] = ids
+            if odd:
+                return [a if words is None else self._joined(t, a, map(get, islice(words, 1, None))) for t, a, words in zip(texts, first, cut)]
+        return [a if x is None else self._joined(t, a, x) for t, a, x in zip(texts, first, found)]
+
+    def _joined(self, text: str, first: bytes, ids: Iterable) -> bytes:
+        try:
+            return first + b"".join(ids)
+        except TypeError:  # one is _BAD
+            return self.whole([text])[0]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for a worker process, whatever tasks it gets."""
+    return Encoder(path)
 
 
 _CHUNK = "shard int, seq long, ids binary, lengths array<long>, doc_ids array<long>"
 
 
+def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids) in order; texts are encoded a slab at a time."""
+    gc.freeze()  # the words that a worker remembers hold no cycles
+    for b in batches:
+        held: list[str] = []
+        start = chars = 0
+        for i in range(b.num_rows):
+            held.append(b.column(1)[i].as_py() or "")
+            chars += len(held[-1])
+            if chars >= _SLAB or i == b.num_rows - 1:
+                yield from zip((x.as_py() for x in b.column(0).slice(start, len(held))), encoder.encode(held))
+                held, start, chars = [], i + 1, 0
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Chunks of consecutive documents in ascending doc_id order: (shard, seq, ids, lengths, doc_ids), ids as little-endian u32 with END_ID after each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, seq = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, shard, seq = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
         parts: list[bytes] = []
         lengths: list[int] = []
@@ -200,16 +285,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         def chunk() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([b"".join(parts)], pa.binary()), pa.array([lengths], pa.list_(pa.int64())), pa.array([doc_ids], pa.list_(pa.int64()))], ["shard", "seq", "ids", "lengths", "doc_ids"])
 
-        for b in batches:
-            for i in range(b.num_rows):
-                ids = encoder.encode([b.column(1)[i].as_py() or ""])[0] + end
-                parts.append(ids)
-                lengths.append(len(ids) // 4)
-                doc_ids.append(b.column(0)[i].as_py())
-                size += lengths[-1]
-                if size >= BLOCK_IDS:
-                    yield chunk()
-                    parts, lengths, doc_ids, size, seq = [], [], [], 0, seq + 1
+        for doc_id, ids in _encoded(encoder, batches):
+            parts.append(ids + end)
+            lengths.append(len(parts[-1]) // 4)
+            doc_ids.append(doc_id)
+            size += lengths[-1]
+            if size >= BLOCK_IDS:
+                yield chunk()
+                parts, lengths, doc_ids, size, seq = [], [], [], 0, seq + 1
         if lengths:
             yield chunk()
 
