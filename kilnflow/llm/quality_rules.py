@@ -20,8 +20,8 @@ COMMON = {
     "de": ("der", "die", "und", "das", "in", "den", "von", "zu", "mit", "ist", "ein", "des"),
     "es": ("el", "la", "de", "que", "y", "en", "un", "los", "se", "del", "las", "por"),
 }
-#: Distances above these reject; both lie well above what prose shows.
-MAX_CLASS, MAX_WORDS = 0.27, 0.75
+#: A class distance above the first rejects, and a word distance above this share of what a text without any common word has; both lie above what prose shows.
+MAX_CLASS, MAX_WORDS_SHARE = 0.27, 0.9
 #: Shorter documents have no say: their histograms are too sparse to compare.
 MIN_CHARS, MIN_WORDS = 200, 50
 SYMBOLS = r"[#*$%&|<>]"
@@ -76,7 +76,8 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMON) -> Da
         *[without(c).cast("long").alias(f"c{i}") for i, c in enumerate(CLASSES)],
         n_plain.cast("long").alias("n_plain"), F.coalesce(hits, F.array().cast("array<string>")).alias("hits"), "list_",
     )
-    counts = [F.coalesce(F.size(F.filter("hits", lambda x, j=j: x == F.try_element_at("list_", F.lit(j + 1)))), F.lit(0)).cast("long").alias(f"w{j}") for j in range(width)]
+    times = lambda j: F.size(F.filter("hits", lambda x: x == F.try_element_at("list_", F.lit(j + 1))))  # noqa: E731  a second argument of the inner function would be the place in hits
+    counts = [F.coalesce(times(j), F.lit(0)).cast("long").alias(f"w{j}") for j in range(width)]
     return rows.select(*[c for c in rows.columns if c not in ("hits", "list_")], *counts)
 
 
@@ -91,8 +92,6 @@ def judge(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMON) -> DataF
     rows = cut(features(docs, common), "quality-features")
     names = [f"c{i}" for i in range(len(CLASSES))] + ["n_chars_", "n_plain"] + [f"w{j}" for j in range(width)]
     reference = rows.groupBy("lang").agg(*[F.sum(c).alias(f"r_{c}") for c in names]).withColumnRenamed("lang", "r_lang")
-    reference = cut(reference, "quality-reference")  # a row per language; its stored size tells Spark whether to broadcast it
-
     def hist(total: str, parts: list[str]) -> Column:
         """The counts and what of the total is in none of them."""
         counts = F.array(*map(F.col, parts))
@@ -100,12 +99,15 @@ def judge(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMON) -> DataF
 
     kinds = {"class": ("n_chars_", [f"c{i}" for i in range(len(CLASSES))]), "words": ("n_plain", [f"w{j}" for j in range(width)])}
     of = lambda kind, p: hist(p + kinds[kind][0], [p + c for c in kinds[kind][1]])
+    wordless = F.array(*[F.lit(0).cast("long")] * width, F.lit(1).cast("long"))
+    reference = reference.withColumn("r_wordless", js_distance(wordless, of("words", "r_")))
+    reference = cut(reference, "quality-reference")  # a row per language; its stored size tells Spark whether to broadcast it
     both = rows.join(reference, F.col("lang").eqNullSafe(F.col("r_lang")))
     listed = F.col("lang").isin(*common) if common else F.lit(False)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     both = both.withColumn("class_distance", F.when(F.col("n_chars_") >= MIN_CHARS, js_distance(of("class", ""), of("class", "r_"))))
     both = both.withColumn("words_distance", F.when((F.col("n_plain") >= MIN_WORDS) & F.coalesce(listed, F.lit(False)), js_distance(of("words", ""), of("words", "r_"))))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS) | (F.coalesce("words_distance", F.lit(0.0)) > MAX_WORDS)
+    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS) | F.coalesce(F.col("words_distance") > MAX_WORDS_SHARE * F.col("r_wordless"), F.lit(False))
     return both.select("doc_id", "key_", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "words_distance")
 
 
