@@ -93,11 +93,12 @@ def links(fps: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
-    """Per row of ``docs``: doc_id, key_, fp, fingerprint (16 hex digits) and component_id (the least doc_id reachable).
+    """Per row of ``docs``: doc_id, key_, fp, fingerprint (16 hex digits), component_id (the least doc_id reachable) and root (the component's own fingerprint).
 
     Null texts are empty; texts without words have fingerprint 0 and link like
     any other. Rows with a null doc_id take part; component_id is null only
-    where all reachable ids are. Repeated rows are one group. An empty table
+    where all reachable ids are. Components whose least ids are null or alike
+    have one component_id, but roots of their own. Repeated rows are one group. An empty table
     gives an empty result. Other columns are not kept.
     """
     rows = cut(fingerprints(docs, width), "simhash")
@@ -106,14 +107,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, pairwise:
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = cut(placed, "simhash-nodes")
     ids = placed.groupBy(F.col("root").alias("root_")).agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, F.col("root") == F.col("root_")).select(F.col("fp").alias("fp_"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "key_", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = placed.join(ids, F.col("root") == F.col("root_")).select(F.col("fp").alias("fp_"), "component_id", "root")
+    return rows.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "key_", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
 def dedup(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """One row of ``docs`` of each group of near-duplicates, the one with the least doc_id (then text hash), with its own columns."""
+    """One row of ``docs`` of each group of near-duplicates, the one with the least doc_id (nulls last, then text hash), with its own columns."""
     groups = near_duplicates(docs, width, radius)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("doc_id", "key_")).alias("x"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key_")).alias("x"))
     kept = first.select(F.col("x.doc_id").alias("kept_id_"), F.col("x.key_").alias("kept_key_"))
     rows = docs.withColumn("row_key_", F.xxhash64("text")).withColumn("row_id_", F.col("doc_id").cast("long"))
     return rows.join(kept, F.col("row_id_").eqNullSafe(F.col("kept_id_")) & (F.col("row_key_") == F.col("kept_key_")), "left_semi").dropDuplicates(["row_id_", "row_key_"]).select(*[F.col(f"`{c}`") for c in docs.columns])
