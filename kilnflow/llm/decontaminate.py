@@ -4,7 +4,8 @@ Windows as long as a benchmark item are fingerprinted and matched to items by
 multi-index Hamming blocks, which find every fingerprint within the radius; an
 exact similarity of weighted word shingles decides. A window can only reach
 the similarity if nearly all its shingles occur in the benchmark, so windows
-with fewer are not fingerprinted; that loses none.
+with fewer are not fingerprinted; that loses none. A document shorter than an
+item is one window, compared with the items that it is long enough to match.
 """
 
 from __future__ import annotations
@@ -101,39 +102,40 @@ class Benchmark:
             out = out * _PRIME + ids[j : j + n]
         return out
 
-    def windows(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(start, size) of the windows that hold enough shingles of items of their size to be similar to one."""
-        found: list[tuple[int, int]] = []
+    def windows(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(start, words, size) of the windows that hold enough shingles of items of that size to be similar to one; of fewer words than the size only where they are the whole document."""
+        found: list[tuple[int, int, int]] = []
         for width, known in self.known.items():
             rolled = self.rolled(words, width)
             places = np.flatnonzero(known[np.minimum(np.searchsorted(known, rolled), len(known) - 1)] == rolled)
             if not len(places):
                 continue
             for size, own in self.by_size.items():
-                n = size - width + 1
-                if min(size, self.width) != width or size > len(words):
+                length = min(size, len(words))
+                n, own_n = length - width + 1, size - width + 1
+                if min(size, self.width) != width or n < 1 or n < own_n * self.similarity - 1e-9:
                     continue
-                need = int(np.ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9))
+                need = int(np.ceil((n + own_n) * self.similarity / (1 + self.similarity) - 1e-9))
                 hits = places[own[np.minimum(np.searchsorted(own, rolled[places]), len(own) - 1)] == rolled[places]]
                 if len(hits) < need:
                     continue
                 marks = np.zeros(len(rolled) + 1, np.int64)
                 marks[hits + 1] = 1
                 sums = np.cumsum(marks)
-                found += [(int(i), size) for i in np.flatnonzero(sums[n:] - sums[:-n] >= need)]
+                found += [(int(i), length, size) for i in np.flatnonzero(sums[n:] - sums[:-n] >= need)]
         return found
 
 
-def _fingerprinted(words: list[bytes], spots: list[tuple[int, int]], width: int) -> list[tuple[int, np.ndarray]]:
-    """(fingerprint, weighted shingles) of each (start, size); a shingle shared by windows is hashed once."""
+def _fingerprinted(words: list[bytes], spots: list[tuple[int, int, int]], width: int) -> list[tuple[int, np.ndarray]]:
+    """(fingerprint, weighted shingles) of each (start, words, size); a shingle shared by windows is hashed once."""
     cache: dict[tuple[int, int], int] = {}
     out = []
-    for at, size in spots:
+    for at, length, size in spots:
         w = min(size, width)
-        for i in range(at, at + size - w + 1):
+        for i in range(at, at + length - w + 1):
             if (i, w) not in cache:
                 cache[i, w] = xxhash.xxh64_intdigest(b" ".join(words[i : i + w]))
-        hashes = np.array([cache[i, w] for i in range(at, at + size - w + 1)], np.uint64)
+        hashes = np.array([cache[i, w] for i in range(at, at + length - w + 1)], np.uint64)
         out.append((simhash(hashes), weighted(hashes)))
     return out
 
@@ -142,7 +144,7 @@ _SQL = "doc_id long, key_ long, at long, size int, fp long, elements array<long>
 
 
 def candidate_windows(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """(doc_id, key_, at, size, fp, elements) of the windows worth comparing; ``at`` counts words."""
+    """(doc_id, key_, at, size, fp, elements) of the windows worth comparing; ``at`` counts words, ``size`` those of the items to compare with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +152,7 @@ def candidate_windows(docs: DataFrame, bench: Benchmark) -> DataFrame:
             for i, text in enumerate(b.column(2)):
                 words = tokens(text.as_py())
                 spots = bench.windows(words)
-                for (at, size), (fp, elements) in zip(spots, _fingerprinted(words, spots, bench.width)):
+                for (at, _, size), (fp, elements) in zip(spots, _fingerprinted(words, spots, bench.width)):
                     for k, v in zip(rows, (i, at, size, fp, elements.view(np.int64))):
                         rows[k].append(v)
             take = pa.array(rows["i"], pa.int64())
@@ -176,7 +178,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarit
     """(doc_id, key_, item_id, similarity, n_windows, first_word): a row for each document row and the item it holds.
 
     Similarity is the weighted Jaccard index of ``width``-word shingles of the
-    best window. Words are runs of letters, digits and underscores in lower
+    best window as long as the item, or of the whole document where it is
+    shorter. Words are runs of letters, digits and underscores in lower
     case. Null and empty texts and items match nothing; items of fewer words
     than ``width`` match as a whole. Equal items each match; repeated rows of a
     document count once. Empty tables give an empty result; other columns are
