@@ -99,8 +99,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A null text is empty. Offsets are code points, ends exclusive. Kind is an
     index into KINDS. Base matches are leftmost and non-overlapping per kind
-    and then checked for length; entropy spans are added where they overlap no
-    base span. Other columns of ``docs`` are not kept.
+    and then checked for length; entropy spans are added unless a base span
+    holds all of them, so they may overlap one. Other columns of ``docs`` are not kept.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_ASSIGN
@@ -114,7 +114,7 @@ def scan(docs: DataFrame) -> DataFrame:
         ),
         "more_": _located(F.col("text"), CANDIDATE, 3, _suspect),
     })
-    free = F.filter("more_", lambda m: ~F.exists("base_", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter("more_", lambda m: ~F.exists("base_", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return rows.select("doc_id", "text", F.sort_array("base_").alias("base"), F.sort_array(F.concat(F.col("base_"), free)).alias("found"))
 
 
