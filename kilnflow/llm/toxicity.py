@@ -28,6 +28,7 @@ _TOKEN = re.compile(rb"[a-z\x80-\xff]+|[.!?\n]")
 _ENDS = frozenset(b".!?\n")
 _CACHED = 500_000
 _END = float("-inf")
+_OFFENDING = pa.list_(pa.struct([("sentence", pa.int32()), ("score", pa.float64())]))
 
 
 def buckets(word: bytes) -> list[int]:
@@ -172,8 +173,11 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held_out: int = 2, threshold: float = 0.3, per_class: tuple[int, int] = PER_CLASS) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted (1 from ``threshold``), worst_sentence (its number from 0, null without words) and worst_score.
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held_out: int = 2, threshold: float = 0.3, per_class: tuple[int, int] = PER_CLASS, offends: float = 0.3) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score, predicted (1 from ``threshold``), worst_sentence (its number from 0, null without words), worst_score and offending.
+
+    ``offending`` has the number and score of every sentence whose own
+    probability is ``offends`` or more, in order; it may be empty.
 
     Fits at most ``per_class[y]`` labelled documents of class y that aren't
     held out; only texts are inputs. Null texts are empty and get a score, too.
@@ -187,23 +191,25 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for b in batches:
-            s, worst, worst_score = np.zeros(b.num_rows), [], []
+            s, worst, worst_score, offending = np.zeros(b.num_rows), [], [], []
             for i, text in enumerate(b.column(2)):
                 numbers, z = own.sentences(text.as_py() or b"")
                 s[i] = own.combined(z if len(z) else np.array([own.bias]))
                 k = int(z.argmax()) if len(z) else None
+                own_score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                 worst.append(None if k is None else int(numbers[k]))
-                worst_score.append(None if k is None else float(1 / (1 + np.exp(-np.clip(z[k], -500, 500)))))
+                worst_score.append(None if k is None else float(own_score[k]))
+                offending.append([{"sentence": int(numbers[j]), "score": float(own_score[j])} for j in np.flatnonzero(own_score >= offends)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(worst, pa.int32()), pa.array(worst_score, pa.float64())],
-                ["doc_id", "held_out", "score", "predicted", "worst_sentence", "worst_score"],
+                [b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(worst, pa.int32()), pa.array(worst_score, pa.float64()), pa.array(offending, _OFFENDING)],
+                ["doc_id", "held_out", "score", "predicted", "worst_sentence", "worst_score", "offending"],
             )
 
     held = F.coalesce(remainder(mod) == held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, worst_sentence int, worst_score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, worst_sentence int, worst_score double, offending array<struct<sentence: int, score: double>>")
 
 
 def sentences(text: str | None) -> list[str]:
-    """The sentences of a text, numbered as worst_sentence counts them."""
+    """The sentences of a text, numbered as worst_sentence and offending count them."""
     return re.split(r"[.!?\n]", text or "")
