@@ -272,7 +272,7 @@ def ml_ridge(spark, sf_dir):
 @query()
 def ml_forest_regressor(spark, sf_dir):
     t = process(spark, sf_dir)
-    model = models.forest_regressor(t.filter(F.col(PARTITION) != "test"), FEATURES, "y", trees=20, depth=6)
+    model = models.forest_regressor(t.filter(F.col(PARTITION) != "test"), FEATURES, "y")
     return evaluate.regression_metrics(models.predict(model, t.filter(F.col(PARTITION) == "test"), FEATURES), "y", "p")
 
 
@@ -286,13 +286,13 @@ def ml_logistic(spark, sf_dir):
 @query()
 def ml_forest_classifier(spark, sf_dir):
     t = process(spark, sf_dir).withColumn("label", (F.col("y") > 20).cast("double"))
-    model = models.forest_classifier(t.filter(F.col(PARTITION) != "test"), FEATURES, "label", trees=20, depth=6)
+    model = models.forest_classifier(t.filter(F.col(PARTITION) != "test"), FEATURES, "label")
     return evaluate.classification_metrics(models.predict(model, t.filter(F.col(PARTITION) == "test"), FEATURES), "label", "p")
 
 
 @query()
 def model_screening(spark, sf_dir):
-    return models.screen(process(spark, sf_dir), {"linear": models.linear, "ridge": models.ridge, "forest": lambda d, f, t: models.forest_regressor(d, f, t, trees=10, depth=5)}, FEATURES, "y")
+    return models.screen(process(spark, sf_dir), {"linear": models.linear, "ridge": models.ridge, "forest": models.forest_regressor}, FEATURES, "y")
 
 
 @query()
