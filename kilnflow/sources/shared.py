@@ -29,19 +29,38 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, so that lost executors cost no recomputation before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kilnflow-{uuid.uuid4().hex}-{name}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def release() -> None:
-    """Delete the tables that cut() wrote; runs at the end of the program, as results are lazy until then."""
-    while _written:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; what is written there is deleted at the end of the program, or by release()."""
+    path = f"{shared_dir(spark)}/kilnflow-{uuid.uuid4().hex}-{name}"
+    _written.append((spark, path))
+    return path
+
+
+def mark() -> int:
+    """How many paths have been given out; for release()."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was written since a mark(), but for the files that ``keep`` reads. Results that still read the rest can't be computed afterwards."""
+    held = [f.rsplit("/", 1)[0].rsplit("/kilnflow-", 1)[-1] for f in keep.inputFiles()] if keep is not None else []
+    left = []
+    while len(_written) > since:
         spark, path = _written.pop()
+        if path.rsplit("/kilnflow-", 1)[-1] in held:
+            left.append((spark, path))
+            continue
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session has ended: the folder's owner clears it
             continue
+    _written.extend(left)
+
+
+atexit.register(release)  # results are lazy until the end of the program
