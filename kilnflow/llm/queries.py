@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from kilnflow.llm import chat, decontaminate, line_dedup, mixing, quality_model, quality_rules, secrets, simhash, token_files, toxicity
-from kilnflow.llm.common import shared_dir, table
+from kilnflow.llm.common import new_path, table
 from kilnflow.llm.tokenizer_path import default_tokenizer
 
 
@@ -25,7 +23,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/kilnflow-tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     token_files.write_blocks(table(spark, sf_dir, "documents"), default_tokenizer(), path)
     return token_files.read_documents(spark, path)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kilnflow.llm.common import cut, partitions
+from kilnflow.llm.common import cut, mark, partitions, release
 
 LANES = 2048
 #: Frequencies add up to 2 ** PROBABILITY_BITS; states stay at 2 ** 31 and above.
@@ -32,11 +32,20 @@ PROBABILITY_BITS = 20
 _LOW = np.uint64(1 << 31)
 #: A block closes when it has this many ids; a document is never split.
 BLOCK_IDS = 1 << 18
+#: A lane has this many ids at least, so that its state costs little beside them.
+LANE_IDS = 128
 #: Steps of all lanes between two checkpoints.
-CHECKPOINT = 32
+CHECKPOINT = 64
 END_ID = 0
-#: Words of a generation that a worker remembers, and characters of texts that it encodes at a time.
-_CACHED, _SLAB = 450_000, 1 << 18
+#: Bytes of words that a worker remembers in each of two generations, and what a word with its ids takes of them.
+REMEMBERED, _ENTRY = 64 << 20, 210
+#: Characters of texts that are encoded at a time.
+_SLAB = 1 << 18
+
+
+def id_type(n_ids: int) -> str:
+    """The narrowest little-endian type that holds all ids."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
 
 
 @dataclass(frozen=True)
@@ -46,35 +55,37 @@ class Table:
     freq: np.ndarray
     start: np.ndarray
     slot: np.ndarray
+    #: The frequencies add up to 2 ** bits.
+    bits: int = PROBABILITY_BITS
 
     @staticmethod
-    def of(counts: np.ndarray) -> Table:
+    def of(counts: np.ndarray, bits: int = PROBABILITY_BITS) -> Table:
         """Scale counts to the fixed total; every id gets at least 1, the commonest takes up the rounding."""
-        total = 1 << PROBABILITY_BITS
+        total = 1 << bits
         freq = np.maximum(1, counts.astype(np.float64) * (total - len(counts)) / max(1, counts.sum())).astype(np.int64)
         while (over := int(freq.sum()) - total) > 0:
             top = int(freq.argmax())
             freq[top] -= min(over, int(freq[top]) - 1)
         freq[freq.argmax()] += total - int(freq.sum())
         start = np.concatenate([[0], np.cumsum(freq)[:-1]])
-        return Table(freq.astype(np.uint64), start.astype(np.uint64), np.repeat(np.arange(len(freq), dtype=np.uint32), freq))
+        return Table(freq.astype(np.uint64), start.astype(np.uint64), np.repeat(np.arange(len(freq), dtype=np.uint32), freq), bits)
 
 
 def encode(ids: np.ndarray, table: Table, lanes: int = LANES) -> bytes:
     """A block's payload. Ids are dealt to lanes in turn; lanes are encoded last id first, so that decoding runs forward.
 
-    Layout, little-endian: number of ids, lanes, words and checkpoints (u32
-    each), lane states (u64), checkpoints of (word offset u32 and lane states
-    u64) every CHECKPOINT steps, words (u32).
+    Layout, little-endian: number of ids, lanes, words, checkpoints and steps
+    between two of them (u32 each), lane states (u64), checkpoints of (word
+    offset u32 and lane states u64), words (u32).
     """
     n = len(ids)
-    lanes = max(1, min(lanes, n))
+    lanes = max(1, min(lanes, n // LANE_IDS))
     steps = -(-n // lanes)
     state = np.full(lanes, _LOW, np.uint64)
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
     written = 0
-    shift = np.uint64(63 - PROBABILITY_BITS)
+    shift, bits = np.uint64(63 - table.bits), np.uint64(table.bits)
     for step in range(steps - 1, -1, -1):
         symbols = ids[step * lanes : (step + 1) * lanes]
         live = state[: len(symbols)]
@@ -85,28 +96,28 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES) -> bytes:
             written += len(words[-1])
             live = np.where(spill, live >> np.uint64(32), live)
         q = live // f
-        state[: len(symbols)] = (q << np.uint64(PROBABILITY_BITS)) + (live - q * f) + s
+        state[: len(symbols)] = (q << bits) + (live - q * f) + s
         if step and step % CHECKPOINT == 0:
             marks.append((written, state.copy()))
     stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
-    head = np.array([n, lanes, len(stream), len(marks)], "<u4").tobytes()
+    head = np.array([n, lanes, len(stream), len(marks), CHECKPOINT], "<u4").tobytes()
     points = b"".join(np.array([written - w], "<u4").tobytes() + st.astype("<u8").tobytes() for w, st in reversed(marks))
     return head + state.astype("<u8").tobytes() + points + stream.astype("<u4").tobytes()
 
 
 def decode(payload: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
     """The ids of a block, from its start or from a checkpoint (1, 2, ...) on."""
-    n, lanes, n_words, n_marks = (int(x) for x in np.frombuffer(payload, "<u4", 4))
-    at = 16
+    n, lanes, n_words, n_marks, apart = (int(x) for x in np.frombuffer(payload, "<u4", 5))
+    at = 20
     state = np.frombuffer(payload, "<u8", lanes, at).astype(np.uint64)
     at += 8 * lanes
     words = np.frombuffer(payload, "<u4", n_words, at + n_marks * (4 + 8 * lanes))
     step, w = 0, 0
     if checkpoint:
         at += (checkpoint - 1) * (4 + 8 * lanes)
-        w, state, step = int(np.frombuffer(payload, "<u4", 1, at)[0]), np.frombuffer(payload, "<u8", lanes, at + 4).astype(np.uint64), checkpoint * CHECKPOINT
+        w, state, step = int(np.frombuffer(payload, "<u4", 1, at)[0]), np.frombuffer(payload, "<u8", lanes, at + 4).astype(np.uint64), checkpoint * apart
     out = np.empty(n, np.uint32)
-    mask, bits = np.uint64((1 << PROBABILITY_BITS) - 1), np.uint64(PROBABILITY_BITS)
+    mask, bits = np.uint64((1 << table.bits) - 1), np.uint64(table.bits)
     for k in range(step * lanes, n, lanes):
         live = state[: min(lanes, n - k)]
         low = live & mask
@@ -131,6 +142,8 @@ def _tokenizer(path: str):
 
 #: Marks that pre-tokens part from a letter before them.
 _MARKS = ".,;:!?*$%&#|()\""
+
+
 #: Stands for a word after which a text can't be cut into pieces: it is empty or begins with white space.
 _BAD = False
 
@@ -152,7 +165,7 @@ class _Pieces(dict):
 
     def age(self) -> None:
         """Start a new generation when this one is full; words that recur move on to it."""
-        if len(self) > _CACHED:
+        if len(self) * _ENTRY > REMEMBERED:
             self.old = self.copy()
             self.clear()
 
@@ -174,25 +187,25 @@ class Encoder:
         self.encode_all = tokenizer.encode_batch_fast
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]  # these are found across pieces
         vocabulary = tokenizer.get_vocab()
+        self.dtype = id_type(len(vocabulary))
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # one character of a byte-level token is one byte
         self.known = _Pieces()
-        self.marks: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}  # short runs of few characters
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
 
     def _together(self, words: list[str]) -> None:
         """Learn words that end without white space."""
-        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        groups = [words[at : at + 512] for at in range(0, len(words), 512)]
         for group, e in zip(groups, self.encode_all([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in group]), side="right").tolist()
-            data, a = ids.tobytes(), 0
-            for word, z in zip(group, ends):
-                self.known[word] = data[4 * a : 4 * z]
-                a = z
+            ids = np.array(e.ids, self.dtype)
+            sizes = np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1
+            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), side="right") * ids.itemsize).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(group, [data[a:z] for a, z in zip([0, *ends], ends)]))
 
     def learn(self) -> None:
         new, self.known.new = self.known.new, {}
@@ -200,6 +213,9 @@ class Encoder:
         joined: set[str] = set()
         alone: list[str] = []
         for word in new:
+            if word.isalpha():
+                joined.add(word)
+                continue
             if not word or word[0].isspace():
                 self.known[word] = _BAD
                 continue
@@ -214,14 +230,20 @@ class Encoder:
                 joined.add(word)
         self._together(list(joined))
         self.known.update(zip(alone, self.whole([" " + w for w in alone])))
-        fresh = list({mark for _, _, mark in parts} - self.marks.keys())
+        if len(self.marks) * _ENTRY > REMEMBERED // 4:
+            self.marks.clear()
+        fresh = [m for m in {mark for _, _, mark in parts} if m not in self.marks]
         self.marks.update(zip(fresh, self.whole(fresh)))
         # A stem that is cut itself comes before what it is the stem of.
         for word, stem, mark in sorted(parts, key=lambda x: len(x[0])):
             self.known[word] = self.known[stem] + self.marks[mark]  # type: ignore[operator]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return [np.frombuffer(x, self.dtype).astype("<u4").tobytes() for x in self.narrow(texts)]
+
+    def narrow(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian, as wide as the vocabulary needs."""
         self.known.age()
         get = self.known.__getitem__
         cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
@@ -254,47 +276,86 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-_CHUNK = "shard int, seq long, ids binary, lengths array<long>, doc_ids array<long>"
+_CHUNK = "shard int, seq long, ids binary, lengths array<long>, doc_ids array<long>, counts binary"
+
 
+def pieces(text: str, special: list[str], most: int = 0) -> list[str]:
+    """A long text in parts of about ``most`` characters whose ids join to the text's: cut before a single space between letters or digits; whole where it has special tokens."""
+    most = most or _SLAB
+    out, at = [], 0
+    if len(text) > 2 * most and not any(s in text for s in special):
+        while len(text) - at > 2 * most:
+            z = text.find(" ", at + most)
+            while z > 0 and not (text[z - 1].isalnum() and text[z + 1 : z + 2].isalnum()):
+                z = text.find(" ", z + 1)
+            if z < 0:
+                break
+            out.append(text[at:z])
+            at = z
+    return [*out, text[at:] if at else text]
 
-def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
-    """(doc_id, ids) in order; texts are encoded a slab at a time."""
+
+def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, int | None, bytes]]:
+    """(whether it is a document's last part, doc_id, ids) in order; texts are encoded a slab at a time."""
     gc.freeze()  # the words that a worker remembers hold no cycles
     for b in batches:
         held: list[str] = []
-        start = chars = 0
+        owner: list[tuple[bool, int | None]] = []
+        chars = 0
         for i in range(b.num_rows):
-            held.append(b.column(1)[i].as_py() or "")
-            chars += len(held[-1])
-            if chars >= _SLAB or i == b.num_rows - 1:
-                yield from zip((x.as_py() for x in b.column(0).slice(start, len(held))), encoder.encode(held))
-                held, start, chars = [], i + 1, 0
+            doc_id, parts = b.column(0)[i].as_py(), pieces(b.column(1)[i].as_py() or "", encoder.special)
+            for k, part in enumerate(parts):
+                held.append(part)
+                owner.append((k == len(parts) - 1, doc_id))
+                chars += len(part)
+                if chars >= _SLAB:
+                    yield from ((*o, ids) for o, ids in zip(owner, encoder.narrow(held)))
+                    held, owner, chars = [], [], 0
+        yield from ((*o, ids) for o, ids in zip(owner, encoder.narrow(held)))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Chunks of consecutive documents in ascending doc_id order: (shard, seq, ids, lengths, doc_ids), ids as little-endian u32 with END_ID after each document."""
+    """Chunks of consecutive documents in ascending doc_id order: (shard, seq, ids, lengths, doc_ids, counts).
+
+    ``ids`` are little-endian, as wide as the vocabulary needs, with END_ID
+    after each document; null texts have that alone. A task's last row has seq
+    -1 and the compressed counts of all its ids. Documents with equal doc_id
+    follow by text hash, null ids come first; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, seq = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u4").tobytes()
+        counts = np.zeros(len(encoder.lengths), np.int64)
+        width, end = np.dtype(encoder.dtype).itemsize, np.array([END_ID], encoder.dtype).tobytes()
         parts: list[bytes] = []
         lengths: list[int] = []
         doc_ids: list[int | None] = []
-        size = 0
+        size = begun = 0
+
+        def row(seq: int, ids: bytes | None, counts: bytes | None) -> pa.RecordBatch:
+            cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([ids], pa.binary()), pa.array([lengths], pa.list_(pa.int64())), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["shard", "seq", "ids", "lengths", "doc_ids", "counts"])
 
         def chunk() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([b"".join(parts)], pa.binary()), pa.array([lengths], pa.list_(pa.int64())), pa.array([doc_ids], pa.list_(pa.int64()))], ["shard", "seq", "ids", "lengths", "doc_ids"])
-
-        for doc_id, ids in _encoded(encoder, batches):
-            parts.append(ids + end)
-            lengths.append(len(parts[-1]) // 4)
-            doc_ids.append(doc_id)
-            size += lengths[-1]
-            if size >= BLOCK_IDS:
-                yield chunk()
-                parts, lengths, doc_ids, size, seq = [], [], [], 0, seq + 1
+            data = b"".join(parts)
+            counts[:] += np.bincount(np.frombuffer(data, encoder.dtype), minlength=len(counts))
+            return row(seq, data, None)
+
+        for last, doc_id, ids in _encoded(encoder, batches):
+            parts.append(ids + end if last else ids)
+            size += len(parts[-1]) // width
+            if last:
+                lengths.append(size - begun)
+                doc_ids.append(doc_id)
+                begun = size
+                if size >= BLOCK_IDS:
+                    yield chunk()
+                    parts, lengths, doc_ids, size, begun, seq = [], [], [], 0, 0, seq + 1
         if lengths:
             yield chunk()
+            parts, lengths, doc_ids, seq = [], [], [], seq + 1
+        if seq:
+            yield row(-1, None, zlib.compress(counts.astype("<i8").tobytes(), 1))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key_"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("key_")]
@@ -303,34 +364,37 @@ def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def frequencies(chunks: DataFrame, n_ids: int) -> np.ndarray:
-    """Counts of all ids. What comes to the driver has one row per id of the vocabulary at most."""
+    """Counts of all ids, from the tasks' counts. What comes to the driver has one row per id of the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n_ids, np.int64)
         for b in batches:
             for x in b.column(0):
-                counts += np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=n_ids)
+                counts += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], ["id", "n"])
 
     out = np.zeros(n_ids, np.int64)
-    for r in chunks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counts = chunks.filter("seq < 0").select("counts").coalesce(min(8, partitions(chunks.sparkSession)))
+    for r in counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r.id] = r.n
     return out
 
 
 def write_blocks(docs: DataFrame, tokenizer_path: str, path: str) -> None:
-    """Encode ``docs`` into the data set at ``path``: blocks/ (a row per block) and table/ (the shared frequencies).
+    """Encode ``docs`` into the data set at ``path``: blocks/ (a row per block) and table/ (the shared frequencies and the format's constants).
 
     Null texts are empty documents of one end id. Documents with equal doc_id
-    follow by text hash; null ids come first. Each row is a document of its own.
+    follow by text hash; null ids come first. Each row is a document of its
+    own; an empty table gives no blocks. Other columns are not kept.
     """
     spark = docs.sparkSession
     n_ids = _tokenizer(tokenizer_path).get_vocab_size()
+    began = mark()
     chunks = cut(tokenize(docs, tokenizer_path), "token-chunks")
-    counts = frequencies(chunks, n_ids)
+    counts, dtype = frequencies(chunks, n_ids), id_type(n_ids)
     shared = spark.sparkContext.broadcast(counts)
-    meta = json.dumps({"lanes": LANES, "probability_bits": PROBABILITY_BITS, "checkpoint": CHECKPOINT, "end_id": END_ID})
+    meta = json.dumps({"probability_bits": PROBABILITY_BITS, "end_id": END_ID})
     spark.createDataFrame([(meta, zlib.compress(counts.astype("<i8").tobytes()))], "meta string, counts binary").coalesce(1).write.parquet(f"{path}/table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,13 +402,14 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         for b in batches:
             payload, check = [], []
             for x in b.column(2):
-                data = x.as_py()
-                payload.append(encode(np.frombuffer(data, "<u4"), table))
-                check.append(zlib.crc32(data))
+                ids = np.frombuffer(x.as_py(), dtype).astype("<u4")
+                payload.append(encode(ids, table))
+                check.append(zlib.crc32(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(payload, pa.binary()), pa.array(check, pa.int64()), b.column(3), b.column(4), b.column(5)], ["shard", "seq", "payload", "crc32", "lengths", "doc_ids", "first"])
 
     # Places of blocks in the whole: sums over shards, then within each shard.
     n = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    chunks = chunks.filter("seq >= 0")
     sizes = chunks.select("shard", "seq", n.alias("n"))
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("n"))
     before = shards.select(F.col("shard").alias("s_"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
@@ -353,15 +418,20 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     first = cut(first, "token-places")
     rows = chunks.join(first, (F.col("shard") == F.col("c_")) & (F.col("seq") == F.col("q_"))).select("shard", "seq", "ids", "lengths", "doc_ids", "first")
     rows.mapInArrow(run, "shard int, seq long, payload binary, crc32 long, lengths array<long>, doc_ids array<long>, first long").write.parquet(f"{path}/blocks")
+    release(began)
 
 
 def read_documents(spark, path: str, with_ids: bool = False) -> DataFrame:
-    """Decode a data set: doc_id, start, n_tokens, ids_crc32 (and ids) of each document. A block whose checksum differs raises."""
-    counts = np.frombuffer(zlib.decompress(spark.read.parquet(f"{path}/table").first().counts), "<i8")
+    """Decode a data set: doc_id, start, n_tokens, ids_crc32 (and ids) of each document, also of null or repeated ids.
+
+    A block whose checksum differs raises. A data set without blocks gives an empty result.
+    """
+    kept = spark.read.parquet(f"{path}/table").first()
+    counts, bits = np.frombuffer(zlib.decompress(kept.counts), "<i8"), json.loads(kept.meta)["probability_bits"]
     shared = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table.of(shared.value)
+        table = Table.of(shared.value, bits)
         for b in batches:
             for k in range(b.num_rows):
                 ids = decode(b.column(0)[k].as_py(), table).astype("<u4")
