@@ -8,6 +8,8 @@ character that enters and the one that leaves.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed patterns of the base kinds, and the least length of what must match them.
@@ -21,10 +23,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits per character above which a window of that class is suspect (20 hex digits have 4 at most, 20 others log2(20) = 4.32).
 MIN_HEX_BITS, MIN_ALNUM_BITS, MIN_KEY_BITS = 3.0, 3.6, 3.8
 #: Candidates of these forms are no secrets: words joined by marks, dates and numbers, paths of words, ruler lines, UUIDs.
+#: The repeated groups are possessive, which Java runs as a loop; what follows one can't begin like it, so the same texts match.
 ALLOW = (
-    r"^[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*$",
+    r"^[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*+[+/_=-]*$",
     r"^[0-9+/_=-]+$",
-    r"^[+/_=-]*([A-Za-z]+|[0-9]{1,4})([+/_=-]+([A-Za-z]+|[0-9]{1,4}))*[+/_=-]*$",
+    r"^[+/_=-]*(?:[A-Za-z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Za-z]+|[0-9]{1,4}))*+[+/_=-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
 KINDS = ("assign", "access", "hex", "entropy")
@@ -33,6 +36,29 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Spans are appended in runs of so many, as each append copies its array.
+_RUN = 256
+
+
+def _folded(items: Column, begin: Column, step) -> Column:
+    """The spans that a fold over ``items`` gives out: ``step(state, item)`` returns the next state (an int) and a span, or null for none."""
+    none = F.array().cast(_SPAN)
+
+    def one(acc: Column, x: Column) -> Column:
+        state, span = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.when(span.isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+
+    def run(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("spans")), one)
+        return F.transform(F.array(inner), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["parts"], F.array(r["spans"])).alias("parts")))[0]
+
+    def whole(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _RUN).cast("int")), lambda i: F.slice(xs, i * _RUN + 1, F.lit(_RUN)))
+        return F.aggregate(runs, F.struct(begin.alias("state"), F.array().cast(f"array<{_SPAN}>").alias("parts")), run, lambda acc: F.flatten(acc["parts"]))
+
+    return F.transform(F.array(items), lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(none))[0]
+
+
 def _located(text: Column, pattern: str, kind: int, keep) -> Column:
     """Spans of the pattern's matches for which keep(match) holds, as (start, kind, end) in code points.
 
@@ -40,50 +66,69 @@ def _located(text: Column, pattern: str, kind: int, keep) -> Column:
     alternate, so their lengths add up to the positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast(_SPAN)
+    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"))  # one gap more than matches: the last match is null
 
-    def locate(pair: Column) -> Column:
-        matches, gaps = pair["matches"], pair["gaps"]
-        steps = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))  # one gap more than matches: the last match is null
-        start = lambda acc, x: acc["at"] + F.length(x["gap"])
-        folded = F.aggregate(
-            steps,
-            F.struct(F.lit(0).alias("at"), none.alias("spans")),
-            lambda acc, x: F.struct(
-                (start(acc, x) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-                F.when(
-                    x["match"].isNotNull() & keep(x["match"]),
-                    F.concat(acc["spans"], F.array(F.struct(start(acc, x).alias("start"), F.lit(kind).alias("kind"), (start(acc, x) + F.length(x["match"])).alias("end")))),
-                ).otherwise(acc["spans"]).alias("spans"),
-            ),
-        )
-        return folded["spans"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["match"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        return F.coalesce(end, start), F.when(x["match"].isNotNull() & keep(x["match"]), span)
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), _folded(steps, F.lit(0), step)).otherwise(F.array().cast(_SPAN))
 
-    pairs = F.array(F.struct(found.alias("matches"), F.split(text, pattern, -1).alias("gaps")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.transform(pairs, locate)[0]).otherwise(none)
+
+#: Counts are packed into longs, so many to each of so many bits.
+_PACKED, _BITS = 12, 5
+#: Terms c * log2(c) are whole numbers of this part of a bit, so that sums stay exact however long the string is.
+_UNIT = 1 << 24
 
 
 def max_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of any window of the string; from the counts of the window before.
+    """The largest Shannon entropy, in bits, of any window of the string, from incremental counts; 0 for shorter strings.
 
-    The sum of c * log2(c) over the window's counts changes by the terms of the
-    two characters that move; entropy is log2(window) - sum / window.
+    The string becomes an array of character codes once. Each step adds the
+    character that enters to the packed counts and takes out the one that
+    leaves; the sum of c * log2(c) over the counts changes by their two terms.
+    Entropy is log2(window) - sum / window. Time grows with the length.
     """
-    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    code = lambda at: F.instr(F.lit(ALPHABET), F.substring(candidate, at, F.lit(1)))
-    zeros = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
+    if window >= 1 << _BITS:
+        raise ValueError(f"counts of a window of {window} don't fit {_BITS} bits")
+    lookup = [0] * 128
+    for i, c in enumerate(ALPHABET):
+        lookup[ord(c)] = i + 1
+    table = F.array(*map(F.lit, lookup))
+    term = [0] + [round(c * log2(c) * _UNIT) for c in range(1, window + 1)]
+    more = F.array(*[F.lit(term[c + 1] - term[c]) for c in range(window)])  # what the sum gains when a count of c grows
+    bits = lambda code: (code % _PACKED * _BITS).cast("int")
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), bits(code))
+
+    def step(enter: Column, leave: Column) -> Column:
+        return F.struct(
+            F.floor(enter / _PACKED).cast("int").alias("e"), bits(enter).alias("es"), one(enter).alias("e1"),
+            F.floor(leave / _PACKED).cast("int").alias("l"), bits(leave).alias("ls"), one(leave).alias("l1"),
+            (leave >= 0).alias("full"), (enter == leave).cast("int").alias("same"),
+        )
 
-    def move(acc: Column, at: Column) -> Column:
-        enter, leave = code(at), F.when(at > window, code(at - window)).otherwise(F.lit(-1))
-        same = enter == leave
-        up, down = acc["counts"][enter], F.when(leave >= 0, acc["counts"][F.greatest(leave, F.lit(0))]).otherwise(F.lit(0))
-        total = F.when(same, acc["sum"]).otherwise(acc["sum"] + term(up + 1) - term(up) + F.when(leave >= 0, term(down - 1) - term(down)).otherwise(F.lit(0.0)))
-        counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, i: c + F.when(i == enter, 1).otherwise(0) - F.when(i == leave, 1).otherwise(0)))
-        bits = F.lit(1.0) * F.log2(F.lit(float(window))) - total / window
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(at >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
+    count = lambda acc, at, by: F.call_function("shiftright", acc["counts"][at], by).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
 
-    start = F.struct(zeros.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, move, lambda acc: acc["best"])
+    def move(acc: Column, x: Column) -> Column:
+        # The window before this step is looked at first, as its sum is at hand.
+        best = F.when(x["full"], F.least(acc["best"], acc["sum"])).otherwise(acc["best"])
+        left = F.when(x["full"], more[count(acc, x["l"], x["ls"]) - 1]).otherwise(F.lit(0))
+        total = acc["sum"] - left + more[count(acc, x["e"], x["es"]) - x["same"]]
+        parts = [acc["counts"][k] + F.when(x["e"] == k, x["e1"]).otherwise(F.lit(0)) - F.when(x["full"] & (x["l"] == k), x["l1"]).otherwise(F.lit(0)) for k in range(len(ALPHABET) // _PACKED + 1)]
+        return F.struct(F.array(*parts).alias("counts"), total.cast("long").alias("sum"), best.alias("best"))
+
+    codes = F.transform(F.split(candidate, ""), lambda c: table[F.ascii(c)])
+    zeros = F.array(*[F.lit(0).cast("long")] * (len(ALPHABET) // _PACKED + 1))
+    start = F.struct(zeros.alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 62).alias("best"))
+    done = lambda acc: F.log2(F.lit(float(window))) - F.least(acc["best"], acc["sum"]) / float(_UNIT * window)
+
+    def whole(codes: Column) -> Column:
+        lagged = F.concat(F.array_repeat(F.lit(-1), window), F.slice(codes, 1, F.greatest(F.size(codes) - window, F.lit(0))))
+        return F.aggregate(F.zip_with(codes, lagged, step), start, move, done)
+
+    return F.when(F.length(candidate) >= window, F.transform(F.array(codes), whole)[0]).otherwise(F.lit(0.0))
 
 
 def _suspect(candidate: Column) -> Column:
@@ -114,8 +159,11 @@ def scan(docs: DataFrame) -> DataFrame:
         ),
         "more_": _located(F.col("text"), CANDIDATE, 3, _suspect),
     })
-    free = F.filter("more_", lambda m: ~F.exists("base_", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return rows.select("doc_id", "text", F.sort_array("base_").alias("base"), F.sort_array(F.concat(F.col("base_"), free)).alias("found"))
+    # Within the sorted spans, a base one that begins no later comes before: the furthest end so far tells whether it holds an entropy span.
+    keep = lambda far, x: (F.when(x["kind"] < 3, F.greatest(far, x["end"])).otherwise(far), F.when((x["kind"] < 3) | (x["end"] > far), x))
+    free = _folded(F.col("all_"), F.lit(0), keep)
+    rows = rows.withColumn("all_", F.sort_array(F.concat("base_", "more_")))
+    return rows.select("doc_id", "text", F.sort_array("base_").alias("base"), F.when(F.size("more_") == 0, F.col("all_")).otherwise(free).alias("found"))
 
 
 def _joined(spans: Column) -> Column:
@@ -124,7 +172,10 @@ def _joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """doc_id and the text with every found span replaced by ``mark``; overlapping spans merge into one."""
+    """doc_id and the text with every found span replaced by ``mark``; overlapping spans merge into one.
+
+    A null text becomes empty; a row stays for each row of ``docs``. Other columns are not kept.
+    """
 
     def step(acc: Column, s: Column) -> Column:
         over = s["start"] < acc["at"]

@@ -152,3 +152,38 @@ def token_rows(rows, tokenizer):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
         out.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     return out
+
+
+def spans(text):
+    """All spans of the secret scan: the base ones, and runs of key characters with a window of high entropy that no base span holds."""
+    from math import log2
+
+    text = text or ""
+    kinds = ("assign", "access", "hex", "entropy")
+    found = [
+        *[(m.start(), 0, m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 8],
+        *[(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16],
+        *[(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32],
+    ]
+    base = sorted(found)
+    reach = [0]
+    for s in base:
+        reach.append(max(reach[-1], s[2]))
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        parts = [x for x in re.split(r"[+/_=-]+", run) if x]
+        words = all(x.isalpha() or x.isdigit() and len(x) <= 4 for x in parts)
+        if words or all(x.isdigit() for x in parts) or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+            continue
+        limit = 3.0 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) else 3.6 if run.isalnum() else 3.8
+        counts, best = Counter(), 0.0
+        for i, c in enumerate(run):
+            counts[c] += 1
+            if i >= 20:
+                counts[run[i - 20]] -= 1
+            if i >= 19:
+                best = max(best, -sum(k / 20 * log2(k / 20) for k in counts.values() if k))
+        before = sum(1 for s in base if s[0] <= m.start())
+        if best >= limit and reach[before] < m.end():
+            found.append((m.start(), 3, m.end()))
+    return ",".join(f"{kinds[k]}:{a}:{z}" for a, k, z in sorted(found))
