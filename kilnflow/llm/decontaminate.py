@@ -6,6 +6,10 @@ exact similarity of weighted word shingles decides. A window can only reach
 the similarity if nearly all its shingles occur in the benchmark, so windows
 with fewer are not fingerprinted; that loses none. A document shorter than an
 item is one window, compared with the items that it is long enough to match.
+Equal windows are compared once, however many documents hold them.
+
+A benchmark of many words is taken in slices, with a pass over the documents
+for each, so that what goes to every task is bounded whatever its size.
 """
 
 from __future__ import annotations
@@ -18,16 +22,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kilnflow.llm.common import cut
 from kilnflow.llm.simhash import bit_counts
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Fingerprints of windows alike to SIMILARITY differ in about 10 of 64 bits with a deviation of 3.
-RADIUS, BLOCKS = 23, 8
-#: The benchmark's shingles go to every task; beyond this many items the query is refused rather than broadcast.
-MAX_ITEMS = 200_000
+#: Fingerprints of windows alike to just SIMILARITY differ in about 10 of 64 bits with a deviation of 3, more alike ones in fewer.
+#: Two within RADIUS differ in at most RADIUS // BLOCKS bits of some block; the item tries all but one of them, the window the last.
+RADIUS, BLOCKS = 15, 4
+#: Words of benchmark items whose shingles go to every task at a time.
+SLICE_WORDS = 500_000
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII marks that are no word characters become spaces.
@@ -145,14 +150,15 @@ _SQL = "doc_id long, key_ long, at long, size int, fp long, elements array<long>
 
 def candidate_windows(docs: DataFrame, bench: Benchmark) -> DataFrame:
     """(doc_id, key_, at, size, fp, elements) of the windows worth comparing; ``at`` counts words, ``size`` those of the items to compare with."""
+    shared = docs.sparkSession.sparkContext.broadcast(bench)  # of SLICE_WORDS words or so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: dict[str, list] = {k: [] for k in ("i", "at", "size", "fp", "elements")}
             for i, text in enumerate(b.column(2)):
                 words = tokens(text.as_py())
-                spots = bench.windows(words)
-                for (at, _, size), (fp, elements) in zip(spots, _fingerprinted(words, spots, bench.width)):
+                spots = shared.value.windows(words)
+                for (at, _, size), (fp, elements) in zip(spots, _fingerprinted(words, spots, shared.value.width)):
                     for k, v in zip(rows, (i, at, size, fp, elements.view(np.int64))):
                         rows[k].append(v)
             take = pa.array(rows["i"], pa.int64())
@@ -164,17 +170,71 @@ def candidate_windows(docs: DataFrame, bench: Benchmark) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key_"), "text").mapInArrow(run, _SQL)
 
 
-def _probes() -> list[int]:
-    """All masks of 64 / BLOCKS bits with at most RADIUS // BLOCKS set: two fingerprints within RADIUS agree so far in some block."""
-    bits = 64 // BLOCKS
-    return [m for m in range(1 << bits) if m.bit_count() <= RADIUS // BLOCKS]
+def item_rows(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item_id, slice_key, item_size, item_fp, item_elements) of the items that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, len(w), h) for i, x in enumerate(b.column(2)) if (w := tokens(x.as_py())) for h in [shingles(w, width)]]
+            take = pa.array([i for i, _, _ in found], pa.int64())
+            cols = [b.column(0).take(take), b.column(1).take(take), pa.array([n for _, n, _ in found], pa.int32()), pa.array([simhash(h) for _, _, h in found], pa.int64()), pa.array([weighted(h).view(np.int64) for _, _, h in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["item_id", "slice_key", "item_size", "item_fp", "item_elements"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("slice_key"), "text")
+    return rows.mapInArrow(run, "item_id long, slice_key long, item_size int, item_fp long, item_elements array<long>")
+
 
+def _masks(most: int) -> list[int]:
+    """All masks of one block with at most so many bits."""
+    return [m for m in range(1 << (64 // BLOCKS)) if m.bit_count() <= most]
 
-def _block(fp: str, j: int):
+
+def _block(fp: str, j: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), j * 64 // BLOCKS).bitwiseAND(F.lit((1 << (64 // BLOCKS)) - 1)).cast("int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def _cells(df: DataFrame, fp: str, masks: list[int]) -> DataFrame:
+    """``df`` with (j, v, m): each block's number and value, changed by each mask."""
+    blocks = F.array(*[F.struct(F.lit(j).alias("j"), _block(fp, j).alias("block")) for j in range(BLOCKS)])
+    rows = df.select("*", F.explode(blocks).alias("b_")).select(*df.columns, "b_.*")
+    return rows.select(*df.columns, "j", "block", F.explode(F.array(*map(F.lit, masks))).alias("m")).select(*df.columns, "j", F.col("block").bitwiseXOR(F.col("m")).alias("v"), "m")
+
+
+def near_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of ``windows`` (size, fp, ...) and ``items`` (item_size, item_fp, ...) of one size and within RADIUS bits, each once.
+
+    An item stands in a cell for each change of a block by all but one of the
+    RADIUS // BLOCKS bits that may differ, a window for each change by one at
+    most. A pair counts in its first block that is near enough, and there
+    where the window's change is none or, if it needs one, the lowest bit.
+    """
+    most = RADIUS // BLOCKS
+    left = _cells(windows, "fp", _masks(1)).withColumnRenamed("m", "wm")
+    right = _cells(items, "item_fp", _masks(most - 1)).drop("m").withColumnsRenamed({"j": "ij", "v": "iv"})
+    met = left.join(right, (F.col("size") == F.col("item_size")) & (F.col("j") == F.col("ij")) & (F.col("v") == F.col("iv")))
+    apart = lambda j: _block("fp", j).bitwiseXOR(_block("item_fp", j))
+    first = F.coalesce(*[F.when(F.bit_count(apart(j)) <= most, F.lit(j)) for j in range(BLOCKS)])
+    here = F.coalesce(*[F.when(F.col("j") == j, apart(j)) for j in range(BLOCKS)])
+    change = F.when(F.bit_count(here) < most, F.lit(0)).otherwise(here.bitwiseAND(-here))
+    kept = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (F.col("j") == first) & (F.col("wm") == change))
+    return kept.drop("j", "v", "wm", "ij", "iv")
+
+
+def found_windows(docs: DataFrame, benchmark: DataFrame, items: DataFrame, width: int, similarity: float, slice_words: int) -> DataFrame:
+    """candidate_windows() for the whole benchmark: one written pass over the documents for each slice of about ``slice_words`` words of items."""
+    total = items.agg(F.sum("item_size")).first()[0] or 0
+    slices = max(1, -(-int(total) // slice_words))
+    own = F.pmod(F.xxhash64("text"), F.lit(slices))
+    out: DataFrame | None = None
+    for k in range(slices):
+        texts = [r.text for r in benchmark.filter(own == k).select("text").distinct().collect()]  # one slice's items
+        part = cut(candidate_windows(docs, Benchmark.of(texts, width, similarity)), "leak-windows")
+        out = part if out is None else out.unionByName(part)
+    assert out is not None
+    return out
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
     """(doc_id, key_, item_id, similarity, n_windows, first_word): a row for each document row and the item it holds.
 
     Similarity is the weighted Jaccard index of ``width``-word shingles of the
@@ -183,41 +243,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarit
     case. Null and empty texts and items match nothing; items of fewer words
     than ``width`` match as a whole. Equal items each match; repeated rows of a
     document count once. Empty tables give an empty result; other columns are
-    not kept. The benchmark, of at most MAX_ITEMS items, is sent to every task.
+    not kept.
     """
-    spark = docs.sparkSession
-    listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").limit(MAX_ITEMS + 1).collect()
-    if len(listed) > MAX_ITEMS:
-        raise ValueError(f"the benchmark has more than {MAX_ITEMS} items; split it")
-    kept = [(r.item_id, words) for r in listed if (words := tokens(r.text))]
-    items = [(i, len(w), simhash(h := shingles(w, width)), weighted(h).view(np.int64).tolist()) for i, w in kept]
-    item_df = spark.createDataFrame(items, "item_id long, item_size int, item_fp long, item_elements array<long>")
-    bench = Benchmark.of([r.text for r in listed], width, similarity)
-    found = cut(candidate_windows(docs, bench), "leak-windows")
-    blocks = F.array(*[F.struct(F.lit(j).alias("j"), _block("fp", j).alias("v")) for j in range(BLOCKS)])
-    probes = F.array(*[F.struct(F.lit(j).alias("pj"), F.lit(m).alias("m")) for j in range(BLOCKS) for m in _probes()])
-    probed = cut(item_df.withColumn("p", F.explode(probes)).select("item_id", "item_size", "item_fp", F.col("p.pj").alias("pj"), _any_block("item_fp", F.col("p.pj")).bitwiseXOR(F.col("p.m")).alias("pv")), "leak-probes")
-    cells = found.select("doc_id", "key_", "at", "size", "fp", F.explode(blocks).alias("c")).select("doc_id", "key_", "at", "size", "fp", "c.*")
-    met = cells.join(probed, (F.col("size") == F.col("item_size")) & (F.col("j") == F.col("pj")) & (F.col("v") == F.col("pv")))
-    agree = lambda j: F.bit_count(_block("fp", j).bitwiseXOR(_block("item_fp", j))) <= RADIUS // BLOCKS
-    first_block = F.coalesce(*[F.when(agree(j), F.lit(j)) for j in range(BLOCKS)])
-    pairs = met.filter((F.col("j") == first_block) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))  # once a pair
-    both = pairs.select("doc_id", "key_", "at", "size", "item_id").join(found.select(*[F.col(c).alias(f"{c}_") for c in ("doc_id", "key_", "at", "size")], "elements").distinct(), F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("key_") == F.col("key__")) & (F.col("at") == F.col("at_")) & (F.col("size") == F.col("size_")))
-    both = both.join(item_df.select(F.col("item_id").alias("i_"), "item_size", "item_elements").distinct(), F.col("item_id").eqNullSafe(F.col("i_")) & (F.col("size") == F.col("item_size")))
+    items = cut(item_rows(benchmark, width), "leak-items")
+    found = found_windows(docs, benchmark, items, width, similarity, slice_words).withColumn("content", F.xxhash64("elements"))
+    same = ["size", "fp", "content"]
+    unlike = cut(found.select(*same, "elements").dropDuplicates(same), "leak-unlike")
+    listed = items.select("item_id", "item_size", "item_fp", F.xxhash64("item_elements").alias("item_content"))
+    pairs = near_pairs(unlike.select(*same), listed.select("item_size", "item_fp", "item_content").distinct())
+    texts = items.groupBy(F.col("item_size").alias("s_"), F.xxhash64("item_elements").alias("c_")).agg(F.any_value("item_elements").alias("item_elements"))
+    both = pairs.join(unlike, same).join(texts, (F.col("item_size") == F.col("s_")) & (F.col("item_content") == F.col("c_")))
     shared = F.size(F.array_intersect("elements", "item_elements"))
-    scored = both.withColumn("similarity", shared / (F.size("elements") + F.size("item_elements") - shared)).filter(F.col("similarity") >= similarity)
-    return scored.groupBy("doc_id", "key_", "item_id").agg(F.max("similarity").alias("similarity"), F.countDistinct("at", "size").alias("n_windows"), F.min("at").alias("first_word"))
-
-
-def _any_block(fp: str, j):
-    bits = 64 // BLOCKS
-    out = _block(fp, BLOCKS - 1)
-    for k in range(BLOCKS - 1):
-        out = F.when(j == k, _block(fp, k)).otherwise(out)
-    return out.cast("int") if bits else out
+    scored = both.withColumn("similarity", shared / (F.size("elements") + F.size("item_elements") - shared)).filter(F.col("similarity") >= similarity).select(*same, "item_content", "similarity")
+    named = scored.join(listed.select("item_id", F.col("item_size").alias("size"), "item_content"), ["size", "item_content"])
+    placed = found.select("doc_id", "key_", "at", *same).join(cut(named, "leak-pairs"), same)
+    return placed.groupBy("doc_id", "key_", "item_id").agg(F.max("similarity").alias("similarity"), F.countDistinct("at", "size").alias("n_windows"), F.min("at").alias("first_word"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their own columns."""
+    """The rows of ``docs`` that hold no benchmark item, with their own columns; null and empty texts, repeated rows and null ids stay. Without items all rows stay."""
     leaks = matches(docs, benchmark, width, similarity).select(F.col("doc_id").alias("leak_id_"), F.col("key_").alias("leak_key_")).distinct()
     return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(leaks["leak_id_"]) & (F.xxhash64(docs["text"]) == leaks["leak_key_"]), "left_anti")
