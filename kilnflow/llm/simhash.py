@@ -16,8 +16,10 @@ from kilnflow.llm.graph import components
 BITS, SEED = 64, 42
 #: Words hashed at a time, so that the longest text needs little memory beside its words.
 BLOCK = 1 << 16
-#: A bucket with more fingerprints is not compared pair by pair.
+#: A bucket with more fingerprints is split by the masks of the next family before its pairs are compared.
 PAIRWISE = 128
+#: So many families by radius. After three, the masks of radius 2 leave 8 bits free at most, so a bucket has 256 fingerprints at most.
+FAMILIES = {2: 3, 4: 4}
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -52,44 +54,49 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key_ long, fp long")
 
 
-def covering_masks(radius: int) -> list[int]:
+def covering_masks(radius: int, family: int = 0) -> list[int]:
     """2 ** (radius + 1) - 1 masks: for any set of at most ``radius`` bits, some mask has none of them.
 
-    Bit i gets the vector (i mod (2 ** (radius + 1) - 1)) + 1 of radius + 1
+    Bit i gets the vector (p(i) mod (2 ** (radius + 1) - 1)) + 1 of radius + 1
     bits; mask v has the bits whose vector has an odd overlap with v. Fewer
     vectors than dimensions always leave some v that is even on all of them.
+    p is the order of the bits, another one for each family.
     """
     vectors = (1 << (radius + 1)) - 1
-    return [sum(1 << i for i in range(BITS) if ((i % vectors + 1) & v).bit_count() % 2) for v in range(1, vectors + 1)]
+    place = lambda i: i * (1, 9, 60, 23)[family] % 67 // (5 if family and radius == 2 else 1)
+    return [sum(1 << i for i in range(BITS) if ((place(i) % vectors + 1) & v).bit_count() % 2) for v in range(1, vectors + 1)]
 
 
 def links(fps: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
-    """(a, b): links that join exactly the fingerprints (distinct longs ``fp``) within ``radius`` bits, or join them through others that are.
+    """(a, b): all pairs of the fingerprints (distinct longs ``fp``) within ``radius`` bits, a < b, some of them repeated.
 
-    Pairs within a covering table's bucket are compared in place. In a bucket
-    of more than ``pairwise`` fingerprints, each takes part in the groups of
-    all numbers within radius / 2 bits of it instead: two share such a number
-    just when they are within the radius (which must be even), and a group
-    holds no more fingerprints than a ball of that radius has numbers.
+    Pairs within a covering table's bucket are compared in place. The
+    fingerprints of a bucket of more than ``pairwise`` are dealt again, by the
+    masks of the next family together with the first: those keep together
+    every pair within the radius, too, and each family leaves fewer bits free.
     """
-    if radius % 2 or not 0 < radius <= 4:
+    if radius not in FAMILIES:
         raise ValueError("radius must be 2 or 4")
     signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    cells = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("cell")) for t, m in enumerate(covering_masks(radius))])
-    placed = fps.select("fp", F.explode(cells).alias("x")).select("fp", "x.*")
-    sizes = placed.groupBy(F.col("t").alias("t_"), F.col("cell").alias("cell_")).agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(placed.join(sizes, (F.col("t") == F.col("t_")) & (F.col("cell") == F.col("cell_"))).select("fp", "t", "cell", "n"), "simhash-cells")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     pair = lambda xs: F.flatten(F.transform(xs, lambda a: F.transform(F.filter(xs, lambda b: (b > a) & near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    few = shared.filter(F.col("n") <= pairwise).groupBy("t", "cell").agg(F.collect_list("fp").alias("fps")).select(F.explode(pair(F.col("fps"))).alias("e")).select("e.*")
-    flips = [0, *[1 << i for i in range(BITS)]]
-    if radius == 4:
-        flips += [(1 << i) | (1 << j) for i in range(BITS) for j in range(i)]
-    ball = F.transform(F.array(*[F.lit(signed(x)) for x in flips]), lambda x: F.col("fp").bitwiseXOR(x))
-    many = shared.filter(F.col("n") > pairwise).select("fp").distinct().select("fp", F.explode(ball).alias("centre"))
-    grouped = many.groupBy("centre").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = grouped.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
-    return few.unionByName(stars)
+    dealt = fps.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("cell"))
+    out: DataFrame | None = None
+    for family in range(FAMILIES[radius]):
+        masks = covering_masks(radius, family)
+        cells = F.array(*[F.struct((F.col("path") * len(masks) + t).alias("path"), F.col("cell").bitwiseOR(F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("cell")) for t, m in enumerate(masks)])
+        placed = dealt.select("fp", F.explode(cells).alias("x")).select("fp", "x.*")
+        sizes = placed.groupBy(F.col("path").alias("path_"), F.col("cell").alias("cell_")).agg(F.count("*").alias("n")).filter("n > 1")
+        shared = cut(placed.join(sizes, (F.col("path") == F.col("path_")) & (F.col("cell") == F.col("cell_"))).select("fp", "path", "cell", "n"), "simhash-cells")
+        last = family == FAMILIES[radius] - 1
+        few = shared if last else shared.filter(F.col("n") <= pairwise)
+        found = few.groupBy("path", "cell").agg(F.collect_list("fp").alias("fps")).select(F.explode(pair(F.col("fps"))).alias("e")).select("e.*")
+        out = found if out is None else out.unionByName(found)
+        dealt = shared.filter(F.col("n") > pairwise).select("fp", "path", "cell")
+        if last or dealt.isEmpty():
+            break
+    assert out is not None
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
@@ -112,9 +119,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, pairwise:
 
 
 def dedup(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """One row of ``docs`` of each group of near-duplicates, the one with the least doc_id (nulls last, then text hash), with its own columns."""
+    """One row of ``docs`` of each group of near-duplicates, the one with the least doc_id (nulls last, then text hash), with its own columns whatever their names.
+
+    Of repeated rows one stays; an empty table gives an empty result.
+    """
     groups = near_duplicates(docs, width, radius)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key_")).alias("x"))
     kept = first.select(F.col("x.doc_id").alias("kept_id_"), F.col("x.key_").alias("kept_key_"))
-    rows = docs.withColumn("row_key_", F.xxhash64("text")).withColumn("row_id_", F.col("doc_id").cast("long"))
-    return rows.join(kept, F.col("row_id_").eqNullSafe(F.col("kept_id_")) & (F.col("row_key_") == F.col("kept_key_")), "left_semi").dropDuplicates(["row_id_", "row_key_"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    rows = docs.select(own, F.col("doc_id").cast("long").alias("id_"), F.xxhash64("text").alias("key_"))
+    return rows.join(kept, F.col("id_").eqNullSafe(F.col("kept_id_")) & (F.col("key_") == F.col("kept_key_")), "left_semi").dropDuplicates(["id_", "key_"]).select("row_.*")
