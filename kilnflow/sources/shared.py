@@ -46,21 +46,16 @@ def mark() -> int:
     return len(_written)
 
 
-def release(since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete what was written since a mark(), but for the files that ``keep`` reads. Results that still read the rest can't be computed afterwards."""
-    held = [f.rsplit("/", 1)[0].rsplit("/kilnflow-", 1)[-1] for f in keep.inputFiles()] if keep is not None else []
-    left = []
-    while len(_written) > since:
-        spark, path = _written.pop()
-        if path.rsplit("/kilnflow-", 1)[-1] in held:
-            left.append((spark, path))
-            continue
+def release(since: int = 0, newest: int = 0) -> None:
+    """Delete what was written since a mark(), but for the ``newest`` paths. Results that still read the rest can't be computed afterwards."""
+    gone = _written[since : len(_written) - newest]
+    del _written[since : len(_written) - newest]
+    for spark, path in gone:
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session has ended: the folder's owner clears it
             continue
-    _written.extend(left)
 
 
 atexit.register(release)  # results are lazy until the end of the program
