@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kilnflow.functions.ordering import with_positions
 from kilnflow.llm.common import cut, n_words
 
-#: Each level resolves so many more bits of the hash.
+#: Each level resolves so many more bits of the hash, in two steps of half of them.
 LEVEL_BITS, LEVELS = 16, 3
 
 
@@ -28,31 +29,49 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
 
     Weights repeat over the sources by code point, null last. They share
     ``share`` times all sizes; none gets over ``most`` times its size, and what
-    is cut is reshared by weight among the others until none is above. That
-    fixed point is target = min(most * size, level * weight) with one common
-    level, found by running sums in the order of most * size / weight. There is
-    one row per source, so the global windows stay as small as that list.
+    is cut is reshared by weight among the others until none is above: then
+    target = min(most * size, level * weight) with one common level. Each
+    resharing is one aggregation over the sources, however many there are, and
+    only raises the level, so that sources once cut stay so.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    every = Window.partitionBy(F.lit(0))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.lit(len(weights))
-    ranked = (
-        sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % n + 1).cast("int")))
-        .withColumn("cap", F.col("source_size") * F.lit(float(most)))
-        .withColumn("pool", F.sum("source_size").over(every) * F.lit(float(share)))
-        .withColumn("left", F.col("pool") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weights_left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    )
-    # The level is set by the first source whose cap is not reached when it and all later ones share what is left.
-    open_level = F.when(F.col("left") / F.col("weights_left") * F.col("weight") <= F.col("cap"), F.col("left") / F.col("weights_left"))
-    return (
-        ranked.withColumn("open_level", open_level)
-        .withColumn("level", F.max("open_level").over(every))
-        .withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))))
-        .select("source", "source_size", "weight", "target")
+    known = with_positions(sources, [F.col("source").asc_nulls_last()], "place_")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place_") % len(weights) + 1).cast("int"))
+    rows = cut(known.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")), "mix-sources")
+    pool = float(rows.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, n_cut = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > F.col("cap")
+        now = rows.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("cap"))).alias("cut"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if now.n == n_cut:
+            break
+        n_cut = now.n
+        if not now.open:  # all are cut
+            level = float("inf")
+            break
+        level = max(level, (pool - (now.cut or 0.0)) / now.open)
+    target = F.col("cap") if level == float("inf") else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    return rows.select("source", "source_size", "weight", target.alias("target"))
+
+
+def _crossing(state: DataFrame, sums: DataFrame) -> DataFrame:
+    """``state`` (source, copies, budget, prefix) moved to the slice of ``sums`` (source, slice, size) in which the running sum crosses the budget.
+
+    A source has at most 2 ** (LEVEL_BITS / 2) slices, which bounds the window.
+    The budget loses what is below the slice; the prefix gains the slice's bits.
+    """
+    first = Window.partitionBy("source").orderBy("slice")
+    running = sums.withColumn("under", F.sum("size").over(first) - F.col("size")).withColumnRenamed("source", "s_")
+    crossing = (
+        state.join(running, F.col("source").eqNullSafe(F.col("s_")) & (F.col("under") <= F.col("budget")), "left")
+        .groupBy("source", "copies", "budget", "prefix")
+        .agg(F.max(F.struct("slice", "under", "size")).alias("at"))
     )
+    return crossing.select(
+        "source", "copies",
+        (F.col("budget") - F.coalesce("at.under", F.lit(0))).alias("budget"),
+        (F.shiftleft("prefix", LEVEL_BITS // 2) + F.coalesce("at.slice", F.lit(0))).alias("prefix"),
+        F.coalesce("at.size", F.lit(0)).alias("slice_size"),
+    )
 
 
 def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -60,32 +79,25 @@ def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Returns per source the number of whole copies, and the exclusive upper
     bound ``cut_at`` on the top LEVEL_BITS * LEVELS bits of h under which one
-    more copy is taken. The slice that holds the crossing is taken whole when
+    more copy is taken. A level's sums by slice are written once and searched
+    in two steps: by the upper half of its bits, then by the lower half within
+    the crossing. The slice that holds the last crossing is taken whole when
     that lands nearer the budget.
     """
+    half = LEVEL_BITS // 2
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     state = wanted.withColumn("copies", copies).withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size")).select("source", "copies", "budget", F.lit(0).cast("long").alias("prefix"))
-    inside, first = base, Window.partitionBy("source").orderBy("slice")
+    inside = base
+    held = lambda rows, bits: rows.join(state.select(F.col("source").alias("s_"), F.col("prefix").alias("p_")), F.col("source").eqNullSafe(F.col("s_")) & (bits == F.col("p_"))).select(*rows.columns)
     for level in range(LEVELS):
         if level:
-            inside = inside.alias("d").join(state.select(F.col("source").alias("s_"), F.col("prefix").alias("p_")), F.col("source").eqNullSafe(F.col("s_")) & (F.shiftrightunsigned("h", 64 - LEVEL_BITS * level) == F.col("p_"))).select("d.*")
-        sums = inside.groupBy("source", _slice(level).alias("slice")).agg(F.sum("size").alias("size"))
-        running = sums.withColumn("under", F.sum("size").over(first) - F.col("size")).withColumnRenamed("source", "s_")
-        crossing = (
-            state.join(running, F.col("source").eqNullSafe(F.col("s_")) & (F.col("under") <= F.col("budget")), "left")
-            .groupBy("source", "copies", "budget", "prefix")
-            .agg(F.max(F.struct("slice", "under", "size")).alias("at"))
-        )
-        state = cut(
-            crossing.select(
-                "source", "copies",
-                (F.col("budget") - F.coalesce("at.under", F.lit(0))).alias("budget"),
-                (F.shiftleft("prefix", LEVEL_BITS) + F.coalesce("at.slice", F.lit(0))).alias("prefix"),
-                F.coalesce("at.size", F.lit(0)).alias("slice_size"),
-            ),
-            f"mix-level{level}",
-        )
-        last, state = state, state.select("source", "copies", "budget", "prefix")
+            inside = held(inside, F.shiftrightunsigned("h", 64 - LEVEL_BITS * level))
+        sums = cut(inside.groupBy("source", _slice(level).alias("fine")).agg(F.sum("size").alias("size")), f"mix-sums{level}")
+        state = cut(_crossing(state, sums.groupBy("source", F.shiftright("fine", half).alias("slice")).agg(F.sum("size").alias("size"))), f"mix-upper{level}").drop("slice_size")
+        top = F.col("p_").bitwiseAND(F.lit((1 << half) - 1))
+        near = sums.join(state.select(F.col("source").alias("s_"), F.col("prefix").alias("p_")), F.col("source").eqNullSafe(F.col("s_")) & (F.shiftright("fine", half) == top))
+        last = cut(_crossing(state, near.select("source", F.col("fine").bitwiseAND(F.lit((1 << half) - 1)).alias("slice"), "size")), f"mix-lower{level}")
+        state = last.drop("slice_size")
     nearer = (F.col("slice_size") > 0) & (F.col("budget") * 2 >= F.col("slice_size"))
     return last.select("source", "copies", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("cut_at"))
 
