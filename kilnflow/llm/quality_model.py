@@ -21,8 +21,10 @@ from kilnflow.llm.labelled import remainder, sample
 CHUNK, HOP = 256, 192
 #: Filters see KERNEL bytes at every STRIDE-th place.
 KERNEL, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 8, 32, 24
-#: The most labelled documents of class 0 and 1 that are fitted, and chunks of one that are.
-PER_CLASS, FIT_CHUNKS, EPOCHS = (1200, 1200), 6, 12
+#: The most labelled documents of class 0 and 1 that are fitted, with all their chunks.
+PER_CLASS, EPOCHS = (800, 800), 8
+#: Chunks of one gradient step, more only where one document has them.
+STEP_CHUNKS = 256
 #: Chunks scored at a time.
 SLAB = 512
 
@@ -97,22 +99,27 @@ class Net:
 
 
 def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 48, rate: float = 4e-3, seed: int = 7) -> Net:
-    """Adam on mini-batches; each epoch fits up to FIT_CHUNKS chunks of a document, drawn anew. Without both classes the net stays as drawn, near one half."""
+    """Adam on mini-batches of whole documents, up to ``batch`` of them and STEP_CHUNKS chunks. Without both classes the net stays as drawn, near one half."""
     net, r = Net.start(seed), np.random.default_rng(seed)
     if len(set(y.tolist())) < 2:
         net.p["u"][:] = 0
         net.p["d"][:] = 0 if not len(y) else (4 if y[0] else -4)
         return net
-    cut = [chunks(t) for t in texts]
+    sizes = np.array([len(chunks(t)) for t in texts])
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     t = 0
     for epoch in range(epochs):
         step = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.05)
-        order = r.permutation(len(y))
-        for at in range(0, len(y), batch):
-            picks = order[at : at + batch]
-            parts = [cut[i] if len(cut[i]) <= FIT_CHUNKS else cut[i][r.choice(len(cut[i]), FIT_CHUNKS, replace=False)] for i in picks]
-            g = net.gradients(np.concatenate(parts), np.repeat(np.arange(len(picks)), [len(p) for p in parts]), y[picks])
+        batches: list[list[int]] = [[]]
+        held = 0
+        for i in r.permutation(len(y)):
+            if batches[-1] and (len(batches[-1]) == batch or held + sizes[i] > STEP_CHUNKS):
+                batches.append([])
+                held = 0
+            batches[-1].append(int(i))
+            held += sizes[i]
+        for picks in batches:
+            g = net.gradients(np.concatenate([chunks(texts[i]) for i in picks]), np.repeat(np.arange(len(picks)), sizes[picks]), y[picks])
             t += 1
             for k, v in g.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * v
