@@ -21,8 +21,9 @@ from kilnflow.llm.labelled import remainder, sample
 BUCKETS = 1 << 18
 #: The most labelled documents of class 0 and 1 that are fitted; clean documents are more, as in the tables.
 PER_CLASS, EPOCHS = (4500, 1500), 10
-#: Lengths in bytes of a word's beginnings that are features beside the word itself.
+#: A feature must be in so many fitted documents to have a weight; a parameter, to be lowered for few labels.
 MIN_SEEN = 6
+#: Lengths in bytes of a word's beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 _TOKEN = re.compile(rb"[a-z\x80-\xff]+|[.!?\n]")
 _ENDS = frozenset(b".!?\n")
@@ -120,10 +121,10 @@ def _bag(text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.nda
     return np.array(bucket, np.int32), np.array(sentence, np.int32)
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.8, decay: float = 1e-4, sparsity: float = 6e-4, seed: int = 7) -> Model:
+def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.8, decay: float = 1e-4, sparsity: float = 6e-4, seed: int = 7, min_seen: int = MIN_SEEN) -> Model:
     """AdaGrad on the noisy-or likelihood of documents, with weights drawn to zero; every fifth document is held back to scale the result.
 
-    Only features seen in MIN_SEEN documents or more are fitted. Without both
+    Only features seen in ``min_seen`` documents or more are fitted. Without both
     classes every score is near that class's.
     """
     model = Model(np.zeros(BUCKETS), -5.0)
@@ -139,7 +140,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64
     seen = np.zeros(BUCKETS, np.int64)
     for b, _ in bags:
         seen[np.unique(b)] += 1
-    bags = [(b[seen[b] >= MIN_SEEN], np.unique(s[seen[b] >= MIN_SEEN], return_inverse=True)[1].astype(np.int32)) for b, s in bags]
+    bags = [(b[seen[b] >= min_seen], np.unique(s[seen[b] >= min_seen], return_inverse=True)[1].astype(np.int32)) for b, s in bags]
     speed, bias_speed, r = np.full(BUCKETS, 1e-6), 1e-6, np.random.default_rng(seed)
     for _ in range(epochs):
         order = r.permutation(len(y))
@@ -173,7 +174,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 64
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held_out: int = 2, threshold: float = 0.3, per_class: tuple[int, int] = PER_CLASS, offends: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held_out: int = 2, threshold: float = 0.3, per_class: tuple[int, int] = PER_CLASS, offends: float = 0.3, min_seen: int = MIN_SEEN) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted (1 from ``threshold``), worst_sentence (its number from 0, null without words), worst_score and offending.
 
     ``offending`` has the number and score of every sentence whose own
@@ -184,7 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4
     A null doc_id isn't held out. Sentences end with . ! ? or a line feed.
     """
     texts, y, rarer = sample(docs, labels, label, mod, held_out, per_class)
-    model = fit(texts, y)
+    model = fit(texts, y, min_seen=min_seen)
     model.b += rarer
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.a, model.b))  # of fixed size
 
