@@ -9,13 +9,12 @@ token ids.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kilnflow.llm import decontaminate, mixing, quality_rules, simhash, token_files
-from kilnflow.llm.common import cut, shared_dir, table
+from kilnflow.llm.common import cut, mark, new_path, release, table
 from kilnflow.llm.tokenizer_path import default_tokenizer
 
 
@@ -36,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/kilnflow-tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     token_files.write_blocks(docs, default_tokenizer(), path)
     return token_files.read_documents(spark, path)
 
@@ -54,8 +53,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows: doc_id, start, n_tokens, ids_crc32."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; the last one's rows: doc_id, start, n_tokens, ids_crc32.
+
+    Null ids and texts, repeated rows and ties are handled as each stage says;
+    an empty table gives an empty result. When a stage is written, the tables
+    made for it and the stage before are deleted.
+    """
+    docs, began = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        release(began, newest=1)
     return STAGES[-1][1](spark, docs, sf_dir)
