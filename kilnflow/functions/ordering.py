@@ -28,6 +28,15 @@ def with_positions(df: DataFrame, order_by: list[Column], name: str = "_position
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_place")).alias(name))
 
 
+def in_file_order(df: DataFrame, name: str = "_position") -> DataFrame:
+    """``df`` with the dense 0-based position of each row in the order in which it is read: its place in its partition plus the rows of those before."""
+    placed = cut(df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)).alias("_place")), "positions")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("_part").alias("_p"), (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    joined = placed.join(F.broadcast(before), F.col("_part") == F.col("_p"))  # a row per partition
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_place")).alias(name))
+
+
 def with_running_total(df: DataFrame, order_by: list[Column], amount: str, name: str) -> DataFrame:
     """``df`` with the sum of ``amount`` over all earlier rows in a total order (0 for the first)."""
     placed = cut(df.repartitionByRange(_partitions(df), *order_by).select("*", F.spark_partition_id().alias("_part")), "running")

@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from kilnflow.functions.ordering import with_positions
+from kilnflow.functions.ordering import in_file_order, with_positions
 
 ROW_ID = "_original_row_id"
 SUFFIXES = (".csv", ".parquet", ".xlsx")
@@ -42,8 +42,7 @@ def with_row_id(df: DataFrame, order_by: list[Column] | None = None) -> DataFram
         raise TableError(f"{ROW_ID} is reserved and already a column")
     if order_by:
         return with_positions(df, order_by, ROW_ID)
-    schema = StructType(df.schema.fields).add(ROW_ID, "long", False)
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)  # the one way to a file's own order
+    return in_file_order(df, ROW_ID)
 
 
 def load(spark: SparkSession, path: str, order_by: list[Column] | None = None) -> DataFrame:
