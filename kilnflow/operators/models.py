@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kilnflow.functions.ordering import exact_quantiles
 from kilnflow.operators.prepare import PARTITION
+from kilnflow.sources.shared import cut
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -57,7 +58,8 @@ def screen(df: DataFrame, candidates: dict, features: list[str], target: str) ->
     """Fit each candidate (name: fit function) on train and rank by RMSE, MAE, R2 on validation; one that fails has an error and no rank. The mean is the baseline."""
     from kilnflow.operators.evaluate import regression_metrics
 
-    train, valid = df.filter(F.col(PARTITION) == "train").cache(), df.filter(F.col(PARTITION) == "validation").cache()
+    df = cut(df, "screened")
+    train, valid = df.filter(F.col(PARTITION) == "train"), df.filter(F.col(PARTITION) == "validation")
     rows = []
     mean = train.agg(F.avg(target)).first()[0]
     base = regression_metrics(valid.select(F.col(target).alias("y"), F.lit(mean).alias("p"))).first()
@@ -69,7 +71,6 @@ def screen(df: DataFrame, candidates: dict, features: list[str], target: str) ->
         except Exception as e:  # a candidate's failure is its result
             rows.append((name, None, None, None, str(e)[:200]))
     out = df.sparkSession.createDataFrame(rows, "model string, rmse double, mae double, r2 double, error string")
-    train.unpersist(), valid.unpersist()
     ranked = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2], -(r[3] or 0)))
     places = {r[0]: i + 1 for i, r in enumerate(ranked)}
     place = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])
@@ -97,10 +98,10 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
         open_ = np.flatnonzero(hi > lo)
         if depth < limit and len(rows) > 1 and len(open_):
             f = int(rng.choice(open_))
-            cut = float(rng.uniform(lo[f], hi[f]))
-            below = x[rows, f] < cut
+            edge = float(rng.uniform(lo[f], hi[f]))
+            below = x[rows, f] < edge
             left, right = node(rows[below], depth + 1), node(rows[~below], depth + 1)
-            nodes[at] = (f, cut, left, right, len(rows))
+            nodes[at] = (f, edge, left, right, len(rows))
         return at
 
     node(np.arange(len(x)), 0)
@@ -152,6 +153,12 @@ def isolation_forest(df: DataFrame, features: list[str], key: str, trees: int =
 
     hashed = rows.select(F.xxhash64(key, *features).alias("h"), *features)
     pools = hashed.mapInArrow(keep, "tree long, u double, " + ", ".join(width))  # at most sample rows per tree and partition
+
+    def fewer(k: tuple, table: pa.Table) -> pa.Table:
+        return table.sort_by([("u", "ascending"), *[(f, "ascending") for f in features]]).slice(0, sample).drop(["part"])
+
+    # Two levels, so that no group holds rows of all partitions.
+    pools = pools.withColumn("part", F.spark_partition_id() % 64).groupBy("tree", "part").applyInArrow(fewer, "tree long, u double, " + ", ".join(width))
     forest = pools.groupBy("tree").applyInArrow(grow, "tree long, f array<int>, cut array<double>, l array<int>, r array<int>, n array<int>").orderBy("tree").collect()
     shared = spark.sparkContext.broadcast([tuple(np.array(r[k]) for k in ("f", "cut", "l", "r", "n")) for r in forest])
     size = float(min(sample, max((int(r.n[0]) for r in forest), default=2)))
@@ -160,12 +167,12 @@ def isolation_forest(df: DataFrame, features: list[str], key: str, trees: int =
         for b in batches:
             x = _matrix(b, len(features))
             depth = np.zeros(len(x))
-            for f, cut, left, right, n in shared.value:
+            for f, edges, left, right, n in shared.value:
                 at, d = np.zeros(len(x), int), np.zeros(len(x))
                 while (live := f[at] >= 0).any():
                     rows_ = np.flatnonzero(live)
                     node = at[rows_]
-                    at[rows_] = np.where(x[rows_, f[node]] < cut[node], left[node], right[node])
+                    at[rows_] = np.where(x[rows_, f[node]] < edges[node], left[node], right[node])
                     d[rows_] += 1
                 depth += d + _average_path(n[at])
             s = 2.0 ** (-depth / max(1, len(shared.value)) / float(max(_average_path(size), 1e-9)))
@@ -182,16 +189,18 @@ def isolation_forest(df: DataFrame, features: list[str], key: str, trees: int =
 
 
 def elliptic_envelope(df: DataFrame, features: list[str], contamination: float = 0.05, trims: int = 3) -> DataFrame:
-    """``df`` with the squared Mahalanobis distance and flag; mean and covariance are refitted on the nearer half ``trims`` times.
+    """``df`` with the squared Mahalanobis distance and flag; mean and covariance of the train rows are refitted on the nearer half ``trims`` times.
 
+    The threshold is a quantile of the train rows' distances. Without a partition column all rows are train rows.
     Means and covariances are one aggregation; the inverse of a matrix as wide as the features is the driver's only work.
     """
     from pyspark.ml.stat import Correlation
 
-    rows = assemble(df, features)
-    inside = rows
+    rows = cut(assemble(df, features), "envelope")
+    train = rows.filter(F.col(PARTITION) == "train") if PARTITION in df.columns else rows
+    inside = train
 
-    def distances(base: DataFrame) -> DataFrame:
+    def distances(base: DataFrame) -> tuple[DataFrame, DataFrame]:
         stats = base.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).select("s.mean", "s.std").first()
         corr = Correlation.corr(base, "features").first()[0].toArray()
         std = np.asarray(stats.std.toArray())
@@ -201,33 +210,34 @@ def elliptic_envelope(df: DataFrame, features: list[str], contamination: float =
         for i, a in enumerate(d):
             for j, b in enumerate(d):
                 total = total + F.lit(float(inverse[i, j])) * a * b
-        return rows.withColumn("_distance", total)
+        return train.withColumn("_distance", total), rows.withColumn("_distance", total)
 
     for _ in range(trims):
-        measured = distances(inside)
+        measured, _ = distances(inside)
         half = exact_quantiles(measured.select(F.lit(0).alias("g"), "_distance"), "g", "_distance", {"t": 0.5}).first().t
         inside = measured.filter(F.col("_distance") <= half)
-    measured = distances(inside).drop("features")
-    limit = exact_quantiles(measured.select(F.lit(0).alias("g"), "_distance"), "g", "_distance", {"t": 1 - contamination}).select("t")
+    fitted, measured = (x.drop("features") for x in distances(inside))
+    limit = exact_quantiles(fitted.select(F.lit(0).alias("g"), "_distance"), "g", "_distance", {"t": 1 - contamination}).select("t")
     return measured.crossJoin(F.broadcast(limit)).withColumn("_anomaly_score", F.col("_distance") - F.col("t")).withColumn("_is_anomaly", F.col("_anomaly_score") > 0).drop("_distance", "t")  # one row
 
 
 def one_class(df: DataFrame, features: list[str], nu: float = 0.05, width: int = 64, seed: int = 42) -> DataFrame:
     """``df`` with a one-class score: distance from the mean in random Fourier features of an RBF kernel with gamma 1 / (features * variance).
 
-    The mean of the features stands for the support; rows beyond the nu
-    quantile of distances are flagged. It approximates a one-class SVM, which
+    The mean of the train rows' features stands for the support; rows beyond
+    the nu quantile of the train rows' distances are flagged. It approximates a one-class SVM, which
     Spark lacks, in one aggregation and one projection.
     """
-    stats = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
+    of_train = lambda rows: rows.filter(F.col(PARTITION) == "train") if PARTITION in df.columns else rows
+    stats = of_train(df).agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
     rng = np.random.default_rng(seed)
     w, shift = rng.standard_normal((width, len(features))) * (2 / len(features)) ** 0.5, rng.uniform(0, 2 * np.pi, width)
     z = [(F.col(f) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) for i, f in enumerate(features)]
     waves = F.array(*[F.cos(sum((F.lit(float(w[k, i])) * z[i] for i in range(1, len(features))), F.lit(float(w[k, 0])) * z[0]) + F.lit(float(shift[k]))) for k in range(width)])
     rows = df.withColumn("_z", waves)
-    means = rows.select(F.posexplode("_z").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).orderBy("k").collect()  # width rows
+    means = of_train(rows).select(F.posexplode("_z").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).orderBy("k").collect()  # width rows
     centre = F.array(*[F.lit(r.m) for r in means])
     far = F.aggregate(F.zip_with("_z", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
     scored = rows.withColumn("_d", far).drop("_z")
-    limit = exact_quantiles(scored.select(F.lit(0).alias("g"), "_d"), "g", "_d", {"t": 1 - nu}).select("t")
+    limit = exact_quantiles(of_train(scored).select(F.lit(0).alias("g"), "_d"), "g", "_d", {"t": 1 - nu}).select("t")
     return scored.crossJoin(F.broadcast(limit)).withColumn("_anomaly_score", F.col("_d") - F.col("t")).withColumn("_is_anomaly", F.col("_anomaly_score") > 0).drop("_d", "t")  # one row
