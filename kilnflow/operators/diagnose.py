@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kilnflow.functions.ordering import average_ranks, exact_quantiles
 from kilnflow.functions.statistics import correlation
 from kilnflow.operators.evaluate import MAD_TO_SIGMA, MIN_SCALE
+from kilnflow.sources.shared import cut
 
 Z_THRESHOLD, TOLERANCE, RRF = 3.5, 1e-12, 60.0
 POSITIVE, NEGATIVE, MIXED, UNKNOWN = "positive", "negative", "mixed", "unknown"
@@ -44,7 +45,7 @@ def group_comparison(df: DataFrame, features: list[str], flag: str, minimum_refe
     Where the MAD vanishes the z is null, prevalence is the share of flagged
     rows away from the median, and it stands in for the effect.
     """
-    rows = long_features(df, features, {"flag": decode_flag(F.col(flag))}).filter("value IS NOT NULL")
+    rows = cut(long_features(df, features, {"flag": decode_flag(F.col(flag))}).filter("value IS NOT NULL"), "long-features")
     fitted = F.broadcast(_group_medians(rows).withColumn("scale", MAD_TO_SIGMA * F.col("mad")))  # a row per feature
     gap = F.abs(F.col("value") - F.col("ref_median"))
     flat = F.col("scale") <= MIN_SCALE
@@ -62,27 +63,42 @@ def group_comparison(df: DataFrame, features: list[str], flag: str, minimum_refe
     return stats.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), effect * support * repeat))).withColumn("direction", direction).drop("high", "low")
 
 
-def spearman(rows: DataFrame, other: str) -> DataFrame:
-    """(feature, rho) of long rows: correlation of average ranks of ``value`` and of the column ``other``; 0 where one is constant."""
-    a = average_ranks(rows, "feature", "value", "rx")
-    b = average_ranks(rows, "feature", other, "ry").withColumnRenamed(other, "other_")
-    pairs = rows.groupBy("feature", "value", F.col(other).alias("other_")).agg(F.count("*").alias("n"))
-    ranked = pairs.join(a, ["feature", "value"]).join(b, ["feature", "other_"])
+def rank_correlations(rows: DataFrame, others: list[str]) -> DataFrame:
+    """(feature, rho_<other>...) of long rows: correlation of average ranks of ``value`` and of each other column; 0 where one is constant.
+
+    All columns are ranked by one running total over (feature, column, value).
+    """
+    names = ["value", *others]
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(names)])
+    stacked = rows.select("feature", F.explode(cells).alias("x")).select(F.struct("feature", "x.k").alias("g"), "x.v")
+    ranks = cut(average_ranks(stacked, "g", "v", "rank_").select("g.feature", "g.k", "v", "rank_"), "ranks")
+    ranked = rows.groupBy("feature", *names).agg(F.count("*").alias("n"))
+    for k, c in enumerate(names):
+        own = ranks.filter(F.col("k") == k).select(F.col("feature").alias("f_"), F.col("v").alias("v_"), F.col("rank_").alias(f"r{k}"))
+        ranked = ranked.join(own, (F.col("feature") == F.col("f_")) & (F.col(c) == F.col("v_"))).drop("f_", "v_")
     n = F.sum("n").cast("double")
     mean = lambda c: F.sum(c * F.col("n")) / n
-    x, y = F.col("rx"), F.col("ry")
-    sums = ranked.groupBy("feature").agg(mean(x).alias("mx"), mean(y).alias("my"), mean(x * x).alias("xx"), mean(y * y).alias("yy"), mean(x * y).alias("xy"))
-    sx, sy = F.sqrt(F.greatest(F.col("xx") - F.col("mx") ** 2, F.lit(0.0))), F.sqrt(F.greatest(F.col("yy") - F.col("my") ** 2, F.lit(0.0)))
-    rho = F.when((sx <= MIN_SCALE) | (sy <= MIN_SCALE), 0.0).otherwise(F.try_divide(F.col("xy") - F.col("mx") * F.col("my"), sx * sy))
-    return sums.select("feature", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("rho"))
+    r = lambda k: F.col(f"r{k}")
+    keys = range(len(names))
+    sums = ranked.groupBy("feature").agg(*[mean(r(k)).alias(f"m{k}") for k in keys], *[mean(r(k) * r(k)).alias(f"s{k}") for k in keys], *[mean(r(0) * r(k)).alias(f"c{k}") for k in keys if k])
+    sd = lambda k: F.sqrt(F.greatest(F.col(f"s{k}") - F.col(f"m{k}") ** 2, F.lit(0.0)))
+    rho = lambda k: F.when((sd(0) <= MIN_SCALE) | (sd(k) <= MIN_SCALE), 0.0).otherwise(F.try_divide(F.col(f"c{k}") - F.col("m0") * F.col(f"m{k}"), sd(0) * sd(k)))
+    return sums.select("feature", *[F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho(k))).alias(f"rho_{c}") for k, c in enumerate(names) if k])
+
+
+def spearman(rows: DataFrame, other: str) -> DataFrame:
+    """(feature, rho): rank_correlations() with one other column."""
+    return rank_correlations(rows, [other]).withColumnRenamed(f"rho_{other}", "rho")
 
 
 def residual_association(df: DataFrame, features: list[str], flag: str = "_is_residual_anomaly", residual: str = "_regression_residual", score: str = "_residual_anomaly_score", weights: tuple[float, float, float] = (0.45, 0.35, 0.20), minimum: tuple[int, int, int] = (5, 2, 1), threshold: float = Z_THRESHOLD, single_event: bool = False) -> DataFrame:
     """A row per feature: rank correlations with residual and score, group deviation, prevalence, raw score, direction and confidence.
 
     ``minimum``: rows in all, reference rows and flagged rows of full support.
+    Residuals and scores that agree to nine places are ties in their ranks, so
+    that the last bits of a difference don't part them.
     """
-    rows = long_features(df, features, {"flag": decode_flag(F.col(flag)), "residual": F.col(residual), "score": F.col(score)}).filter("value IS NOT NULL")
+    rows = cut(long_features(df, features, {"flag": decode_flag(F.col(flag)), "residual": F.round(residual, 9), "score": F.round(score, 9)}).filter("value IS NOT NULL"), "long-features")
     medians = _group_medians(rows.select("feature", "flag", "value")).withColumn("scale", F.greatest(MAD_TO_SIGMA * F.col("mad"), F.lit(MIN_SCALE)))
     fitted = F.broadcast(medians)  # a row per feature
     gap = F.abs(F.col("value") - F.col("ref_median")) / F.col("scale")
@@ -90,7 +106,7 @@ def residual_association(df: DataFrame, features: list[str], flag: str = "_is_re
         F.count("*").alias("n_rows"), F.count_if(~F.col("flag")).alias("n_reference"), F.count_if("flag").alias("n_anomalous"), F.avg(F.when(F.col("flag"), (gap >= threshold).cast("double"))).alias("prevalence"),
         F.bool_or(F.col("flag") & (F.col("value") > F.col("ref_median") + TOLERANCE)).alias("high"), F.bool_or(F.col("flag") & (F.col("value") < F.col("ref_median") - TOLERANCE)).alias("low"),
     )
-    stats = stats.join(spearman(rows, "residual").withColumnRenamed("rho", "rho_residual"), "feature").join(spearman(rows, "score").withColumnRenamed("rho", "rho_score"), "feature")
+    stats = stats.join(rank_correlations(rows, ["residual", "score"]), "feature")
     z = F.abs(F.col("anomaly_median") - F.col("ref_median")) / F.col("scale")
     stats = stats.withColumn("group_z", z)
     raw = weights[0] * F.abs("rho_score") + weights[1] * F.col("group_z") / (F.col("group_z") + 1) + weights[2] * F.col("prevalence")
@@ -181,4 +197,4 @@ def compare_events(df: DataFrame, features: list[str], flag: str, score: str, ro
     return out.filter("confidence <> 0").withColumn("normalized_score", F.col("confidence") / F.max("confidence").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("confidence"), F.desc("prevalence"), F.asc("place"))))
 
 
-__all__ = ["aggregate_events", "aggregate_rrf", "compare_events", "correlation", "decode_flag", "fuse", "group_comparison", "long_features", "rank_factors", "residual_association", "spearman"]
+__all__ = ["aggregate_events", "aggregate_rrf", "compare_events", "correlation", "decode_flag", "fuse", "group_comparison", "long_features", "rank_correlations", "rank_factors", "residual_association", "spearman"]
