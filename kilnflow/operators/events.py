@@ -38,6 +38,14 @@ def latest_row(df: DataFrame, order_key: str, row_id: str = ROW_ID) -> DataFrame
     return df.orderBy(F.desc_nulls_last(order_key), F.asc(row_id)).limit(1)
 
 
+def choose_operating_point(df: DataFrame, time: str | None, row_id: str = ROW_ID, explicit: DataFrame | None = None, residual: str | None = None, unsupervised: str | None = None) -> DataFrame:
+    """The row to start from: of the explicit id (one row with ``row_id``), else of the top residual score, else of the top unsupervised score, else the latest by ``time``, else of the largest id. Ties go to the least id."""
+    if explicit is not None:
+        return df.join(F.broadcast(explicit.select(row_id).distinct()), row_id, "left_semi")  # one row
+    key = residual or unsupervised or time
+    return df.orderBy(F.desc_nulls_last(key), F.asc(row_id)).limit(1) if key else df.orderBy(F.desc(row_id)).limit(1)
+
+
 def context_windows(df: DataFrame, event_ids: DataFrame, order_by: list, radius: int = 3, row_id: str = ROW_ID) -> DataFrame:
     """(event_id, offset, row columns): the rows within ``radius`` places of each event.
 

@@ -188,6 +188,37 @@ def time_order(df: DataFrame, key: str) -> DataFrame:
     return ends.select((after("train", "validation") | after("validation", "test") | after("train", "test")).alias("violated"), (tie("train", "validation") | tie("validation", "test")).alias("boundary_tie"))
 
 
+def union_relaxed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both, columns by name; a column of two types gets the wider one, text where none holds both, and one that a side lacks is null there."""
+    kinds, other = dict(a.dtypes), dict(b.dtypes)
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+    def wider(x: str, y: str) -> str:
+        if x == y:
+            return x
+        if x in numbers and y in numbers:
+            return "double" if "float" in (x, y) else numbers[max(numbers.index(x), numbers.index(y))]
+        return "double" if {x, y} <= {*numbers} | {k for k in (x, y) if k.startswith("decimal")} else "string"
+
+    types = {c: wider(kinds.get(c, other.get(c)), other.get(c, kinds.get(c))) for c in [*kinds, *[c for c in other if c not in kinds]]}
+    side = lambda df, own: df.select(*[(F.col(f"`{c}`") if c in own else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    return side(a, kinds).unionByName(side(b, other))
+
+
+def same_sequence(a: DataFrame, order_a: list[Column], b: DataFrame, order_b: list[Column], row_id: str = ROW_ID) -> DataFrame:
+    """One row: sizes of two ordered lists of ids, the places where they differ (nulls are equal, a missing place differs), and whether they are the same."""
+    left = with_positions(a, order_a, "_place").select("_place", F.col(row_id).alias("_a"), F.lit(True).alias("_in_a"))
+    right = with_positions(b, order_b, "_place").select("_place", F.col(row_id).alias("_b"), F.lit(True).alias("_in_b"))
+    both = left.join(right, "_place", "full_outer")
+    differs = F.col("_in_a").isNull() | F.col("_in_b").isNull() | ~F.col("_a").eqNullSafe(F.col("_b"))
+    return both.agg(F.count("_in_a").alias("n_left"), F.count("_in_b").alias("n_right"), F.count_if(differs).alias("n_different")).withColumn("same", F.col("n_different") == 0)
+
+
+def first_seen(df: DataFrame, text: str, position: str, most: int = 200) -> DataFrame:
+    """Each distinct text with its first place and number of occurrences, the first ``most`` in order; the limit is the report's."""
+    return df.groupBy(text).agg(F.min(position).alias("first_place"), F.count("*").alias("occurrences")).orderBy("first_place").limit(most)
+
+
 def check_split(df: DataFrame, minimum: dict[str, int] | None = None) -> None:
     """Refuse a split that leaves a partition too few rows."""
     sizes = {r[PARTITION]: r["count"] for r in df.groupBy(PARTITION).count().collect()}

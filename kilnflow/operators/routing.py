@@ -39,19 +39,24 @@ def score_industries(metadata: DataFrame, keywords: dict[str, tuple[str, ...]] =
     return out.select("dataset", "industry", "place", "score", F.round(F.least(F.lit(1.0), F.col("score") / FULL_SCORE), 4).alias("confidence"), "matches")
 
 
-def route_industry(scores: DataFrame) -> DataFrame:
-    """A row per data set: AUTO_SELECTED, CONFIRMATION_REQUIRED (low confidence or margin) or FALLBACK_GENERIC."""
+def route_industry(scores: DataFrame, confirmed: DataFrame | None = None) -> DataFrame:
+    """A row per data set: USER_CONFIRMED where ``confirmed`` (dataset, industry) has it, else AUTO_SELECTED, CONFIRMATION_REQUIRED (low confidence or margin) or FALLBACK_GENERIC."""
     w = Window.partitionBy("dataset").orderBy(F.desc("score"), F.desc("confidence"), F.asc("place"))
     top = scores.withColumn("rank", F.row_number().over(w)).withColumn("margin", F.col("score") - F.lead("score").over(w)).filter("rank = 1")
     decision = F.when(F.col("score") < MIN_SCORE, "FALLBACK_GENERIC").when((F.col("confidence") < MIN_CONFIDENCE) | (F.col("margin") < MIN_MARGIN), "CONFIRMATION_REQUIRED").otherwise("AUTO_SELECTED")
-    return top.select("dataset", F.when(F.col("score") < MIN_SCORE, "generic").otherwise(F.col("industry")).alias("industry"), "score", "confidence", "margin", decision.alias("decision"))
+    routed = top.select("dataset", F.when(F.col("score") < MIN_SCORE, "generic").otherwise(F.col("industry")).alias("industry"), "score", "confidence", "margin", decision.alias("decision"))
+    if confirmed is None:
+        return routed
+    by_user = confirmed.groupBy("dataset").agg(F.min("industry").alias("_user"))
+    joined = routed.join(by_user, "dataset", "left")
+    return joined.withColumn("industry", F.coalesce("_user", "industry")).withColumn("decision", F.when(F.col("_user").isNotNull(), "USER_CONFIRMED").otherwise(F.col("decision"))).drop("_user")
 
 
 def map_roles(columns: DataFrame, synonyms: dict[str, tuple[str, str]] | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
     """``columns``: (column_name, dtype, unique_count). Adds role and confidence by the first rule that holds.
 
     ``synonyms``: name to (canonical name, role); a canonical name stands for
-    itself. Rules: override, row id, canonical, synonym, temporal type, time-like
+    itself; a synonym of several roles makes the column UNKNOWN. Rules: override, row id, canonical, synonym, temporal type, time-like
     name, id-like name, target-like name, Boolean, text of few values, text.
     """
     name, dtype = F.col("column_name"), F.col("dtype")
@@ -59,12 +64,17 @@ def map_roles(columns: DataFrame, synonyms: dict[str, tuple[str, str]] | None =
     known = {k: (c, r) for k, (c, r) in (synonyms or {}).items()}
     pick = lambda table, key: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key] if table else F.lit(None).cast("string")
     canonical = pick({k: r for k, (c, r) in known.items() if k == c}, name)
-    synonym = pick({k.replace("_", " "): r for k, (c, r) in known.items() if k != c}, plain)
+    roles: dict[str, set[str]] = {}
+    for k, (c, r) in known.items():
+        if k != c:
+            roles.setdefault(" ".join(k.lower().replace("_", " ").split()), set()).add(r)
+    synonym = pick({k: min(r) for k, r in roles.items() if len(r) == 1}, plain)
+    unsure = pick({k: "UNKNOWN" for k, r in roles.items() if len(r) > 1}, plain)
     like = lambda words: F.exists(F.split(plain, " "), lambda w: w.isin(*words))
     rule = lambda cond, role, confidence: F.when(cond, F.struct(role.alias("role") if isinstance(role, Column) else F.lit(role).alias("role"), F.lit(confidence).alias("confidence")))
     given = pick(overrides or {}, name)
     found = F.coalesce(
-        rule(given.isNotNull(), given, 1.0), rule(name == "_original_row_id", "IDENTIFIER", 1.0), rule(canonical.isNotNull(), canonical, 0.98), rule(synonym.isNotNull(), synonym, 0.95),
+        rule(given.isNotNull(), given, 1.0), rule(name == "_original_row_id", "IDENTIFIER", 1.0), rule(canonical.isNotNull(), canonical, 0.98), rule(unsure.isNotNull(), "UNKNOWN", 0.0), rule(synonym.isNotNull(), synonym, 0.95),
         rule(F.regexp_like(dtype, F.lit("^(date|timestamp|time)")), "TIME", 0.90), rule(like(("time", "timestamp", "date", "datetime")), "TIME", 0.88), rule(like(("id", "uuid", "serial")), "IDENTIFIER", 0.88),
         rule(like(("target", "yield", "quality", "defect", "label")), "TARGET_QUALITY", 0.85), rule(dtype == "boolean", "CONTEXT", 0.80),
         rule((dtype == "string") & (F.col("unique_count") <= MAX_CLASSES), "CONTEXT", 0.75), rule(dtype == "string", "IDENTIFIER", 0.70), rule(F.lit(True), "UNKNOWN", 0.0),
@@ -73,10 +83,10 @@ def map_roles(columns: DataFrame, synonyms: dict[str, tuple[str, str]] | None =
 
 
 def route_task(targets: DataFrame) -> DataFrame:
-    """``targets``: (dtype, unique_count, row_count) of a target column. Adds the task and whether it needs confirmation."""
+    """``targets``: (dtype, unique_count, row_count) of a target column. Adds the task and whether it needs confirmation; without a target (dtype null) anomalies are sought."""
     few = (F.col("unique_count") <= MAX_CLASSES) & (F.col("unique_count") / F.col("row_count") <= MAX_CLASS_RATIO)
     text = F.col("dtype").isin("string", "boolean")
-    return targets.withColumn("task", F.when(text | few, "CLASSIFICATION").otherwise("REGRESSION")).withColumn("needs_confirmation", ~text & few)
+    return targets.withColumn("task", F.when(F.col("dtype").isNull(), "UNSUPERVISED_ANOMALY").when(text | few, "CLASSIFICATION").otherwise("REGRESSION")).withColumn("needs_confirmation", F.coalesce(~text & few, F.lit(False)))
 
 
 def leaky_names(spark: SparkSession, features: list[str], target: str) -> DataFrame:

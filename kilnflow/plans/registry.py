@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnflow.plans import anomaly, preparation, recommendation
+from kilnflow.plans import anomaly, preparation, recommendation, screening
 
-QUERIES: dict = preparation.QUERIES | anomaly.QUERIES | recommendation.QUERIES
-ORACLE_SQL: dict = preparation.ORACLE_SQL | anomaly.ORACLE_SQL | recommendation.ORACLE_SQL
+QUERIES: dict = preparation.QUERIES | anomaly.QUERIES | recommendation.QUERIES | screening.QUERIES
+ORACLE_SQL: dict = preparation.ORACLE_SQL | anomaly.ORACLE_SQL | recommendation.ORACLE_SQL | screening.ORACLE_SQL
