@@ -139,3 +139,84 @@ def stability(checked: DataFrame, proposal_improves: bool) -> DataFrame:
     sums = checked.agg(F.count("*").alias("n"), F.count_if("improves").alias("better"))
     kind = F.when(~F.lit(proposal_improves), "NOT_IMPROVING").when(F.col("n") == 0, "NO_NEIGHBORS").when(F.col("better") == F.col("n"), "STABLE").when(F.col("better") == 0, "ISOLATED").otherwise("MIXED")
     return sums.select(F.col("n").alias("n_neighbours"), F.col("better").alias("n_improving"), kind.alias("stability"))
+
+
+#: The stages of a recommendation, in order.
+STAGES = ("SAFETY", "CONSTRAINT_RESOLUTION", "CANDIDATE_SELECTION", "GRID_GENERATION", "SCENARIO_SCORING", "SCENARIO_RANKING", "RECOMMENDATION_GENERATION")
+
+
+def gate_decision(judged: DataFrame, blockers: dict[str, bool] | None = None, warnings: tuple[str, ...] = ()) -> DataFrame:
+    """One row from safety_gate(): status, number of eligible and blocked variables, and the reasons.
+
+    REFUSED with any global blocker or no eligible variable; CAUTION with a
+    warning or a blocked variable; else APPROVED. ``blockers``: reason to whether it holds.
+    """
+    held = [name for name, holds in (blockers or {}).items() if holds]
+    sums = judged.agg(F.count_if("eligible").alias("n_eligible"), F.count_if(~F.col("eligible")).alias("n_blocked"))
+    none = F.col("n_eligible") == 0
+    status = F.when(F.lit(bool(held)) | none, "REFUSED").when(F.lit(bool(warnings)) | (F.col("n_blocked") > 0), "CAUTION").otherwise("APPROVED")
+    reasons = F.concat(F.array(*map(F.lit, held)).cast("array<string>"), F.when(none, F.array(F.lit("NO_ELIGIBLE_VARIABLE"))).otherwise(F.array().cast("array<string>")))
+    return sums.select(status.alias("status"), "n_eligible", "n_blocked", F.array_join(reasons, ",").alias("reasons"))
+
+
+def select_candidates(factors: DataFrame, judged: DataFrame, constraints: DataFrame) -> DataFrame:
+    """The variables to change, in the order of their diagnosis rank: eligible by the gate and with a resolved constraint, and whether the current value stands at a bound."""
+    eligible = judged.filter("eligible").select(F.col("feature").alias("_eligible"))
+    resolved = constraints.filter("status = 'RESOLVED'")
+    rows = factors.join(eligible, F.col("feature") == F.col("_eligible")).join(resolved, F.col("feature") == F.col("variable"))
+    at = lambda bound: F.abs(F.col("current_value") - F.col(bound)) <= TOLERANCE
+    return rows.select("variable", F.col("rank").alias("diagnosis_rank"), "confidence", "current_value", "minimum", "maximum", "lower_room", "upper_room", "relative_position", at("minimum").alias("at_lower_bound"), at("maximum").alias("at_upper_bound"))
+
+
+def score_fitted(rows: DataFrame, model, features: list[str], name: str = "quality_prediction") -> DataFrame:
+    """Scenario rows with the prediction of a fitted model over their values, and its difference from the baseline's."""
+    from kilnflow.operators.models import predict
+
+    columns = rows.columns
+    scored = predict(model, rows.select("*", *[F.element_at("values", f).alias(f) for f in features]), features, name).select(*columns, name)
+    return scored.withColumn(f"{name}_delta", F.col(name) - F.max(F.when(F.col("scenario_index") == 0, F.col(name))).over(_all()))
+
+
+def recommendation(ranked: DataFrame, decision: DataFrame) -> DataFrame:
+    """One row: status, scenario, its values and gains.
+
+    REFUSED by the gate's status; READY_FOR_OPTIMIZATION where no scenario is eligible;
+    else GENERATED with the first eligible one in rank order.
+    """
+    best = ranked.filter("eligible").orderBy("rank").limit(1)
+    named = decision.select("status").withColumnRenamed("status", "safety_status")
+    joined = named.join(best, F.lit(True), "left")  # one row each
+    status = F.when(F.col("safety_status") == "REFUSED", "REFUSED").when(F.col("scenario_index").isNull(), "READY_FOR_OPTIMIZATION").otherwise("GENERATED")
+    shown = lambda c: F.when(status == "GENERATED", F.col(c)).alias(c)
+    return joined.select(status.alias("status"), "safety_status", *[shown(c) for c in ("scenario_id", "scenario_index", "change_count", "quality_gain", "anomaly_gain", "composite")])
+
+
+def run_stages(factors: DataFrame, constraints: DataFrame, score, blockers: dict[str, bool] | None = None, most: int = MAX_SCENARIOS, changes: int = MAX_CHANGES) -> tuple[list[dict], DataFrame | None]:
+    """All stages from the gate to the recommendation; ``score`` adds quality_prediction and anomaly_score to scenario rows.
+
+    Returns (stage, status) of those that ran, and the recommendation. A refusal by the gate or a lack of candidates ends the run.
+    """
+    done: list[dict] = []
+    judged = safety_gate(factors, constraints)
+    decision = gate_decision(judged, blockers)
+    status = decision.first().status
+    done.append({"stage": STAGES[0], "status": status})
+    if status == "REFUSED":
+        return done, None
+    n_open = constraints.filter("status = 'RESOLVED'").count()
+    done.append({"stage": STAGES[1], "status": "RESOLVED" if n_open == constraints.count() else "PARTIAL"})
+    candidates = select_candidates(factors, judged, constraints)
+    names = [r.variable for r in candidates.orderBy("diagnosis_rank").collect()]  # ten at most
+    done.append({"stage": STAGES[2], "status": "SELECTED" if names else "NO_CANDIDATES"})
+    if not names:
+        return done, None
+    every = grid_points(constraints)
+    points = every.filter(F.col("variable").isin(names) | F.col("is_current"))  # variables that stay keep their current value
+    done.append({"stage": STAGES[3], "status": "GENERATED"})
+    scored = score(scenarios(points, names, most, changes))
+    done.append({"stage": STAGES[4], "status": "SCORED"})
+    ranked = rank_scenarios(scored)
+    done.append({"stage": STAGES[5], "status": "RANKED"})
+    out = recommendation(ranked, decision)
+    done.append({"stage": STAGES[6], "status": out.first().status})
+    return done, out

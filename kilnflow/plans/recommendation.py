@@ -120,3 +120,48 @@ SELECT feature, rank, CASE feature WHEN 'quantity' THEN 'LOW_CONFIDENCE' WHEN 't
 def safety_gate(spark, sf_dir):
     factors = spark.createDataFrame([("discount", 1, 0.9, True), ("quantity", 2, 0.1, True), ("tax", 3, 0.5, False), ("comment", 4, 0.8, True)], "feature string, rank int, confidence double, controllable boolean")
     return recommend.safety_gate(factors, _constraints(spark, sf_dir)).select("feature", "rank", "reason", "eligible")
+
+
+def _factors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("discount", 1, 0.9, True), ("quantity", 2, 0.6, True), ("tax", 3, 0.5, True), ("comment", 4, 0.8, True)], "feature string, rank int, confidence double, controllable boolean")
+
+
+_GATE = "j AS (SELECT * FROM (VALUES ('discount', 1, 0.9::DOUBLE), ('quantity', 2, 0.6::DOUBLE), ('tax', 3, 0.5::DOUBLE)) t(feature, rank, confidence))"
+
+
+@query("SELECT 'CAUTION' AS status, 3 AS n_eligible, 1 AS n_blocked, '' AS reasons UNION ALL SELECT 'REFUSED', 3, 1, 'LEAKAGE_BLOCKER' UNION ALL SELECT 'REFUSED', 0, 1, 'NO_ELIGIBLE_VARIABLE'")
+def gate_decisions(spark, sf_dir):
+    judged = recommend.safety_gate(_factors(spark), _constraints(spark, sf_dir))
+    refused = recommend.gate_decision(judged, {"LEAKAGE_BLOCKER": True, "FINAL_EVALUATION_MISSING": False})
+    return recommend.gate_decision(judged).unionByName(refused).unionByName(recommend.gate_decision(judged.filter("feature = 'comment'")))
+
+
+@query(f"WITH {_B}, {_GATE} SELECT feature AS variable, rank AS diagnosis_rank, confidence, round(v, 9) AS current_value, round(minimum, 9) AS minimum, round(maximum, 9) AS maximum, round(v - minimum, 9) AS lower_room, round(maximum - v, 9) AS upper_room, round((v - minimum) / (maximum - minimum), 9) AS relative_position, abs(v - minimum) <= 1e-12 AS at_lower_bound, abs(v - maximum) <= 1e-12 AS at_upper_bound FROM j JOIN c ON c.variable = j.feature")
+def candidate_selection(spark, sf_dir):
+    constraints = _constraints(spark, sf_dir)
+    t = recommend.select_candidates(_factors(spark), recommend.safety_gate(_factors(spark), constraints), constraints)
+    return t.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in t.dtypes])
+
+
+@query(f"WITH {_B}, f AS (SELECT regr_slope(l_extendedprice::DOUBLE, l_quantity::DOUBLE) AS b, regr_intercept(l_extendedprice::DOUBLE, l_quantity::DOUBLE) AS a FROM lineitem) SELECT i AS scenario_index, round(a + b * quantity, 4) AS quality_prediction, round(b * (quantity - (SELECT quantity FROM sc WHERE i = 0)), 4) AS quality_prediction_delta FROM sc, f")
+def scenario_scores_fitted(spark, sf_dir):
+    """Scenarios scored by a model that is fitted on the table."""
+    from kilnflow.operators import models
+
+    t = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("y"))
+    scored = recommend.score_fitted(_scenarios(spark, sf_dir), models.linear(t, ["quantity"], "y"), ["quantity"])
+    return scored.select(F.col("scenario_index").cast("long").alias("scenario_index"), F.round("quality_prediction", 4).alias("quality_prediction"), F.round("quality_prediction_delta", 4).alias("quality_prediction_delta"))
+
+
+@query(f"WITH {_B} SELECT 'GENERATED' AS status, 'CAUTION' AS safety_status, printf('SCN-%06d', i) AS scenario_id, i AS scenario_index, n AS change_count, round(qg, 6) AS quality_gain, round(ag, 6) AS anomaly_gain, round(composite, 6) AS composite FROM el WHERE eligible ORDER BY composite DESC, benefit DESC, n, magnitude, i LIMIT 1")
+def recommendation_result(spark, sf_dir):
+    score = lambda rows: recommend.score_linear(recommend.score_linear(rows, COEFFICIENTS, 10.0), ANOMALY, 0.5, "anomaly_score")
+    _, out = recommend.run_stages(_factors(spark), _constraints(spark, sf_dir), score)
+    return out.select("status", "safety_status", "scenario_id", F.col("scenario_index").cast("long").alias("scenario_index"), "change_count", *[F.round(c, 6).alias(c) for c in ("quality_gain", "anomaly_gain", "composite")])
+
+
+@query("SELECT * FROM (VALUES ('SAFETY', 'CAUTION'), ('CONSTRAINT_RESOLUTION', 'RESOLVED'), ('CANDIDATE_SELECTION', 'SELECTED'), ('GRID_GENERATION', 'GENERATED'), ('SCENARIO_SCORING', 'SCORED'), ('SCENARIO_RANKING', 'RANKED'), ('RECOMMENDATION_GENERATION', 'GENERATED')) t(stage, status)")
+def recommendation_stages(spark, sf_dir):
+    score = lambda rows: recommend.score_linear(recommend.score_linear(rows, COEFFICIENTS, 10.0), ANOMALY, 0.5, "anomaly_score")
+    done, _ = recommend.run_stages(_factors(spark), _constraints(spark, sf_dir), score)
+    return spark.createDataFrame([(d["stage"], d["status"]) for d in done], "stage string, status string")

@@ -92,7 +92,7 @@ def ml_explanation(spark, sf_dir):
 @query(f"""WITH {BASE}, o AS (SELECT event_id, ts, s, k FROM d WHERE part = 'test')
 SELECT 'EXPLICIT' AS mode, (SELECT min(event_id) FROM o) AS event_id UNION ALL SELECT 'TOP_RESIDUAL', (SELECT event_id FROM o ORDER BY s DESC, event_id LIMIT 1)
 UNION ALL SELECT 'TOP_UNSUPERVISED', (SELECT event_id FROM o ORDER BY k DESC, event_id LIMIT 1) UNION ALL SELECT 'LATEST', (SELECT event_id FROM o ORDER BY ts DESC, event_id LIMIT 1)""")
-def operating_point_modes(spark, sf_dir):
+def starting_points(spark, sf_dir):
     test = flagged(spark, sf_dir).filter(F.col(PARTITION) == "test")
     least = test.agg(F.min("event_id").alias("event_id"))
     pick = lambda mode, **given: ev.choose_operating_point(test, "ts", "event_id", **given).select(F.lit(mode).alias("mode"), "event_id")

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnflow.operators import diagnose, evaluate, events as ev, models, prepare, profile
+from kilnflow.operators import diagnose, evaluate, events as ev, models, prepare, profile, screening
 from kilnflow.operators.prepare import PARTITION, Range, RefusedError
 from kilnflow.plans.reporting import run_manifest
 from kilnflow.sources import tables
@@ -96,6 +96,9 @@ def run(spark: SparkSession, request: Request) -> Report:
             scored = models.predict(train, df, request.features, "_regression_prediction").withColumn("_regression_residual", F.col(request.target) - F.col("_regression_prediction"))
             report.results["metrics"] = evaluate.regression_metrics(scored.filter(F.col(PARTITION) == "test"), request.target, "_regression_prediction")
             done(stage, model=best.model)
+            stage = "FINAL_EVALUATION"
+            report.results["final"] = screening.final_regression(df, fit, request.features, request.target)
+            done(stage)
             stage = "RESIDUAL_CALIBRATION"
             scored = evaluate.detect(scored, evaluate.calibrate(scored.filter(F.col(PARTITION) == "validation")))
             flag, score = "_is_residual_anomaly", "_residual_anomaly_score"
