@@ -112,7 +112,7 @@ def judge(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMON) -> DataF
 
 
 def keep_good(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMON) -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, with their own columns."""
+    """The rows of ``docs`` that judge() keeps, with their own columns; repeated rows stay or go together, null and empty texts go, an empty table stays empty."""
     good = judge(docs, common).filter("kept").select(F.col("doc_id").alias("good_id_"), F.col("key_").alias("good_key_")).distinct()
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(good, docs["doc_id"].eqNullSafe(good["good_id_"]) & (key == good["good_key_"]), "left_semi")
