@@ -57,7 +57,7 @@ g AS (SELECT feature, md.place, ref, ano, mad, 1.4826 * mad AS scale, count(*) F
 GROUP = """gc AS (SELECT *, CASE WHEN scale > 1e-12 THEN abs(ano - ref) / scale END AS z FROM g),
 gd AS (SELECT *, least(1.0, CASE WHEN scale > 1e-12 THEN z / (z + 1) WHEN abs(ano - ref) > 1e-12 THEN prevalence ELSE 0 END * least(1.0, n_reference / 5) * least(1.0, n_anomalous / 1) * (0.5 + 0.5 * prevalence)) AS confidence,
   CASE WHEN high AND low AND abs(ano - ref) <= 1e-12 THEN 'mixed' WHEN ano - ref > 1e-12 THEN 'positive' WHEN ano - ref < -1e-12 THEN 'negative' ELSE 'unknown' END AS direction FROM gc)"""
-ASSOC = """rk AS (SELECT feature, value, r, s, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rv, rank() OVER (PARTITION BY feature ORDER BY r) + (count(*) OVER (PARTITION BY feature, r) - 1) / 2 AS rr, rank() OVER (PARTITION BY feature ORDER BY s) + (count(*) OVER (PARTITION BY feature, s) - 1) / 2 AS rs FROM x),
+ASSOC = """rk AS (SELECT feature, value, r, s, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rv, rank() OVER (PARTITION BY feature ORDER BY r) + (count(*) OVER (PARTITION BY feature, r) - 1) / 2 AS rr, rank() OVER (PARTITION BY feature ORDER BY s) + (count(*) OVER (PARTITION BY feature, s) - 1) / 2 AS rs FROM (SELECT feature, value, round(r, 9) AS r, round(s, 9) AS s FROM x)),
 co AS (SELECT feature, corr(rv, rr) AS rho_residual, corr(rv, rs) AS rho_score, count(*) AS n_rows FROM rk GROUP BY feature),
 as0 AS (SELECT g.feature, g.place, ref, ano, greatest(scale, 1e-12) AS scale, n_reference, n_anomalous, rho_residual, rho_score, n_rows, abs(ano - ref) / greatest(scale, 1e-12) AS z, high, low FROM g JOIN co USING (feature)),
 asp AS (SELECT x.feature, avg((abs(value - ref) / as0.scale >= 3.5)::INT) AS prevalence FROM x JOIN as0 USING (feature) WHERE f GROUP BY x.feature),

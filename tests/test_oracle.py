@@ -30,7 +30,7 @@ def plain(v):
         f = float(v)
     except (TypeError, ValueError):
         return ("s", str(v))
-    return ("n", 0.0 if math.isclose(f, 0, abs_tol=1e-9) else float(f"{f:.7g}"))
+    return ("n", f)
 
 
 def rows_of(columns, rows):
@@ -51,4 +51,4 @@ def test_query(spark, sf_dir, oracle, name):
     assert len(got[1]) == len(want[1])
     for a, b in zip(got[1], want[1]):
         for x, y in zip(a, b):
-            assert x == y or (x[0] == y[0] == "n" and math.isclose(x[1], y[1], rel_tol=1e-5, abs_tol=2e-6)), (a, b)
+            assert x == y or (x[0] == y[0] == "n" and math.isclose(x[1], y[1], rel_tol=1e-7, abs_tol=1e-9)), (a, b)
