@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kilnflow.llm.common import cut, words
 
-#: Character classes; what is in none of them (letters beyond ASCII, marks) is the last class.
-CLASSES = (r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?'\"()-]", r"[!-/:-@\[-`{-~&&[^.,;:?'\"()-]]")
+#: Disjoint character classes; what is in none of them (letters beyond ASCII, marks) is the last class. The second is white space.
+CLASSES = (r"[a-z]", r"[\x20\x09-\x0D]", r"[A-Z]", r"[0-9]", r"[.,;:?'\"()-]", r"[!-/:-@\[-`{-~&&[^.,;:?'\"()-]]")
+SPACES = 1
 #: Common words of four languages, fixed values.
 COMMON = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "with", "are"),
@@ -41,7 +42,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def _repeat_words(n: Column) -> Column:
-    """Words in 3-word windows found twice or more, of the window hashes sorted with their places in ``windows``."""
+    """Words in 3-word windows found twice or more, of the window hashes sorted with their places in ``windows``, which is empty where none repeats."""
     w = F.col("windows")
     twice = F.filter(w, lambda x, i: ((i > 0) & (w[F.greatest(i - 1, F.lit(0))]["h"] == x["h"])) | ((i < F.size(w) - 1) & (w[F.least(i + 1, F.size(w) - 1)]["h"] == x["h"])))
     places = F.sort_array(F.transform(twice, lambda x: x["i"]))
@@ -55,25 +56,32 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]] = COMMON) -> Da
     Window hashes are 64 bits wide and compared within a document only.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    without = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
     rows = docs.select("doc_id", "lang", text.alias("text"), words(F.col("text")).alias("w"))
+    left = ["text", *[f"t{i}" for i in range(len(CLASSES))]]
+    for i, pattern in enumerate(CLASSES):  # classes are disjoint, so each is taken out of what the ones before left
+        rows = rows.withColumn(left[i + 1], F.regexp_replace(left[i], f"{pattern}+", ""))
+    taken = lambda i: (F.length(left[i]) - F.length(left[i + 1])).cast("long")
     w, n = F.col("w"), F.size("w")
-    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i"))))
+    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
     lists = F.lit(None).cast("array<string>")
     for lang, listed in common.items():
         lists = F.when(F.col("lang") == lang, F.array(*[F.lit(x) for x in listed])).otherwise(lists)
-    rows = rows.withColumn("windows", F.sort_array(F.coalesce(hashes, F.array().cast("array<struct<h:bigint,i:int>>"))))
+    rows = rows.withColumn("hashes", hashes)
+    sorted_ = F.sort_array(F.transform("hashes", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), sorted_).otherwise(none))  # without a repeated window there is nothing to count
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     rows = rows.withColumn("lines", lines).withColumn("plain", F.split(F.lower("text"), r"[^\p{L}]+")).withColumn("list_", lists)
     width = max(map(len, common.values()))
     hits = F.filter("plain", lambda x: F.array_contains(F.col("list_"), x))
     n_plain = F.size(F.filter("plain", lambda x: x != ""))
+    rest = left[-2]  # symbols are all of the last class
     rows = rows.select(
         "doc_id", "lang", F.xxhash64("text").alias("key_"), F.length("text").cast("long").alias("n_chars_"),
-        n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        without(SYMBOLS).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        n.cast("long").alias("n_words"), (F.length("text") - taken(SPACES)).cast("long").alias("word_chars"),
+        (F.length(rest) - F.length(F.regexp_replace(rest, f"{SYMBOLS}+", ""))).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(n).alias("n_repeat_words"),
-        *[without(c).cast("long").alias(f"c{i}") for i, c in enumerate(CLASSES)],
+        *[taken(i).alias(f"c{i}") for i in range(len(CLASSES))],
         n_plain.cast("long").alias("n_plain"), F.coalesce(hits, F.array().cast("array<string>")).alias("hits"), "list_",
     )
     times = lambda j: F.size(F.filter("hits", lambda x: x == F.try_element_at("list_", F.lit(j + 1))))  # noqa: E731  a second argument of the inner function would be the place in hits
