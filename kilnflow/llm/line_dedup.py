@@ -156,9 +156,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     # A hash with very many rows spreads over partitions by document; equal (hash, document) rows stay together.
     ranged = hashes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "key_", "pos")
     settled = cut(ranged.mapInArrow(lambda batches: settle(batches, min_docs), _OUT_SQL), "line-settled")
-    # At most two summary rows a partition, which bounds this side of the join.
+    # At most two summary rows a partition; written, so that Spark decides by their stored size.
     edges = settled.filter(F.col("status") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n_docs").alias("all_docs"), F.max("doc").alias("top")).filter(F.col("all_docs") >= min_docs)
-    undecided = settled.filter(F.col("status") == EDGE).select("h1", "h2", "doc", "key_", "pos").join(F.broadcast(edges), ["h1", "h2"]).filter("doc <> top")
+    edges = cut(edges, "line-edges")
+    undecided = settled.filter(F.col("status") == EDGE).select("h1", "h2", "doc", "key_", "pos").join(edges, ["h1", "h2"]).filter("doc <> top")
     drops = settled.filter(F.col("status") == DROP).select("doc", "key_", "pos").unionByName(undecided.select("doc", "key_", "pos"))
     places = drops.groupBy("doc", "key_").agg(F.collect_set("pos").alias("drops"))
 
@@ -171,7 +172,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    maps = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc": "map_doc_", "key_": "map_key_"})
+    # Bitmaps are written first: while they are small, Spark sends them to the texts, which then stay where they are.
+    maps = cut(keep_bitmaps(docs, min_chars, min_docs), "line-bitmaps").withColumnsRenamed({"doc": "map_doc_", "key_": "map_key_"})
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_"), F.xxhash64("text").alias("key_"))
     return rows.join(maps, (F.col("doc_") == F.col("map_doc_")) & (F.col("key_") == F.col("map_key_")), "left")
 
