@@ -88,3 +88,23 @@ def enrichment(df: DataFrame, detected: str, truth: str) -> DataFrame:
     sums = df.agg(F.count_if(detected).alias("n_detected"), F.count_if(F.col(detected) & F.col(truth)).alias("n_hits"), F.avg(F.col(truth).cast("double")).alias("base_rate"))
     precision = F.try_divide(F.col("n_hits").cast("double"), F.col("n_detected").cast("double"))
     return sums.select("n_detected", "n_hits", "base_rate", precision.alias("precision"), F.when(F.col("base_rate") > 0, precision / F.col("base_rate")).alias("enrichment"))
+
+
+def judge_events(events: DataFrame, truth: DataFrame) -> DataFrame:
+    """``events`` (place, sample_id as text) with row_id, kind and verdict against ``truth`` (row_id, is_anomaly, kind; one row each).
+
+    INVALID_ID for what is no whole number, OUTSIDE for an id that ``truth``
+    lacks, DUPLICATE for all but the first place of an id, else MATCHED or
+    UNMATCHED. An anomaly's kind is kept.
+    """
+    rows = events.withColumn("row_id", F.trim("sample_id").try_cast("long"))
+    first = rows.filter("row_id IS NOT NULL").groupBy("row_id").agg(F.min("place").alias("_first"))
+    joined = rows.join(first, "row_id", "left").join(truth.select("row_id", "is_anomaly", "kind"), "row_id", "left")
+    verdict = F.when(F.col("row_id").isNull(), "INVALID_ID").when(F.col("is_anomaly").isNull(), "OUTSIDE").when(F.col("place") > F.col("_first"), "DUPLICATE").when(F.col("is_anomaly"), "MATCHED").otherwise("UNMATCHED")
+    return joined.select("place", "sample_id", "row_id", F.when(F.col("is_anomaly"), F.col("kind")).alias("kind"), verdict.alias("verdict"))
+
+
+def context_features(factors: DataFrame, columns: list[str], most: int = 5) -> DataFrame:
+    """(feature, rank): the ``most`` first factors (feature, rank) that are among ``columns`` and not the row id, each at its first rank."""
+    known = factors.filter(F.col("feature").isin(*columns) & (F.col("feature") != ROW_ID)) if columns else factors.limit(0)
+    return known.groupBy("feature").agg(F.min("rank").alias("rank")).orderBy("rank", "feature").limit(most)

@@ -153,3 +153,12 @@ def column_suggestions(df: DataFrame, order_by: str) -> DataFrame:
     edges = firsts.join(lasts, "p").select(F.col("p").alias("_position"), *[(F.col(f"f_{c}") >= F.col(f"l_{c}")).alias(c) for c in columns])
     verdict = inner.unionByName(edges).agg(*[F.bool_and(c).alias(c) for c in columns])
     return verdict.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("non_decreasing")) for c in columns])).alias("x")).select("x.*")
+
+
+def identifier_choice(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, chosen): whether a column has two different values or more, nulls aside; from its ends, without counting distinct values."""
+    kinds = dict(df.dtypes)
+    ends = lambda c: F.lit(False) if kinds[c] == "void" else F.coalesce(F.min(c) < F.max(c), F.lit(False))
+    one = df.agg(*[ends(c).alias(f"e{i}") for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"e{i}").alias("chosen")) for i, c in enumerate(columns)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")

@@ -17,15 +17,25 @@ def _all():
     return Window.partitionBy()
 
 
-def merge_constraints(industry: DataFrame, request: DataFrame, user: DataFrame, current: DataFrame) -> DataFrame:
+def merge_constraints(industry: DataFrame, request: DataFrame, user: DataFrame, current: DataFrame, widen: bool = False) -> DataFrame:
     """Per variable the tightest bounds of three sources (variable, minimum, maximum): the largest minimum and least maximum.
 
-    Adds room below and above the current value (variable, value), and status:
-    FIXED for a span under the tolerance, EMPTY for crossed bounds, OUTSIDE for
-    a current value beyond them, OPEN without both bounds, else RESOLVED.
+    With ``widen`` the user's bounds take the place of the others', and
+    ``widened`` tells whether either one lies beyond them. Adds room below and
+    above the current value (variable, value), and status: FIXED for a span
+    under the tolerance, EMPTY for crossed bounds, OUTSIDE for a current value
+    beyond them, OPEN without both bounds, else RESOLVED.
     """
-    every = industry.select("variable", "minimum", "maximum").unionByName(request.select("variable", "minimum", "maximum")).unionByName(user.select("variable", "minimum", "maximum"))
-    tight = every.groupBy("variable").agg(F.max("minimum").alias("minimum"), F.min("maximum").alias("maximum"), F.count("*").alias("n_sources"))
+    names = ["variable", "minimum", "maximum"]
+    tightest = lambda df: df.groupBy("variable").agg(F.max("minimum").alias("minimum"), F.min("maximum").alias("maximum"), F.count("*").alias("n_sources"))
+    base = industry.select(*names).unionByName(request.select(*names))
+    if widen:
+        b, u = tightest(base), tightest(user.select(*names)).withColumnsRenamed({"minimum": "_lo", "maximum": "_hi", "n_sources": "_n"})
+        wider = F.coalesce(F.col("_lo") < F.col("minimum"), F.lit(False)) | F.coalesce(F.col("_hi") > F.col("maximum"), F.lit(False))
+        n = F.coalesce("n_sources", F.lit(0)) + F.coalesce("_n", F.lit(0))
+        tight = b.join(u, "variable", "full").select("variable", F.coalesce("_lo", "minimum").alias("minimum"), F.coalesce("_hi", "maximum").alias("maximum"), n.alias("n_sources"), wider.alias("widened"))
+    else:
+        tight = tightest(base.unionByName(user.select(*names)))
     joined = tight.join(current.select("variable", F.col("value").alias("current_value")), "variable")
     lo, hi, v = F.col("minimum"), F.col("maximum"), F.col("current_value")
     status = F.when(lo.isNull() | hi.isNull(), "OPEN").when(lo > hi, "EMPTY").when(hi - lo < TOLERANCE, "FIXED").when((v < lo) | (v > hi), "OUTSIDE").otherwise("RESOLVED")
@@ -220,3 +230,37 @@ def run_stages(factors: DataFrame, constraints: DataFrame, score, blockers: dict
     out = recommendation(ranked, decision)
     done.append({"stage": STAGES[6], "status": out.first().status})
     return done, out
+
+
+def improvements(rows: DataFrame, objective: str = "BOTH", direction: str = "MAXIMIZE", target: float | None = None) -> DataFrame:
+    """``rows`` (quality, reference_quality, anomaly, reference_anomaly) with improves and improves_or_matches.
+
+    Gains within the tolerance are none. For BOTH, quality and anomaly have to
+    improve, or improve or match, each. A missing value that counts gives null.
+    """
+    q, r = F.col("quality"), F.col("reference_quality")
+    quality = {"MAXIMIZE": q - r, "MINIMIZE": r - q}.get(direction)
+    quality = F.abs(r - F.lit(target)) - F.abs(q - F.lit(target)) if quality is None else quality
+    gains = [g for g, on in ((quality, "QUALITY"), (F.col("reference_anomaly") - F.col("anomaly"), "ANOMALY")) if objective in (on, "BOTH")]
+    known = F.lit(True)
+    for g in gains:
+        known = known & g.isNotNull()
+    worst = F.when(known, F.least(F.lit(float("inf")), *gains))
+    return rows.withColumn("improves", worst > TOLERANCE).withColumn("improves_or_matches", worst >= -TOLERANCE)
+
+
+def anomaly_candidates(features: DataFrame, factors: DataFrame, stated: DataFrame, constraints: DataFrame, current: DataFrame, blocked: list[str]) -> DataFrame:
+    """(variable, place): what may change in a run without a target, in the order of ``features`` (variable, place).
+
+    A variable must be among the diagnosis factors (feature), stated as
+    controllable by role, confirmed and verified (variable, role, confirmed,
+    verified), have two finite bounds (variable, minimum, maximum, one row
+    each) that hold its current value (variable, value), and not be blocked:
+    identifiers, time, excluded columns and the cohort's column.
+    """
+    allowed = stated.filter("confirmed AND verified AND role = 'CONTROLLABLE_PROCESS'").select("variable").distinct()
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    inside = constraints.filter(finite("minimum") & finite("maximum")).join(current, "variable").filter(F.col("value").between(F.col("minimum"), F.col("maximum"))).select("variable")
+    open_ = features.filter(~F.col("variable").isin(*blocked)) if blocked else features
+    diagnosed = factors.select(F.col("feature").alias("variable")).distinct()
+    return open_.join(diagnosed, "variable", "left_semi").join(allowed, "variable", "left_semi").join(inside, "variable", "left_semi").select("variable", "place")

@@ -114,3 +114,11 @@ def explain(model, features: list[str]) -> DataFrame:
     order = sorted(range(len(features)), key=lambda i: (-abs(values[i]), i))
     rows = [(features[i], float(values[i]), "coefficient" if linear else "importance", k + 1) for k, i in enumerate(order)]
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, value double, kind string, rank int")
+
+
+def merge_candidates(registry: DataFrame, profile: DataFrame, identity: list[str]) -> DataFrame:
+    """Candidates (``identity`` columns, priority, place) of both, with source and rank: a profile's replaces the registry's of the same identity; by priority, then profiles before the registry, then place."""
+    listed = ["priority", "place"]
+    own = profile.select(*identity, *listed).withColumn("source", F.lit("industry_profile"))
+    rest = registry.join(profile.select(*identity).distinct(), identity, "left_anti").select(*identity, *listed).withColumn("source", F.lit("registry"))
+    return _ranked(own.unionByName(rest), [F.asc("priority"), F.asc("source"), F.asc("place")])

@@ -165,3 +165,42 @@ def recommendation_stages(spark, sf_dir):
     score = lambda rows: recommend.score_linear(recommend.score_linear(rows, COEFFICIENTS, 10.0), ANOMALY, 0.5, "anomaly_score")
     done, _ = recommend.run_stages(_factors(spark), _constraints(spark, sf_dir), score)
     return spark.createDataFrame([(d["stage"], d["status"]) for d in done], "stage string, status string")
+
+
+@query(f"WITH {_B} SELECT variable, round(minimum, 9) AS minimum, round(lo + 1.1::DOUBLE * (hi - lo), 9) AS maximum, 3 AS n_sources, true AS widened, 'RESOLVED' AS status FROM (SELECT variable, lo, hi, lo + 0.1::DOUBLE * (hi - lo) AS minimum FROM r)")
+def constraint_widening(spark, sf_dir):
+    """A user's upper bound beyond the others', with leave to widen."""
+    user = _bounds(spark, sf_dir, 0.2, 1.1).withColumn("minimum", F.lit(None).cast("double"))
+    t = recommend.merge_constraints(_bounds(spark, sf_dir, 0.0, 0.9), _bounds(spark, sf_dir, 0.1, 1.0), user, _current(spark, sf_dir), widen=True)
+    return t.select("variable", F.round("minimum", 9).alias("minimum"), F.round("maximum", 9).alias("maximum"), "n_sources", "widened", "status")
+
+
+@query(f"WITH {_B} SELECT i AS scenario_index, qg > 1e-12 AND ag > 1e-12 AS improves, qg >= -1e-12 AND ag >= -1e-12 AS improves_or_matches FROM g")
+def what_if_improvements(spark, sf_dir):
+    scored = _scored(spark, sf_dir).select("scenario_index", F.col("quality_prediction").alias("quality"), F.col("anomaly_score").alias("anomaly"))
+    base = scored.filter("scenario_index = 0").select(F.col("quality").alias("reference_quality"), F.col("anomaly").alias("reference_anomaly"))
+    out = recommend.improvements(scored.crossJoin(F.broadcast(base)))  # one row
+    return out.select(F.col("scenario_index").cast("long").alias("scenario_index"), "improves", "improves_or_matches")
+
+
+@query(f"""WITH {_B}, seen AS (SELECT min(l_quantity)::DOUBLE AS lo, 3 * max(l_quantity)::DOUBLE AS hi FROM lineitem), both_ AS (SELECT 'BASELINE' AS kind, quality FROM el WHERE i = 0
+UNION ALL (SELECT 'PROPOSED', quality FROM el WHERE eligible ORDER BY composite DESC, benefit DESC, n, magnitude, i LIMIT 1))
+SELECT kind, round(quality, 6) AS quality_prediction, CASE WHEN quality < lo OR quality > hi THEN 'OUTSIDE_OBSERVED_RANGE' ELSE 'PLAUSIBLE' END AS plausibility FROM both_, seen""")
+def proposal_plausibility(spark, sf_dir):
+    """Whether the predictions at the current and at the proposed values lie in the observed range."""
+    from kilnflow.operators import evaluate
+
+    ranked = recommend.rank_scenarios(_scored(spark, sf_dir))
+    best = ranked.filter("eligible").orderBy("rank").limit(1).select(F.lit("PROPOSED").alias("kind"), "quality_prediction")
+    both = ranked.filter("scenario_index = 0").select(F.lit("BASELINE").alias("kind"), "quality_prediction").unionByName(best)
+    observed = read(spark, sf_dir, "lineitem").agg(F.min("l_quantity").cast("double").alias("minimum"), (3 * F.max("l_quantity")).cast("double").alias("maximum"))
+    return evaluate.plausibility(both, "quality_prediction", observed).withColumn("quality_prediction", F.round("quality_prediction", 6))
+
+
+@query("SELECT 'quantity' AS variable, 1 AS place")
+def anomaly_candidates(spark, sf_dir):
+    """Of discount (blocked), quantity, tax (not verified) and comment (without bounds) one may change."""
+    names = [*VARIABLES, "comment"]
+    features = spark.createDataFrame([(v, i) for i, v in enumerate(names)], "variable string, place int")
+    stated = spark.createDataFrame([(v, "CONTROLLABLE_PROCESS", True, v != "tax") for v in names], "variable string, role string, confirmed boolean, verified boolean")
+    return recommend.anomaly_candidates(features, _factors(spark), stated, _bounds(spark, sf_dir, 0.1, 0.9), _current(spark, sf_dir), ["discount"])

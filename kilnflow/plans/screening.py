@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kilnflow.operators import diagnose, evaluate, events as ev, models, prepare, routing, screening
+from kilnflow.operators import diagnose, evaluate, events as ev, models, prepare, profile, routing, screening
 from kilnflow.operators.prepare import PARTITION
 from kilnflow.plans.anomaly import BASE, FEATURES, LONG, flagged, process, rounded
 from kilnflow.plans.preparation import GAPS, gaps, read
@@ -194,3 +194,33 @@ def task_routes(spark, sf_dir):
     rows = F.array(row("value", "double", F.col("a")), row("event_type", "string", F.col("b")), row("hour", "int", F.col("c")), row("none", None, F.lit(0)))
     targets = counts.select("row_count", F.explode(rows).alias("x")).select("row_count", "x.*")
     return routing.route_task(targets).select("column_name", "task", "needs_confirmation")
+
+
+@query("""WITH i AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events), e AS (SELECT 1 AS place, lo::VARCHAR AS sample_id FROM i UNION ALL SELECT 2, 'x7' UNION ALL SELECT 3, ' ' || lo FROM i UNION ALL SELECT 4, hi::VARCHAR FROM i UNION ALL SELECT 5, (hi + 1)::VARCHAR FROM i),
+v AS (SELECT *, try_cast(trim(sample_id) AS BIGINT) AS row_id FROM e), j AS (SELECT v.*, min(place) OVER (PARTITION BY v.row_id) AS first_place, value > 15 AS a, event_type FROM v LEFT JOIN events ON event_id = row_id)
+SELECT place, sample_id, row_id, CASE WHEN a THEN event_type END AS kind, CASE WHEN row_id IS NULL THEN 'INVALID_ID' WHEN a IS NULL THEN 'OUTSIDE' WHEN place > first_place THEN 'DUPLICATE' WHEN a THEN 'MATCHED' ELSE 'UNMATCHED' END AS verdict FROM j""")
+def event_verdicts(spark, sf_dir):
+    t = read(spark, sf_dir, "events")
+    ends = t.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    ids = [F.col("lo").cast("string"), F.lit("x7"), F.concat(F.lit(" "), F.col("lo").cast("string")), F.col("hi").cast("string"), (F.col("hi") + 1).cast("string")]
+    shown = ends.select(F.posexplode(F.array(*ids)).alias("place", "sample_id")).select((F.col("place") + 1).alias("place"), "sample_id")
+    return ev.judge_events(shown, t.select(F.col("event_id").alias("row_id"), (F.col("value") > 15).alias("is_anomaly"), F.col("event_type").alias("kind")))
+
+
+@query("SELECT * FROM (VALUES ('temp', 1), ('flow', 3), ('rf', 4)) t(feature, rank)")
+def context_features(spark, sf_dir):
+    factors = spark.createDataFrame([("flow", 3), ("temp", 1), ("gone", 2), ("temp", 5), ("rf", 4), ("_original_row_id", 6), ("time", 7)], "feature string, rank int")
+    return ev.context_features(factors, ["rf", "flow", "temp", "time", "_original_row_id"], most=3)
+
+
+@query(f"WITH t AS (SELECT {GAPS} FROM lineitem) SELECT 'qty' AS column_name, count(DISTINCT qty) > 1 AS chosen FROM t UNION ALL SELECT 'flag', count(DISTINCT flag) > 1 FROM t UNION ALL SELECT 'discount', count(DISTINCT discount) > 1 FROM t UNION ALL SELECT 'nothing', false")
+def identifier_choice(spark, sf_dir):
+    return profile.identifier_choice(gaps(spark, sf_dir), ["qty", "flag", "discount", "nothing"])
+
+
+@query("SELECT * FROM (VALUES ('ridge', 'fast', 1, 0, 'industry_profile', 1), ('dummy', '', 1, 0, 'registry', 2), ('linear', '', 2, 1, 'registry', 3), ('forest', '', 3, 1, 'industry_profile', 4)) t(model, variant, priority, place, source, rank)")
+def registry_merge(spark, sf_dir):
+    schema = "model string, variant string, priority int, place int"
+    registry = spark.createDataFrame([("dummy", "", 1, 0), ("linear", "", 2, 1), ("forest", "", 9, 2)], schema)
+    own = spark.createDataFrame([("ridge", "fast", 1, 0), ("forest", "", 3, 1)], schema)
+    return screening.merge_candidates(registry, own, ["model", "variant"])
