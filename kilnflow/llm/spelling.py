@@ -12,9 +12,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, groupby
+from itertools import combinations
 
 import pyarrow as pa
 import xxhash
@@ -87,8 +88,8 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def block_keys(word: str, rank: dict[str, int]) -> list[int]:
-    """Keys of the word's blocks. Any two words an edit apart have a key in common.
+def block_keys(word: str, rank: dict[str, int]) -> list[tuple[int, int]]:
+    """(key, longer length of its pairs) of the word's blocks. Any two words an edit apart have a block in common.
 
     Let c be the longer length of a pair. Of c + 1 bigrams (c of a shorter
     word) the two share c - 1 at least, so of their 5 (4) first in any order of
@@ -105,32 +106,79 @@ def block_keys(word: str, rank: dict[str, int]) -> list[int]:
     for longer in (len(word), len(word) + 1):
         first = len(tokens) - (longer - 1) + SHARED
         for some in combinations(tokens[:first], SHARED):
-            keys.add(xxhash.xxh64_intdigest(f"{longer}{some}") - (1 << 63))
+            keys.add((xxhash.xxh64_intdigest(f"{longer}{some}") - (1 << 63), longer))
     return sorted(keys)
 
 
+def common(lists: list[list[int]], need: int) -> Iterator[int]:
+    """What at least ``need`` of the ascending lists hold, by a heap of their heads.
+
+    Where too few heads are equal, one less than ``need`` lists go on to the
+    next head at once: what they skip can't be in enough lists.
+    """
+    k = len(lists)
+    heap = [held[0] * k + i for i, held in enumerate(lists)]
+    heapq.heapify(heap)
+    at = [0] * k
+    while len(heap) >= need:
+        least = heap[0] // k
+        most = least * k + k
+        taken = []
+        while heap and heap[0] < most:
+            taken.append(heapq.heappop(heap) % k)
+        if len(taken) >= need:
+            yield least
+            least += 1
+        else:
+            while len(taken) < need - 1:
+                taken.append(heapq.heappop(heap) % k)
+            least = heap[0] // k if heap else least + 1
+        for i in taken:
+            held = lists[i]
+            if held[-1] >= least:
+                at[i] = bisect_left(held, least, at[i])
+                heapq.heappush(heap, held[at[i]] * k + i)
+
+
 class Index:
-    """Positional postings of a block's words."""
+    """Positional postings of a block, whose words have the longer length of a pair or one code point less.
 
-    def __init__(self) -> None:
-        self.words: list[str] = []
-        self.postings: dict[tuple[str, int, int], list[int]] = defaultdict(list)
+    A bigram is at the same place in two words of one length, and at the same
+    place or one further in the longer of two words of different lengths.
+    """
 
-    def add(self, word: str) -> None:
-        for at, g in enumerate(grams(word)):
-            self.postings[g, len(word), at].append(len(self.words))
+    def __init__(self, longer: int, rank: dict[str, int]) -> None:
+        self.longer, self.rank, self.need = longer, rank, longer - 1
+        self.words: list[str] = []
+        self.long: dict[int, list[int]] = {}
+        self.short: dict[int, list[int]] = {}
+
+    def places(self, word: str) -> list[int]:
+        """A number for each bigram at its position."""
+        n, rank = len(self.rank), self.rank
+        return [at * n + rank[g] for at, g in enumerate(grams(word))]
+
+    def add(self, word: str, places: list[int]) -> None:
+        held, j = self.long if len(word) == self.longer else self.short, len(self.words)
+        for x in places:
+            if x in held:
+                held[x].append(j)
+            else:
+                held[x] = [j]
         self.words.append(word)
 
-    def near(self, word: str) -> Iterator[str]:
-        """Indexed words one edit apart: postings within one place and one code point of length, merged and counted."""
-        n = len(word)
-        for length in (n - 1, n, n + 1):
-            lists = [held for at, g in enumerate(grams(word)) for there in (at - 1, at, at + 1) if (held := self.postings.get((g, length, there)))]
-            if len(lists) < max(n, length) - 1:
-                continue
-            for j, same in groupby(heapq.merge(*lists)):
-                if sum(1 for _ in same) >= max(n, length) - 1 and one_edit(word, self.words[j]):
-                    yield self.words[j]
+    def near(self, word: str, places: list[int]) -> Iterator[str]:
+        """Indexed words one edit apart: postings within the limits of length and position, merged and counted."""
+        n = len(self.rank)
+        if len(word) == self.longer:
+            of = ([self.long[x] for x in places if x in self.long], [self.short[y] for x in places for y in (x, x - n) if y in self.short])
+        else:
+            of = ([self.long[y] for x in places for y in (x, x + n) if y in self.long],)
+        for lists in of:
+            if len(lists) >= self.need:
+                for j in common(lists, self.need):
+                    if one_edit(word, self.words[j]):
+                        yield self.words[j]
 
 
 def near_pairs(counted: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -146,32 +194,34 @@ def near_pairs(counted: DataFrame, block: int = BLOCK) -> DataFrame:
             for begin in range(0, b.num_rows, 2000):
                 words = b.column(0).slice(begin, 2000).to_pylist()
                 keys = [block_keys(w, rank) for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), pa.array([w for w, k in zip(words, keys) for _ in k], pa.string())], ["key", "word"])
+                key, longer = ([x[i] for k in keys for x in k] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(longer, pa.int32()), pa.array([w for w, k in zip(words, keys) for _ in k], pa.string())], ["key", "longer", "word"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give = lambda: pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.string()), pa.array([max(p) for p in found], pa.string())], ["a", "b"])
         found: list[tuple[str, str]] = []
-        index, here = Index(), None
+        index, here = None, None
         for b in batches:
-            for key, slice_, other, word in zip(*(c.to_pylist() for c in b.columns)):
-                if here != (key, slice_):
-                    index, here = Index(), (key, slice_)
-                found += [(word, x) for x in index.near(word)]
+            for key, longer, slice_, other, word in zip(*(c.to_pylist() for c in b.columns)):
+                if here != (key, longer, slice_):
+                    index, here = Index(longer, rank), (key, longer, slice_)
+                places = index.places(word)
+                found += [(word, x) for x in index.near(word, places)]
                 if not other:
-                    index.add(word)
+                    index.add(word, places)
                 if len(found) > 10000:
                     yield give()
                     found = []
         yield give()
 
-    blocks = cut(counted.select("word").mapInArrow(keys, "key long, word string"), "spelling-blocks")
-    sizes = blocks.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    blocks = cut(counted.select("word").mapInArrow(keys, "key long, longer int, word string"), "spelling-blocks")
+    sizes = blocks.groupBy("key", "longer").agg(F.count("*").alias("size")).filter("size > 1")
     # Most blocks have one word. The others' keys are written, so that Spark joins them by their size.
-    sizes = cut(sizes.select("key", F.ceil(F.col("size") / block).cast("int").alias("slices")), "spelling-sizes")
-    own = blocks.join(sizes, "key").select("key", "word", F.pmod(F.xxhash64("word"), F.col("slices")).cast("int").alias("own"))
+    sizes = cut(sizes.select("key", "longer", F.ceil(F.col("size") / block).cast("int").alias("slices")), "spelling-sizes")
+    own = blocks.join(sizes, ["key", "longer"]).select("key", "longer", "word", F.pmod(F.xxhash64("word"), F.col("slices")).cast("int").alias("own"))
     # A word is indexed in its own slice and only looks up the slices before.
-    dealt = own.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("slice"), "own", "word").select("key", "slice", (F.col("own") > F.col("slice")).alias("other"), "word")
-    ordered = dealt.repartition(partitions(spark), "key", "slice").sortWithinPartitions("key", "slice", "other")
+    dealt = own.select("key", "longer", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("slice"), "own", "word").select("key", "longer", "slice", (F.col("own") > F.col("slice")).alias("other"), "word")
+    ordered = dealt.repartition(partitions(spark), "key", "longer", "slice").sortWithinPartitions("key", "longer", "slice", "other")
     return ordered.mapInArrow(match, "a string, b string").distinct()
 
 
