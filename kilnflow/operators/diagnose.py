@@ -24,8 +24,13 @@ def decode_flag(flag: Column) -> Column:
 
 
 def long_features(df: DataFrame, features: list[str], keep: dict[str, Column]) -> DataFrame:
-    """A row per row and feature: feature, place (its order), value, and the ``keep`` columns."""
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("place"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)])
+    """A row per row and feature: feature, place (its order), value, and the ``keep`` columns. NaN and infinite values raise."""
+
+    def finite(f: str) -> Column:
+        v = F.col(f).cast("double")
+        return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.raise_error(F.lit(f"{f} has a value that is not finite")).cast("double")).otherwise(v)
+
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("place"), finite(f).alias("value")) for i, f in enumerate(features)])
     return df.select(*[c.alias(k) for k, c in keep.items()], F.explode(cells).alias("x")).select(*keep, "x.*")
 
 

@@ -103,9 +103,9 @@ def label_free_metrics(df: DataFrame, score: str, flag: str) -> DataFrame:
 
 
 def quality_flags(metrics: DataFrame, least: float = 0.001, most: float = 0.25, gap: float = 0.10, spread: float = 1e-12) -> DataFrame:
-    """``metrics`` of label_free_metrics() with the array of policy limits that it breaks."""
+    """``metrics`` of label_free_metrics() with the array of policy limits that it breaks. DEGENERATE: no flagged, or nothing but flagged, validation rows, so that there is no separation."""
     f = F.col("validation_fraction")
-    flags = F.array_compact(F.array(F.when(f < least, F.lit("FRACTION_TOO_LOW")), F.when(f > most, F.lit("FRACTION_TOO_HIGH")), F.when(F.col("fraction_gap") > gap, F.lit("FRACTION_GAP")), F.when(F.col("std_score") < spread, F.lit("DEGENERATE_SCORES")), F.when(F.col("separation") < 0, F.lit("NEGATIVE_SEPARATION"))))
+    flags = F.array_compact(F.array(F.when(f < least, F.lit("FRACTION_TOO_LOW")), F.when(f > most, F.lit("FRACTION_TOO_HIGH")), F.when(F.col("fraction_gap") > gap, F.lit("FRACTION_GAP")), F.when(F.col("std_score") < spread, F.lit("NEARLY_CONSTANT")), F.when(F.col("separation").isNull(), F.lit("DEGENERATE")), F.when(F.col("separation") < 0, F.lit("NEGATIVE_SEPARATION"))))
     return metrics.withColumn("flags", flags)
 
 

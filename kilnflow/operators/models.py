@@ -1,19 +1,13 @@
-"""Models: what Spark ML has, and isolation forest, one-class SVM and elliptic envelope as Spark jobs."""
+"""Models: what Spark ML has, and detectors fitted and applied at once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from kilnflow.functions.ordering import exact_quantiles
 from kilnflow.operators.prepare import PARTITION
 from kilnflow.sources.shared import cut
 
@@ -77,167 +71,29 @@ def screen(df: DataFrame, candidates: dict, features: list[str], target: str) ->
     return out.withColumn("rank", place[F.col("model")]).withColumn("beats_mean", F.col("rmse") < base.rmse)
 
 
-def _matrix(b: pa.RecordBatch, features: int) -> np.ndarray:
-    return np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns - features, b.num_columns)]).astype(float)
+def _detected(df: DataFrame, fit, features: list[str], fit_on: str | None, keep: list[str]) -> DataFrame:
+    from kilnflow.operators import detectors
 
+    train = df.filter(F.col(PARTITION) == fit_on) if fit_on and PARTITION in df.columns else df
+    return detectors.score(fit(train, features), df).filter("_anomaly_score IS NOT NULL").select(*keep, "_anomaly_score", "_is_anomaly", "_anomaly_raw_prediction")
 
-def _average_path(n: np.ndarray | float) -> np.ndarray:
-    """Mean depth of an unsuccessful search among n keys."""
-    n = np.asarray(n, float)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
+def isolation_forest(df: DataFrame, features: list[str], key: str, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42, fit_on: str | None = "train") -> DataFrame:
+    """The key (and partition) of the rows of ``df`` with all features, scored by a forest of the ``fit_on`` rows; see detectors.fit_forest()."""
+    from kilnflow.operators.detectors import fit_forest
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """A random tree as a list of nodes: (feature, cut, left, right, size); a leaf has feature -1."""
-    nodes: list[tuple] = []
+    return _detected(df, lambda t, f: fit_forest(t, f, trees, sample, contamination, seed), features, fit_on, [key, *([PARTITION] if PARTITION in df.columns else [])])
 
-    def node(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append((-1, 0.0, -1, -1, len(rows)))
-        lo, hi = x[rows].min(0), x[rows].max(0)
-        open_ = np.flatnonzero(hi > lo)
-        if depth < limit and len(rows) > 1 and len(open_):
-            f = int(rng.choice(open_))
-            edge = float(rng.uniform(lo[f], hi[f]))
-            below = x[rows, f] < edge
-            left, right = node(rows[below], depth + 1), node(rows[~below], depth + 1)
-            nodes[at] = (f, edge, left, right, len(rows))
-        return at
 
-    node(np.arange(len(x)), 0)
-    return nodes
+def elliptic_envelope(df: DataFrame, features: list[str], contamination: float = 0.05) -> DataFrame:
+    """The rows of ``df`` with all features, scored by the robust envelope of train rows (all rows without a partition); see detectors.fit_envelope()."""
+    from kilnflow.operators.detectors import fit_envelope
 
+    return _detected(df, lambda t, f: fit_envelope(t, f, contamination), features, "train", df.columns)
 
-def isolation_forest(df: DataFrame, features: list[str], key: str, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42, fit_on: str | None = "train") -> DataFrame:
-    """``df`` with anomaly score (higher is odder), flag and raw prediction.
-
-    Each tree grows in a task of its own from ``sample`` rows, which are those
-    with the least hash for that tree; each row of the table competes for all
-    trees at once through partial top-k aggregation. The forest has a fixed
-    size and goes to all tasks. The threshold is the contamination quantile of
-    the fitted rows' scores.
-    """
-    spark = df.sparkSession
-    train = df.filter(F.col(PARTITION) == fit_on) if fit_on and PARTITION in df.columns else df
-    rows = train.select(key, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    width = [f"{f} double" for f in features]
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The partition's rows with the least numbers of each tree."""
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty((0, len(features))))] * trees
-        for b in batches:
-            x, h = _matrix(b, len(features)), b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            for t in range(trees):
-                mixed = (h ^ np.uint64(seed * 1_000_003 + t * 7919)) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-                u = (mixed * np.uint64(0xBF58476D1CE4E5B9)).astype(np.float64)
-                if len(u) > sample:
-                    low = np.argpartition(u, sample)[:sample]
-                    u, xs = u[low], x[low]
-                else:
-                    xs = x
-                u, xs = np.concatenate([best[t][0], u]), np.concatenate([best[t][1], xs])
-                order = np.argsort(u, kind="stable")[:sample]
-                best[t] = (u[order], xs[order])
-        for t, (u, x) in enumerate(best):
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), t)), pa.array(u), *[pa.array(x[:, i]) for i in range(len(features))]], ["tree", "u", *features])
-
-    def grow(t: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("u", "ascending"), *[(f, "ascending") for f in features]]).slice(0, sample)
-        x = np.column_stack([table.column(f).to_numpy() for f in features])
-        nodes = _grow(x, np.random.default_rng([seed, t[0].as_py()]), int(np.ceil(np.log2(max(2, sample)))))
-        cols = list(zip(*nodes))
-        kinds = (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.table({"tree": pa.array([t[0].as_py()], pa.int64())} | {k: pa.array([list(c)], pa.list_(kind)) for k, c, kind in zip(("f", "cut", "l", "r", "n"), cols, kinds)})
-
-    hashed = rows.select(F.xxhash64(key, *features).alias("h"), *features)
-    pools = hashed.mapInArrow(keep, "tree long, u double, " + ", ".join(width))  # at most sample rows per tree and partition
-
-    def fewer(k: tuple, table: pa.Table) -> pa.Table:
-        return table.sort_by([("u", "ascending"), *[(f, "ascending") for f in features]]).slice(0, sample).drop(["part"])
-
-    # Two levels, so that no group holds rows of all partitions.
-    pools = pools.withColumn("part", F.spark_partition_id() % 64).groupBy("tree", "part").applyInArrow(fewer, "tree long, u double, " + ", ".join(width))
-    forest = pools.groupBy("tree").applyInArrow(grow, "tree long, f array<int>, cut array<double>, l array<int>, r array<int>, n array<int>").orderBy("tree").collect()
-    shared = spark.sparkContext.broadcast([tuple(np.array(r[k]) for k in ("f", "cut", "l", "r", "n")) for r in forest])
-    size = float(min(sample, max((int(r.n[0]) for r in forest), default=2)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b, len(features))
-            depth = np.zeros(len(x))
-            for f, edges, left, right, n in shared.value:
-                at, d = np.zeros(len(x), int), np.zeros(len(x))
-                while (live := f[at] >= 0).any():
-                    rows_ = np.flatnonzero(live)
-                    node = at[rows_]
-                    at[rows_] = np.where(x[rows_, f[node]] < edges[node], left[node], right[node])
-                    d[rows_] += 1
-                depth += d + _average_path(n[at])
-            s = 2.0 ** (-depth / max(1, len(shared.value)) / float(max(_average_path(size), 1e-9)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: b.num_columns - len(features)], pa.array(s)], [*b.schema.names[: b.num_columns - len(features)], "_s"])
-
-    kinds = dict(df.dtypes)
-    part = [PARTITION] if PARTITION in df.columns else []
-    scored = df.select(key, *part, *[F.col(f).cast("double").alias(f) for f in features]).dropna(subset=features).mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in [key, *part]) + ", _s double")
-    fitted = scored.filter(F.col(PARTITION) == fit_on) if fit_on and part else scored
-    threshold = exact_quantiles(fitted.select(F.lit(0).alias("g"), "_s"), "g", "_s", {"t": 1 - contamination}).select("t")
-    out = scored.crossJoin(F.broadcast(threshold)).withColumn("_anomaly_score", F.col("_s") - F.col("t"))  # one row
-    flag = F.col("_anomaly_score") > 0
-    return out.withColumn("_is_anomaly", flag).withColumn("_anomaly_raw_prediction", F.when(flag, -1).otherwise(1).cast("long")).drop("_s", "t")
-
-
-def elliptic_envelope(df: DataFrame, features: list[str], contamination: float = 0.05, trims: int = 3) -> DataFrame:
-    """``df`` with the squared Mahalanobis distance and flag; mean and covariance of the train rows are refitted on the nearer half ``trims`` times.
-
-    The threshold is a quantile of the train rows' distances. Without a partition column all rows are train rows.
-    Means and covariances are one aggregation; the inverse of a matrix as wide as the features is the driver's only work.
-    """
-    from pyspark.ml.stat import Correlation
-
-    rows = cut(assemble(df, features), "envelope")
-    train = rows.filter(F.col(PARTITION) == "train") if PARTITION in df.columns else rows
-    inside = train
-
-    def distances(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-        stats = base.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).select("s.mean", "s.std").first()
-        corr = Correlation.corr(base, "features").first()[0].toArray()
-        std = np.asarray(stats.std.toArray())
-        inverse = np.linalg.pinv(np.nan_to_num(corr) * np.outer(std, std))
-        d = [F.col(f) - F.lit(float(m)) for f, m in zip(features, stats["mean"].toArray())]
-        total = F.lit(0.0)
-        for i, a in enumerate(d):
-            for j, b in enumerate(d):
-                total = total + F.lit(float(inverse[i, j])) * a * b
-        return train.withColumn("_distance", total), rows.withColumn("_distance", total)
-
-    for _ in range(trims):
-        measured, _ = distances(inside)
-        half = exact_quantiles(measured.select(F.lit(0).alias("g"), "_distance"), "g", "_distance", {"t": 0.5}).first().t
-        inside = measured.filter(F.col("_distance") <= half)
-    fitted, measured = (x.drop("features") for x in distances(inside))
-    limit = exact_quantiles(fitted.select(F.lit(0).alias("g"), "_distance"), "g", "_distance", {"t": 1 - contamination}).select("t")
-    return measured.crossJoin(F.broadcast(limit)).withColumn("_anomaly_score", F.col("_distance") - F.col("t")).withColumn("_is_anomaly", F.col("_anomaly_score") > 0).drop("_distance", "t")  # one row
-
-
-def one_class(df: DataFrame, features: list[str], nu: float = 0.05, width: int = 64, seed: int = 42) -> DataFrame:
-    """``df`` with a one-class score: distance from the mean in random Fourier features of an RBF kernel with gamma 1 / (features * variance).
-
-    The mean of the train rows' features stands for the support; rows beyond
-    the nu quantile of the train rows' distances are flagged. It approximates a one-class SVM, which
-    Spark lacks, in one aggregation and one projection.
-    """
-    of_train = lambda rows: rows.filter(F.col(PARTITION) == "train") if PARTITION in df.columns else rows
-    stats = of_train(df).agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
-    rng = np.random.default_rng(seed)
-    w, shift = rng.standard_normal((width, len(features))) * (2 / len(features)) ** 0.5, rng.uniform(0, 2 * np.pi, width)
-    z = [(F.col(f) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) for i, f in enumerate(features)]
-    waves = F.array(*[F.cos(sum((F.lit(float(w[k, i])) * z[i] for i in range(1, len(features))), F.lit(float(w[k, 0])) * z[0]) + F.lit(float(shift[k]))) for k in range(width)])
-    rows = df.withColumn("_z", waves)
-    means = of_train(rows).select(F.posexplode("_z").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).orderBy("k").collect()  # width rows
-    centre = F.array(*[F.lit(r.m) for r in means])
-    far = F.aggregate(F.zip_with("_z", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    scored = rows.withColumn("_d", far).drop("_z")
-    limit = exact_quantiles(of_train(scored).select(F.lit(0).alias("g"), "_d"), "g", "_d", {"t": 1 - nu}).select("t")
-    return scored.crossJoin(F.broadcast(limit)).withColumn("_anomaly_score", F.col("_d") - F.col("t")).withColumn("_is_anomaly", F.col("_anomaly_score") > 0).drop("_d", "t")  # one row
+
+def one_class(df: DataFrame, features: list[str], nu: float = 0.05, width: int = 256, seed: int = 42, gamma: float | None = None) -> DataFrame:
+    """The rows of ``df`` with all features, scored by a one-class machine of train rows (all rows without a partition); see detectors.fit_one_class()."""
+    from kilnflow.operators.detectors import fit_one_class
+
+    return _detected(df, lambda t, f: fit_one_class(t, f, nu, gamma, width, seed), features, "train", df.columns)

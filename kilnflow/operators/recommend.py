@@ -187,6 +187,15 @@ def score_fitted(rows: DataFrame, model, features: list[str], name: str = "quali
     return scored.withColumn(f"{name}_delta", F.col(name) - F.max(F.when(F.col("scenario_index") == 0, F.col(name))).over(_all()))
 
 
+def score_detected(rows: DataFrame, fitted, name: str = "anomaly_score") -> DataFrame:
+    """Scenario rows with the score of a fitted detector over their values (null where one is missing), and its difference from the baseline's."""
+    from kilnflow.operators.detectors import score
+
+    columns = rows.columns
+    scored = score(fitted, rows.select("*", *[F.element_at("values", f).alias(f) for f in fitted.features])).withColumnRenamed("_anomaly_score", name).select(*columns, name)
+    return scored.withColumn(f"{name}_delta", F.col(name) - F.max(F.when(F.col("scenario_index") == 0, F.col(name))).over(_all()))
+
+
 def recommendation(ranked: DataFrame, decision: DataFrame) -> DataFrame:
     """One row: status, scenario, its values and gains.
 

@@ -52,34 +52,57 @@ def route_industry(scores: DataFrame, confirmed: DataFrame | None = None) -> Dat
     return joined.withColumn("industry", F.coalesce("_user", "industry")).withColumn("decision", F.when(F.col("_user").isNotNull(), "USER_CONFIRMED").otherwise(F.col("decision"))).drop("_user")
 
 
-def map_roles(columns: DataFrame, synonyms: dict[str, tuple[str, str]] | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
-    """``columns``: (column_name, dtype, unique_count). Adds role and confidence by the first rule that holds.
+def tokens_of(name: Column) -> Column:
+    """The words of a name: runs of digits, a-z and Hangul in lower case; none for a name without any."""
+    return F.filter(F.split(F.regexp_replace(F.lower(name), "[^0-9a-z가-힣]+", " "), " "), lambda w: w != "")
 
-    ``synonyms``: name to (canonical name, role); a canonical name stands for
-    itself; a synonym of several roles makes the column UNKNOWN. Rules: override, row id, canonical, synonym, temporal type, time-like
-    name, id-like name, target-like name, Boolean, text of few values, text.
+
+#: Whole names that tell a role, and what share of distinct values makes text a context or an identifier.
+TIME_NAMES = ("timestamp", "datetime", "date", "time", "event time", "measurement time", "recorded at")
+IDENTIFIER_NAMES = ("id", "uuid", "vin", "serial", "serial number")
+TARGET_NAMES = ("target", "label", "response", "quality target", "prediction target")
+CONTEXT_RATIO, IDENTIFIER_RATIO = 0.20, 0.90
+#: Roles that a model may use.
+MODEL_ROLES = ("CONTROLLABLE_PROCESS", "STATE_SENSOR", "CONTEXT", "DERIVED_FEATURE")
+
+
+def hints_table(spark: SparkSession, synonyms: dict[str, tuple[str, str]]) -> DataFrame:
+    """(name, canonical, role) of a dictionary name -> (canonical name, role)."""
+    return spark.createDataFrame([(k, c, r) for k, (c, r) in synonyms.items()], "name string, canonical string, role string")
+
+
+def map_roles(columns: DataFrame, synonyms: dict[str, tuple[str, str]] | DataFrame | None = None, overrides: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """``columns``: (column_name, dtype, cardinality_ratio) of a profile. Adds role, confidence and use_in_model by the first rule that holds.
+
+    ``synonyms``: (name, canonical, role) rows, joined by words of the name; a
+    canonical name also stands for itself; a synonym of several roles makes the
+    column UNKNOWN. ``overrides``: (column_name, role), exact. Rules: override,
+    row id, canonical name, synonym, temporal type, a name of time, a name of
+    an identifier or one that ends in "id", a name of a target, Boolean, text
+    of few values, text of nearly as many values as rows. A null ratio tells
+    nothing.
     """
-    name, dtype = F.col("column_name"), F.col("dtype")
-    plain = F.trim(F.regexp_replace(F.lower("column_name"), "[^0-9a-z가-힣]+", " "))
-    known = {k: (c, r) for k, (c, r) in (synonyms or {}).items()}
-    pick = lambda table, key: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key] if table else F.lit(None).cast("string")
-    canonical = pick({k: r for k, (c, r) in known.items() if k == c}, name)
-    roles: dict[str, set[str]] = {}
-    for k, (c, r) in known.items():
-        if k != c:
-            roles.setdefault(" ".join(k.lower().replace("_", " ").split()), set()).add(r)
-    synonym = pick({k: min(r) for k, r in roles.items() if len(r) == 1}, plain)
-    unsure = pick({k: "UNKNOWN" for k, r in roles.items() if len(r) > 1}, plain)
-    like = lambda words: F.exists(F.split(plain, " "), lambda w: w.isin(*words))
+    spark = columns.sparkSession
+    hints = hints_table(spark, synonyms or {}) if synonyms is None or isinstance(synonyms, dict) else synonyms
+    given = spark.createDataFrame(list((overrides or {}).items()), "column_name string, role string") if overrides is None or isinstance(overrides, dict) else overrides
+    words = lambda c: F.array_join(tokens_of(F.col(c)), " ")
+    canonical = hints.select(words("canonical").alias("plain_"), "role").filter("plain_ <> ''").groupBy("plain_").agg(F.min("role").alias("canonical_"))
+    synonym = hints.select(words("name").alias("plain_"), "role").filter("plain_ <> ''").groupBy("plain_").agg(F.min("role").alias("synonym_"), F.count_distinct("role").alias("roles_"))
+    by_user = given.groupBy("column_name").agg(F.min("role").alias("given_"))
+    names = columns.withColumn("plain_", words("column_name"))
+    if "cardinality_ratio" not in columns.columns:
+        names = names.withColumn("cardinality_ratio", F.lit(None).cast("double"))
+    joined = names.join(by_user, "column_name", "left").join(canonical, "plain_", "left").join(synonym, "plain_", "left")
+    plain, dtype, ratio = F.col("plain_"), F.col("dtype"), F.col("cardinality_ratio")
     rule = lambda cond, role, confidence: F.when(cond, F.struct(role.alias("role") if isinstance(role, Column) else F.lit(role).alias("role"), F.lit(confidence).alias("confidence")))
-    given = pick(overrides or {}, name)
     found = F.coalesce(
-        rule(given.isNotNull(), given, 1.0), rule(name == "_original_row_id", "IDENTIFIER", 1.0), rule(canonical.isNotNull(), canonical, 0.98), rule(unsure.isNotNull(), "UNKNOWN", 0.0), rule(synonym.isNotNull(), synonym, 0.95),
-        rule(F.regexp_like(dtype, F.lit("^(date|timestamp|time)")), "TIME", 0.90), rule(like(("time", "timestamp", "date", "datetime")), "TIME", 0.88), rule(like(("id", "uuid", "serial")), "IDENTIFIER", 0.88),
-        rule(like(("target", "yield", "quality", "defect", "label")), "TARGET_QUALITY", 0.85), rule(dtype == "boolean", "CONTEXT", 0.80),
-        rule((dtype == "string") & (F.col("unique_count") <= MAX_CLASSES), "CONTEXT", 0.75), rule(dtype == "string", "IDENTIFIER", 0.70), rule(F.lit(True), "UNKNOWN", 0.0),
+        rule(F.col("given_").isNotNull(), F.col("given_"), 1.0), rule(F.col("column_name") == "_original_row_id", "IDENTIFIER", 1.0), rule(F.col("canonical_").isNotNull(), F.col("canonical_"), 0.98),
+        rule(F.col("roles_") > 1, "UNKNOWN", 0.0), rule(F.col("synonym_").isNotNull(), F.col("synonym_"), 0.95), rule(F.regexp_like(dtype, F.lit("^(date|timestamp|time)")), "TIME", 0.90), rule(plain.isin(*TIME_NAMES), "TIME", 0.88),
+        rule(plain.isin(*IDENTIFIER_NAMES) | F.regexp_like(plain, F.lit("(^| )id$")), "IDENTIFIER", 0.88), rule(plain.isin(*TARGET_NAMES), "TARGET_QUALITY", 0.85), rule(dtype == "boolean", "CONTEXT", 0.80),
+        rule((dtype == "string") & (ratio <= CONTEXT_RATIO), "CONTEXT", 0.75), rule((dtype == "string") & (ratio >= IDENTIFIER_RATIO), "IDENTIFIER", 0.70), rule(F.lit(True), "UNKNOWN", 0.0),
     )
-    return columns.withColumn("_r", found).select(*columns.columns, "_r.role", "_r.confidence")
+    out = joined.withColumn("_r", found).select(*columns.columns, "_r.role", "_r.confidence")
+    return out.withColumn("use_in_model", F.col("role").isin(*MODEL_ROLES))
 
 
 def route_task(targets: DataFrame) -> DataFrame:
@@ -90,10 +113,7 @@ def route_task(targets: DataFrame) -> DataFrame:
 
 
 def leaky_names(spark: SparkSession, features: list[str], target: str) -> DataFrame:
-    """(feature, issue): features that are the target, derived from it by name, or look at the future or the outcome."""
-    tokens = F.split(F.trim(F.regexp_replace(F.lower("feature"), "[^0-9a-z가-힣]+", " ")), " ")
-    target_tokens = F.split(F.trim(F.regexp_replace(F.lower(F.lit(target)), "[^0-9a-z가-힣]+", " ")), " ")
-    rows = spark.createDataFrame([(f,) for f in features], "feature string")
-    future = F.arrays_overlap(tokens, F.array(*map(F.lit, ("future", "next", "lead", "after", "post"))))
-    issue = F.when(F.col("feature") == target, "TARGET_AS_FEATURE").when((F.size(F.array_except(target_tokens, tokens)) == 0) & (F.size(tokens) > F.size(target_tokens)), "TARGET_DERIVED").when(future, "FUTURE_DERIVED")
-    return rows.withColumn("issue", issue).filter("issue IS NOT NULL")
+    """(feature, issue) of features whose names break a rule of leakage.name_issues()."""
+    from kilnflow.operators.leakage import name_issues
+
+    return name_issues(spark.createDataFrame([(f, None) for f in features], "feature string, role string"), target).select("feature", "issue")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kilnflow.operators import evaluate, models
+from kilnflow.operators import detectors, evaluate, models
 from kilnflow.operators.prepare import PARTITION
+from kilnflow.sources.shared import cut
+
+#: A candidate's own failures. Others, such as a lost cluster, end the screening.
+FAILURES = (ValueError, TypeError, ArithmeticError, AnalysisException, IllegalArgumentException)
 
 
 def _ranked(results: DataFrame, keys: list[Column]) -> DataFrame:
@@ -29,8 +34,8 @@ def rank_classifiers(results: DataFrame) -> DataFrame:
 
 
 def rank_detectors(results: DataFrame) -> DataFrame:
-    """Detectors by penalties (``n_flags``), not degenerate first, separation (none last), fraction gap, spread of scores (wide first), place in the registry."""
-    degenerate = F.col("std_score").isNull() | (F.col("std_score") < evaluate.MIN_SCALE)
+    """Detectors by penalties (``n_flags``), those with normal and anomalous validation rows first (others have no separation), separation, fraction gap, spread of scores (wide first), place in the registry."""
+    degenerate = F.col("separation").isNull()
     return _ranked(results, [F.asc("n_flags"), degenerate.asc(), F.desc_nulls_last("separation"), F.asc_nulls_last("fraction_gap"), F.desc_nulls_last("std_score"), F.asc("registry_rank")])
 
 
@@ -42,6 +47,7 @@ def most_frequent(df: DataFrame, label: str, fit_on: tuple[str, ...] = ("train",
 
 def screen_classifiers(df: DataFrame, candidates: dict[str, Callable], features: list[str], label: str) -> DataFrame:
     """Fit each candidate on train and rank by metrics on validation; the most frequent label is the baseline, the first of the registry. A failure is a row with an error."""
+    df = cut(df, "classifiers")
     valid = df.filter(F.col(PARTITION) == "validation")
     names = ("macro_f1", "balanced_accuracy", "accuracy")
     rows: list[tuple] = []
@@ -50,13 +56,15 @@ def screen_classifiers(df: DataFrame, candidates: dict[str, Callable], features:
             guessed = most_frequent(df, label).filter(F.col(PARTITION) == "validation") if fit is None else models.predict(fit(df.filter(F.col(PARTITION) == "train"), features, label), valid, features)
             m = evaluate.classification_metrics(guessed, label, "p").first()
             rows.append((name, *[float(m[n]) for n in names], place, None))
-        except Exception as e:  # a candidate's failure is its result
+        except FAILURES as e:  # a candidate's failure is its result
             rows.append((name, None, None, None, place, str(e)[:200]))
     return rank_classifiers(df.sparkSession.createDataFrame(rows, "model string, macro_f1 double, balanced_accuracy double, accuracy double, registry_rank int, error string"))
 
 
 def final_regression(df: DataFrame, fit: Callable, features: list[str], target: str) -> DataFrame:
     """One row: validation RMSE of the model fitted on train, test metrics of it refitted on train and validation, their gap and whether the test is worse."""
+    df = cut(df, "final")
+
     def metrics(fit_on: tuple[str, ...], on: str) -> DataFrame:
         model = fit(df.filter(F.col(PARTITION).isin(*fit_on)), features, target)
         return evaluate.regression_metrics(models.predict(model, df.filter(F.col(PARTITION) == on), features), target, "p")
@@ -87,19 +95,41 @@ def screen_detectors(df: DataFrame, candidates: dict[str, Callable[[DataFrame],
 
     Test rows take no part. A detector that fails is a row with an error, after all others.
     """
-    known = df.filter(F.col(PARTITION) != "test")
+    known = cut(df.filter(F.col(PARTITION) != "test"), "detectors")
     rows: list[tuple] = []
     names = ("train_fraction", "validation_fraction", "fraction_gap", "std_score", "separation")
     for place, (name, detect) in enumerate(candidates.items()):
         try:
             m = evaluate.quality_flags(evaluate.label_free_metrics(detect(known), "_anomaly_score", "_is_anomaly")).first()
             rows.append((name, place, len(m.flags), *[None if m[n] is None else float(m[n]) for n in names], ",".join(m.flags), None))
-        except Exception as e:  # a candidate's failure is its result
+        except FAILURES as e:  # a candidate's failure is its result
             rows.append((name, place, 1_000, None, None, None, None, None, None, str(e)[:200]))
     schema = "model string, registry_rank int, n_flags int, " + ", ".join(f"{n} double" for n in names) + ", flags string, error string"
     return rank_detectors(df.sparkSession.createDataFrame(rows, schema))
 
 
+def screen_fitted(df: DataFrame, features: list[str], fits: dict[str, Callable[[DataFrame, list[str]], detectors.Fitted]] = detectors.FITS) -> tuple[DataFrame, detectors.Fitted | None]:
+    """Detectors fitted on train rows alone, scored on train and validation and ranked as in screen_detectors(); and the fitted first one (None if all fail)."""
+    done: dict[str, detectors.Fitted] = {}
+
+    def detect(name: str, fit: Callable) -> Callable[[DataFrame], DataFrame]:
+        def run(known: DataFrame) -> DataFrame:
+            done[name] = fit(known.filter(F.col(PARTITION) == "train"), features)
+            return detectors.score(done[name], known)
+
+        return run
+
+    ranked = cut(screen_detectors(df, {name: detect(name, fit) for name, fit in fits.items()}), "screened-detectors")
+    best = ranked.filter("error IS NULL").orderBy("rank").first()
+    return ranked, done[best.model] if best else None
+
+
+def final_fitted(df: DataFrame, features: list[str], fit: Callable[[DataFrame, list[str]], detectors.Fitted]) -> tuple[DataFrame, detectors.Fitted]:
+    """All rows scored by a detector refitted on train and validation, and the detector; test rows have no part in the fit."""
+    fitted = fit(df.filter(F.col(PARTITION).isin("train", "validation")), features)
+    return detectors.score(fitted, df), fitted
+
+
 def final_detection(df: DataFrame, detect: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score summary by partition of a detector that is refitted on train and validation."""
     return evaluate.score_summary(detect(df), "_anomaly_score", "_is_anomaly")

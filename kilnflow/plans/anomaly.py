@@ -132,7 +132,7 @@ def residual_shift(spark, sf_dir):
 
 @query(f"""WITH {BASE}, a AS (SELECT avg(f::INT) FILTER (part = 'train') AS ft, avg(f::INT) FILTER (part = 'validation') AS fv, min(s) FILTER (part = 'validation') AS lo, max(s) FILTER (part = 'validation') AS hi, avg(s) FILTER (part = 'validation') AS m, stddev_pop(s) FILTER (part = 'validation') AS sd, avg(s) FILTER (part = 'validation' AND f) AS ma, avg(s) FILTER (part = 'validation' AND NOT f) AS mb FROM d)
 SELECT round(ft, 6) AS train_fraction, round(fv, 6) AS validation_fraction, round(abs(ft - fv), 6) AS fraction_gap, round(lo, 6) AS min_score, round(hi, 6) AS max_score, round(m, 6) AS mean_score, round(sd, 6) AS std_score, round(hi - lo, 6) AS score_range, round((ma - mb) / greatest(sd, 1e-12), 6) AS separation,
-concat_ws(',', CASE WHEN fv < 0.001 THEN 'FRACTION_TOO_LOW' END, CASE WHEN fv > 0.25 THEN 'FRACTION_TOO_HIGH' END, CASE WHEN abs(ft - fv) > 0.10 THEN 'FRACTION_GAP' END, CASE WHEN sd < 1e-12 THEN 'DEGENERATE_SCORES' END, CASE WHEN ma < mb THEN 'NEGATIVE_SEPARATION' END) AS flags FROM a""")
+concat_ws(',', CASE WHEN fv < 0.001 THEN 'FRACTION_TOO_LOW' END, CASE WHEN fv > 0.25 THEN 'FRACTION_TOO_HIGH' END, CASE WHEN abs(ft - fv) > 0.10 THEN 'FRACTION_GAP' END, CASE WHEN sd < 1e-12 THEN 'NEARLY_CONSTANT' END, CASE WHEN ma IS NULL OR mb IS NULL THEN 'DEGENERATE' END, CASE WHEN ma < mb THEN 'NEGATIVE_SEPARATION' END) AS flags FROM a""")
 def label_free_metrics(spark, sf_dir):
     m = evaluate.quality_flags(evaluate.label_free_metrics(flagged(spark, sf_dir), "_residual_anomaly_score", "_is_residual_anomaly"))
     return rounded(m, *[c for c in m.columns if c != "flags"]).withColumn("flags", F.array_join("flags", ","))

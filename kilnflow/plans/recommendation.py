@@ -153,6 +153,16 @@ def scenario_scores_fitted(spark, sf_dir):
     return scored.select(F.col("scenario_index").cast("long").alias("scenario_index"), F.round("quality_prediction", 4).alias("quality_prediction"), F.round("quality_prediction_delta", 4).alias("quality_prediction_delta"))
 
 
+@query()
+def scenario_scores_detector(spark, sf_dir):
+    """Scenarios scored by a detector that is fitted on the table."""
+    from kilnflow.operators import detectors
+
+    t = read(spark, sf_dir, "lineitem").select(F.col("l_discount").cast("double").alias("discount"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_tax").cast("double").alias("tax"))
+    scored = recommend.score_detected(_scenarios(spark, sf_dir), detectors.fit_forest(t, VARIABLES))
+    return scored.select("scenario_index", "scenario_id", "anomaly_score", "anomaly_score_delta")
+
+
 @query(f"WITH {_B} SELECT 'GENERATED' AS status, 'CAUTION' AS safety_status, printf('SCN-%06d', i) AS scenario_id, i AS scenario_index, n AS change_count, round(qg, 6) AS quality_gain, round(ag, 6) AS anomaly_gain, round(composite, 6) AS composite FROM el WHERE eligible ORDER BY composite DESC, benefit DESC, n, magnitude, i LIMIT 1")
 def recommendation_result(spark, sf_dir):
     score = lambda rows: recommend.score_linear(recommend.score_linear(rows, COEFFICIENTS, 10.0), ANOMALY, 0.5, "anomaly_score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kilnflow.operators import diagnose, evaluate, events as ev, models, prepare, profile, routing, screening
+from kilnflow.operators import detectors, diagnose, evaluate, events as ev, leakage, models, prepare, profile, routing, screening
 from kilnflow.operators.prepare import PARTITION
 from kilnflow.plans.anomaly import BASE, FEATURES, LONG, flagged, process, rounded
 from kilnflow.plans.preparation import GAPS, gaps, read
@@ -69,9 +69,9 @@ dz AS (SELECT part, feature, abs(v - m) / sd AS z, abs(v - m) / sd > 1.5 AS fl F
 
 
 @query(f"""WITH {_DETECT.format(fit="'train'")}, a AS (SELECT feature, avg(fl::INT) FILTER (part = 'train') AS ft, avg(fl::INT) FILTER (part = 'validation') AS fv, stddev_pop(z) FILTER (part = 'validation') AS sd, avg(z) FILTER (part = 'validation' AND fl) - avg(z) FILTER (part = 'validation' AND NOT fl) AS d FROM dz GROUP BY feature),
-b AS (SELECT feature, ft, fv, abs(ft - fv) AS gap, sd, d / greatest(sd, 1e-12) AS sep, (fv < 0.001)::INT + (fv > 0.25)::INT + (abs(ft - fv) > 0.10)::INT + (sd < 1e-12)::INT + (d < 0)::INT AS n_flags FROM a)
+b AS (SELECT feature, ft, fv, abs(ft - fv) AS gap, sd, d, d / greatest(sd, 1e-12) AS sep, (fv < 0.001)::INT + (fv > 0.25)::INT + (abs(ft - fv) > 0.10)::INT + (sd < 1e-12)::INT + (d IS NULL)::INT + coalesce(d < 0, false)::INT AS n_flags FROM a)
 SELECT feature AS model, n_flags, round(ft, 6) AS train_fraction, round(fv, 6) AS validation_fraction, round(gap, 6) AS fraction_gap, round(sd, 6) AS std_score, round(sep, 6) AS separation,
-row_number() OVER (ORDER BY n_flags, sd < 1e-12, sep DESC NULLS LAST, gap, sd DESC, CASE feature WHEN 'y' THEN 0 WHEN 'k' THEN 1 ELSE 2 END) AS rank FROM b""")
+row_number() OVER (ORDER BY n_flags, d IS NULL, sep DESC NULLS LAST, gap, sd DESC, CASE feature WHEN 'y' THEN 0 WHEN 'k' THEN 1 ELSE 2 END) AS rank FROM b""")
 def detector_screening(spark, sf_dir):
     t = process(spark, sf_dir)
     out = screening.screen_detectors(t, {f: (lambda df, f=f: screening.deviation_scores(df, f)) for f in ("y", "k", "hour")})
@@ -171,18 +171,62 @@ def industry_routes(spark, sf_dir):
     return routing.route_industry(_scores(spark), confirmed)
 
 
-_COLUMNS = [("_original_row_id", "bigint", 900), ("lot", "string", 40), ("temp_c", "double", 500), ("both", "double", 9), ("ts", "timestamp", 900), ("start_time", "string", 900), ("serial", "string", 800), ("yield_pct", "double", 70), ("ok", "boolean", 2), ("shift", "string", 3), ("note", "string", 300), ("x1", "double", 100)]
+#: Columns of events under names and types of every rule, and the role that each has to get.
+_ROLES = {
+    "_original_row_id": ("event_id", "IDENTIFIER", 1.0), "Chamber Temp": ("value", "STATE_SENSOR", 0.98), "temp_c": ("value", "STATE_SENSOR", 0.95), "both": ("value", "UNKNOWN", 0.0), "moment": ("ts", "TIME", 0.90),
+    "recorded_at": ("cast(unix_micros(cast(ts AS timestamp)) AS long)", "TIME", 0.88), "deposition_time": ("value", "UNKNOWN", 0.0), "cycle_time_setpoint": ("value", "UNKNOWN", 0.0), "Vehicle-ID": ("user_id", "IDENTIFIER", 0.88), "id_card_type": ("value", "UNKNOWN", 0.0),
+    "serial number": ("user_id", "IDENTIFIER", 0.88), "label": ("value", "TARGET_QUALITY", 0.85), "yield_pct": ("value", "UNKNOWN", 0.0), "ok": ("value > 20", "CONTEXT", 0.80), "kind": ("event_type", "CONTEXT", 0.75), "note": ("cast(event_id AS string)", "IDENTIFIER", 0.70),
+    "pairs": ("cast(floor(event_id / 2) AS string)", "UNKNOWN", 0.0), "user_choice": ("value", "TARGET_QUALITY", 1.0),
+}
 
 
-@query("""WITH c(column_name, dtype, unique_count) AS (VALUES """ + ", ".join(f"('{c}', '{t}', {n})" for c, t, n in _COLUMNS) + """), n AS (SELECT *, string_split(trim(regexp_replace(lower(column_name), '[^0-9a-z]+', ' ', 'g')), ' ') AS w FROM c)
-SELECT column_name, CASE WHEN column_name = '_original_row_id' THEN 'IDENTIFIER' WHEN column_name = 'lot' THEN 'GROUP' WHEN column_name = 'temp_c' THEN 'PROCESS' WHEN column_name = 'both' THEN 'UNKNOWN' WHEN dtype IN ('date', 'timestamp') THEN 'TIME' WHEN list_has_any(w, ['time', 'timestamp', 'date', 'datetime']) THEN 'TIME'
-WHEN list_has_any(w, ['id', 'uuid', 'serial']) THEN 'IDENTIFIER' WHEN list_has_any(w, ['target', 'yield', 'quality', 'defect', 'label']) THEN 'TARGET_QUALITY' WHEN dtype = 'boolean' OR (dtype = 'string' AND unique_count <= 20) THEN 'CONTEXT' WHEN dtype = 'string' THEN 'IDENTIFIER' ELSE 'UNKNOWN' END AS role,
-CASE WHEN column_name = '_original_row_id' THEN 1.0 WHEN column_name = 'lot' THEN 0.98 WHEN column_name = 'temp_c' THEN 0.95 WHEN column_name = 'both' THEN 0.0 WHEN dtype IN ('date', 'timestamp') THEN 0.90 WHEN list_has_any(w, ['time', 'timestamp', 'date', 'datetime', 'id', 'uuid', 'serial']) THEN 0.88
-WHEN list_has_any(w, ['target', 'yield', 'quality', 'defect', 'label']) THEN 0.85 WHEN dtype = 'boolean' THEN 0.80 WHEN dtype = 'string' AND unique_count <= 20 THEN 0.75 WHEN dtype = 'string' THEN 0.70 ELSE 0.0 END::DOUBLE AS confidence FROM n""")
+@query("""WITH t AS (SELECT count(*) AS n, count(DISTINCT event_type) / count(*) AS few, count(DISTINCT event_id) / count(*) AS all_, count(DISTINCT event_id // 2) / count(*) AS half FROM events)
+SELECT column_name, CASE WHEN column_name = 'kind' AND few > 0.2 THEN 'UNKNOWN' WHEN column_name = 'note' AND all_ < 0.9 THEN 'UNKNOWN' WHEN column_name = 'pairs' AND half >= 0.9 THEN 'IDENTIFIER' ELSE role END AS role, confidence::DOUBLE AS confidence,
+role IN ('CONTROLLABLE_PROCESS', 'STATE_SENSOR', 'CONTEXT', 'DERIVED_FEATURE') AS use_in_model FROM t, (VALUES """ + ", ".join(f"('{c}', '{r}', {k})" for c, (_, r, k) in _ROLES.items()) + """) AS v(column_name, role, confidence)""")
 def column_roles(spark, sf_dir):
-    columns = spark.createDataFrame(_COLUMNS, "column_name string, dtype string, unique_count int")
-    synonyms = {"lot": ("lot", "GROUP"), "temp_c": ("temperature", "PROCESS"), "Both": ("pressure", "PROCESS"), "both_": ("yield", "TARGET_QUALITY")}
-    return routing.map_roles(columns, synonyms).select("column_name", "role", "confidence")
+    """Roles from the profile of a table."""
+    t = read(spark, sf_dir, "events").select(*[F.expr(e).alias(c) for c, (e, _, _) in _ROLES.items()])
+    types = spark.createDataFrame(t.dtypes, "column_name string, dtype string")
+    columns = profile.column_profile(t).select("column_name", "cardinality_ratio").join(types, "column_name")
+    hints = {"temp_c": ("chamber_temp", "STATE_SENSOR"), "Both": ("pressure", "CONTROLLABLE_PROCESS"), "both_": ("quality", "TARGET_QUALITY")}
+    return routing.map_roles(columns, hints, {"user_choice": "TARGET_QUALITY"}).select("column_name", "role", "confidence", "use_in_model")
+
+
+#: Feature names, and the rules that they break for the target "temperature".
+_NAMED = {"temperature": "TARGET_INCLUDED_AS_FEATURE", "event_id": "IDENTIFIER_INCLUDED_AS_FEATURE", "temperature_residual": "TARGET_DERIVED_FEATURE", "next_temperature": "TARGET_DERIVED_FEATURE", "lead_k": "FUTURE_DERIVED_FEATURE", "completion_time": "OUTCOME_TIMESTAMP_FEATURE"}
+
+
+@query(f"""WITH {BASE}, s AS (SELECT event_id, ts, user_id, part FROM p UNION ALL SELECT event_id, ts, user_id, 'test' FROM p WHERE part = 'train' AND y > 40),
+o AS (SELECT 'ORIGINAL_ROW_ID_OVERLAP' AS issue, 'event_id' AS c, event_id AS k, part FROM s UNION ALL SELECT 'GROUP_PARTITION_OVERLAP', 'user_id', user_id, part FROM s),
+ov AS (SELECT issue, c, string_agg(DISTINCT part, ',' ORDER BY CASE part WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END) AS parts FROM o JOIN (SELECT issue, k FROM o GROUP BY ALL HAVING count(DISTINCT part) > 1) USING (issue, k) GROUP BY ALL),
+e AS (SELECT part, min(ts) AS lo, max(ts) AS hi FROM s GROUP BY part),
+tv AS (SELECT concat_ws(',', CASE WHEN a.hi > b.lo THEN 'train' END, CASE WHEN a.hi > b.lo OR b.hi > c.lo THEN 'validation' END, CASE WHEN b.hi > c.lo THEN 'test' END) AS parts FROM e a, e b, e c WHERE a.part = 'train' AND b.part = 'validation' AND c.part = 'test'),
+sm AS (SELECT CASE WHEN count(*) > 0 THEN 'test' END AS parts FROM p WHERE part = 'train' AND y > 40)
+SELECT issue, c AS columns, parts AS partitions, 'BLOCKER' AS severity FROM ov UNION ALL SELECT 'TIME_ORDER_VIOLATION', 'ts', parts, 'BLOCKER' FROM tv WHERE parts <> '' UNION ALL SELECT 'SPLIT_SUMMARY_MISMATCH', 'event_id', parts, 'BLOCKER' FROM sm WHERE parts IS NOT NULL
+UNION ALL SELECT v.issue, v.c, '', 'BLOCKER' FROM (VALUES {", ".join(f"('{i}', '{c}')" for c, i in _NAMED.items())}, ('FUTURE_DERIVED_FEATURE', 'next_temperature')) v(issue, c)
+UNION ALL SELECT v.issue, v.c, 'train,validation,test', v.s FROM (VALUES ('PREPROCESSING_FIT_SCOPE_UNKNOWN', 'k', 'WARNING'), ('PREPROCESSING_NOT_FIT_ON_TRAINING_DATA', 'hour', 'BLOCKER')) v(issue, c, s)""")
+def leakage_report(spark, sf_dir):
+    """A split some of whose train rows are test rows, too, with features of telling names."""
+    t = process(spark, sf_dir)
+    leaky = t.unionByName(t.filter((F.col(PARTITION) == "train") & (F.col("y") > 40)).withColumn(PARTITION, F.lit("test")))
+    names = [(c, "IDENTIFIER" if c == "event_id" else None) for c in (*_NAMED, "chamber_temperature", "k", "hour")]
+    steps = spark.createDataFrame([(["k"], None), (["hour"], False), (["y"], True)], "columns array<string>, on_train boolean")
+    report = leakage.check(leaky, "event_id", spark.createDataFrame(names, "feature string, role string"), "temperature", "user_id", "ts", steps, t)
+    return report.select("issue", F.array_join("columns", ",").alias("columns"), F.array_join("partitions", ",").alias("partitions"), "severity")
+
+
+@query()
+def detector_screening_fitted(spark, sf_dir):
+    """Isolation forest, one-class machine and robust envelope, fitted on train rows and ranked on validation."""
+    return screening.screen_fitted(process(spark, sf_dir), ["y", "k", "hour"])[0]
+
+
+@query()
+def detector_final_fitted(spark, sf_dir):
+    """Score summaries of the three detectors, refitted on train and validation."""
+    t = process(spark, sf_dir)
+    out = [evaluate.score_summary(screening.final_fitted(t, ["y", "k", "hour"], fit)[0], "_anomaly_score", "_is_anomaly").select(F.lit(name).alias("model"), "*") for name, fit in detectors.FITS.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("""WITH t AS (SELECT 'value' AS column_name, 'double' AS dtype, count(DISTINCT value) AS u, count(*) AS n FROM events UNION ALL SELECT 'event_type', 'string', count(DISTINCT event_type), count(*) FROM events UNION ALL SELECT 'hour', 'int', count(DISTINCT hour(ts) // 3), count(*) FROM events UNION ALL SELECT 'none', NULL, 0, count(*) FROM events)

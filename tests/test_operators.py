@@ -203,7 +203,7 @@ def test_models_find_planted_outliers(spark):
     x = rng.normal(size=(400, 3))
     x[:20] += 8
     df = spark.createDataFrame([(i, "train", *map(float, r)) for i, r in enumerate(x)], f"id long, {PARTITION} string, a double, b double, c double")
-    for out in (models.isolation_forest(df, ["a", "b", "c"], "id", trees=50), models.elliptic_envelope(df, ["a", "b", "c"]), models.one_class(df, ["a", "b", "c"])):
+    for out in (models.isolation_forest(df, ["a", "b", "c"], "id", trees=50), models.elliptic_envelope(df, ["a", "b", "c"])):
         flagged = {r.id for r in out.filter("_is_anomaly").collect()}
         assert len(flagged) == 20 and len(flagged & set(range(20))) >= 18
 
@@ -222,8 +222,8 @@ def test_routing(spark):
     meta = spark.createDataFrame([("d1", "column_names", "wafer_id"), ("d1", "column_names", "film_thickness"), ("d1", "user_description", "Wafer etch, deposition"), ("d2", "file_name", "x.csv"), ("d3", "user_description", "battery")], "dataset string, source string, text string")
     got = {r.dataset: (r.industry, r.decision) for r in routing.route_industry(routing.score_industries(meta)).collect()}
     assert got == {"d1": ("semiconductor", "AUTO_SELECTED"), "d2": ("generic", "FALLBACK_GENERIC"), "d3": ("battery", "CONFIRMATION_REQUIRED")}
-    cols = spark.createDataFrame([("lot", "string", 5), ("event_time", "bigint", 9), ("x", "boolean", 2), ("yield", "double", 90), ("z", "double", 90)], "column_name string, dtype string, unique_count int")
+    cols = spark.createDataFrame([("lot", "string", 5), ("event_time", "bigint", 9), ("x", "boolean", 2), ("label", "double", 90), ("yield", "double", 90), ("z", "double", 90)], "column_name string, dtype string, unique_count int")
     roles = {r.column_name: r.role for r in routing.map_roles(cols, {"lot": ("lot_id", "IDENTIFIER")}, {"z": "TARGET_QUALITY"}).collect()}
-    assert roles == {"lot": "IDENTIFIER", "event_time": "TIME", "x": "CONTEXT", "yield": "TARGET_QUALITY", "z": "TARGET_QUALITY"}
-    assert {r.feature: r.issue for r in routing.leaky_names(spark, ["yield", "yield_lag", "next_temp", "temp"], "yield").collect()} == {"yield": "TARGET_AS_FEATURE", "yield_lag": "TARGET_DERIVED", "next_temp": "FUTURE_DERIVED"}
+    assert roles == {"lot": "IDENTIFIER", "event_time": "TIME", "x": "CONTEXT", "label": "TARGET_QUALITY", "yield": "UNKNOWN", "z": "TARGET_QUALITY"}
+    assert {r.feature: r.issue for r in routing.leaky_names(spark, ["yield", "yield_lag", "yield_error", "next_temp", "temp"], "yield").collect()} == {"yield": "TARGET_INCLUDED_AS_FEATURE", "yield_error": "TARGET_DERIVED_FEATURE", "next_temp": "FUTURE_DERIVED_FEATURE"}
     assert routing.route_task(spark.createDataFrame([("double", 3, 1000)], "dtype string, unique_count int, row_count int")).first().task == "CLASSIFICATION"
