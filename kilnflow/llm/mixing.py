@@ -4,7 +4,8 @@ Sizes are summed by source and by a slice of a document hash. A budget's
 threshold lies in the one slice where the running sum crosses it; only that
 slice is split again by the next bits. Documents below the threshold are taken:
 thresholds are nested (a larger budget takes a superset), nothing is sorted,
-and reruns agree as the hash depends on the row alone.
+and reruns agree as the hash depends on the row alone. Only where a threshold
+falls among equal rows, which share a hash, are these few numbered.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
 
 
 def _crossing(state: DataFrame, sums: DataFrame) -> DataFrame:
-    """``state`` (source, copies, budget, prefix) moved to the slice of ``sums`` (source, slice, size) in which the running sum crosses the budget.
+    """``state`` (source, copies, budget, prefix) moved to the slice of ``sums`` (source, slice, size, rows, least, most) in which the running sum crosses the budget.
 
     A source has at most 2 ** (LEVEL_BITS / 2) slices, which bounds the window.
     The budget loses what is below the slice; the prefix gains the slice's bits.
@@ -64,13 +65,13 @@ def _crossing(state: DataFrame, sums: DataFrame) -> DataFrame:
     crossing = (
         state.join(running, F.col("source").eqNullSafe(F.col("s_")) & (F.col("under") <= F.col("budget")), "left")
         .groupBy("source", "copies", "budget", "prefix")
-        .agg(F.max(F.struct("slice", "under", "size")).alias("at"))
+        .agg(F.max(F.struct("slice", "under", "size", "rows", "least", "most")).alias("at"))
     )
     return crossing.select(
         "source", "copies",
         (F.col("budget") - F.coalesce("at.under", F.lit(0))).alias("budget"),
         (F.shiftleft("prefix", LEVEL_BITS // 2) + F.coalesce("at.slice", F.lit(0))).alias("prefix"),
-        F.coalesce("at.size", F.lit(0)).alias("slice_size"),
+        F.coalesce("at.size", F.lit(0)).alias("slice_size"), "at.rows", "at.least", "at.most",
     )
 
 
@@ -82,7 +83,9 @@ def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
     more copy is taken. A level's sums by slice are written once and searched
     in two steps: by the upper half of its bits, then by the lower half within
     the crossing. The slice that holds the last crossing is taken whole when
-    that lands nearer the budget.
+    that lands nearer the budget; but of several rows of one size in it (equal
+    ones, as a rule) ``tie_take`` of those at ``tie_at`` are taken, which is
+    null elsewhere.
     """
     half = LEVEL_BITS // 2
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
@@ -92,14 +95,17 @@ def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         if level:
             inside = held(inside, F.shiftrightunsigned("h", 64 - LEVEL_BITS * level))
-        sums = cut(inside.groupBy("source", _slice(level).alias("fine")).agg(F.sum("size").alias("size")), f"mix-sums{level}")
-        state = cut(_crossing(state, sums.groupBy("source", F.shiftright("fine", half).alias("slice")).agg(F.sum("size").alias("size"))), f"mix-upper{level}").drop("slice_size")
+        sums = cut(inside.groupBy("source", _slice(level).alias("fine")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("size").alias("least"), F.max("size").alias("most")), f"mix-sums{level}")
+        upper = sums.groupBy("source", F.shiftright("fine", half).alias("slice")).agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max("most").alias("most"))
+        state = _crossing(state, upper).select("source", "copies", "budget", "prefix")
         top = F.col("p_").bitwiseAND(F.lit((1 << half) - 1))
         near = sums.join(state.select(F.col("source").alias("s_"), F.col("prefix").alias("p_")), F.col("source").eqNullSafe(F.col("s_")) & (F.shiftright("fine", half) == top))
-        last = cut(_crossing(state, near.select("source", F.col("fine").bitwiseAND(F.lit((1 << half) - 1)).alias("slice"), "size")), f"mix-lower{level}")
-        state = last.drop("slice_size")
+        last = cut(_crossing(state, near.select("source", F.col("fine").bitwiseAND(F.lit((1 << half) - 1)).alias("slice"), "size", "rows", "least", "most")), f"mix-lower{level}")
+        state = last.select("source", "copies", "budget", "prefix")
     nearer = (F.col("slice_size") > 0) & (F.col("budget") * 2 >= F.col("slice_size"))
-    return last.select("source", "copies", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("cut_at"))
+    some = F.when((F.col("rows") > 1) & (F.col("least") == F.col("most")) & (F.col("most") > 0), F.floor(F.try_divide(F.col("budget"), F.col("most")) + 0.5))
+    tie = F.when((some > 0) & (some < F.col("rows")), some)
+    return last.select("source", "copies", (F.col("prefix") + F.when(tie.isNull() & nearer, 1).otherwise(0)).alias("cut_at"), F.when(tie.isNotNull(), F.col("prefix")).alias("tie_at"), tie.alias("tie_take"))
 
 
 def _hash(seed: str) -> Column:
@@ -107,27 +113,41 @@ def _hash(seed: str) -> Column:
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """The written tables of document sizes (doc_id, source, size, h) and of the plan, a row per source: (source, source_size, target, whole, cut_at)."""
+    """The written tables of document sizes (doc_id, source, size, h) and of the plan, a row per source: (source, source_size, target, whole, cut_at, tie_at, tie_take)."""
     base = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed).alias("h")), "mix-sizes")
     wanted = cut(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     bounds = thresholds(base, wanted)
     both = wanted.alias("w").join(bounds.alias("b"), F.col("w.source").eqNullSafe(F.col("b.source")))
-    return base, cut(both.select("w.source", "w.source_size", "w.target", F.col("b.copies").alias("whole"), "b.cut_at"), "mix-plan")
+    return base, cut(both.select("w.source", "w.source_size", "w.target", F.col("b.copies").alias("whole"), "b.cut_at", "b.tie_at", "b.tie_take"), "mix-plan")
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame, most: float) -> DataFrame:
     """``rows`` (with source and h) and how often the plan takes each. The plan has a row per source; its stored size tells Spark whether to broadcast it."""
-    bounds = plan.select(F.col("source").alias("plan_source_"), F.col("source_size").alias("plan_size_"), F.col("target").alias("plan_target_"), "whole", "cut_at")
-    more = F.when(F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS) < F.col("cut_at"), 1).otherwise(0)
-    return rows.join(bounds, F.col("source").eqNullSafe(F.col("plan_source_"))).withColumn("copies_", F.least(F.col("whole") + more, F.lit(int(most))))
+    bounds = plan.select(F.col("source").alias("plan_source_"), F.col("source_size").alias("plan_size_"), F.col("target").alias("plan_target_"), "whole", "cut_at", "tie_at", "tie_take")
+    top = F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS)
+    copies = lambda more: F.least(F.col("whole") + F.when(more, 1).otherwise(0), F.lit(int(most)))
+    joined = rows.join(bounds, F.col("source").eqNullSafe(F.col("plan_source_")))
+    known = joined.withColumn("copies_", copies(top < F.col("cut_at")))
+    if plan.filter("tie_take IS NOT NULL").isEmpty():
+        return known
+    # A threshold falls among equal rows: which of them is all the same, how many is not. They are numbered across
+    # partitions, as there may be very many.
+    tied = F.coalesce(top == F.col("tie_at"), F.lit(False))
+    spread = joined.filter(tied).withColumn("spread_", F.xxhash64(F.monotonically_increasing_id()))
+    placed = with_positions(spread, [F.col("source").asc_nulls_last(), F.col("spread_")], "place_")
+    first = cut(placed.groupBy(F.col("source").alias("first_source_")).agg(F.min("place_").alias("first_")), "mix-ties")
+    numbered = placed.join(first, F.col("source").eqNullSafe(F.col("first_source_"))).withColumn("copies_", copies(F.col("place_") - F.col("first_") < F.col("tie_take")))
+    return known.filter(~tied).unionByName(numbered.select(*known.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, copies (how often the mix takes it) and taken (copies * size).
 
     Null texts have size 0; a null source is a source of its own, last in the
-    order. Rows alike in doc_id and text share one hash and so one fate.
-    Sources without words get target 0. An empty table gives an empty result.
+    order. Rows alike in doc_id and text share one hash; where the threshold
+    falls among n of them, as many take one more copy as come nearest to the
+    target. Sources without words get target 0. An empty table gives an empty
+    result.
     """
     base, plan = plan_mix(docs, weights, share, most, seed)
     out = _with_copies(base, plan, most)
@@ -135,7 +155,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its copies say, with its own columns. Texts are not shuffled."""
+    """``docs`` as the mix takes them: each row as often as its copies say, with its own columns; nulls and equal rows as in mix().
+
+    Texts are not shuffled, but for those of equal rows among which a threshold
+    falls. An empty table gives an empty result.
+    """
     _, plan = plan_mix(docs, weights, share, most, seed)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
     rows = docs.select(own, F.col("source"), _hash(seed).alias("h"))
