@@ -137,7 +137,24 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()  # documents stay whole
+    tokenizer.no_truncation()
+    return tokenizer
+
+
+def cut_at_spaces(tokenizer) -> bool:
+    """Whether ids of pieces cut before spaces join to the text's: byte-level BPE with the usual pattern and nothing before or beside it."""
+    spec = json.loads(tokenizer.to_str())
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return bool(plain and usual and spec["normalizer"] is None)
+
+
+def n_ids_of(tokenizer) -> int:
+    """One more than the largest id; a vocabulary may have gaps."""
+    return max(tokenizer.get_vocab().values(), default=0) + 1
 
 
 #: Marks that pre-tokens part from a letter before them.
@@ -179,7 +196,8 @@ class Encoder:
     those with special tokens, are encoded whole. A piece of letters and then
     plain marks is cut between them as pre-tokens are. New pieces are encoded
     many at a time, run together; as ids stand for bytes, their lengths tell
-    where each piece's ids end.
+    where each piece's ids end. Tokenizers of any other kind (other models or
+    patterns, normalisers, prefix spaces) get whole texts and nothing is kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -187,8 +205,9 @@ class Encoder:
         self.encode_all = tokenizer.encode_batch_fast
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]  # these are found across pieces
         vocabulary = tokenizer.get_vocab()
-        self.dtype = id_type(len(vocabulary))
-        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.plain = cut_at_spaces(tokenizer)
+        self.dtype = id_type(n_ids_of(tokenizer))
+        self.lengths = np.zeros(n_ids_of(tokenizer), np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # one character of a byte-level token is one byte
         self.known = _Pieces()
@@ -244,6 +263,8 @@ class Encoder:
 
     def narrow(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, as wide as the vocabulary needs."""
+        if not self.plain:
+            return self.whole(texts)
         self.known.age()
         get = self.known.__getitem__
         cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
@@ -303,7 +324,8 @@ def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tu
         owner: list[tuple[bool, int | None]] = []
         chars = 0
         for i in range(b.num_rows):
-            doc_id, parts = b.column(0)[i].as_py(), pieces(b.column(1)[i].as_py() or "", encoder.special)
+            doc_id, text = b.column(0)[i].as_py(), b.column(1)[i].as_py() or ""
+            parts = pieces(text, encoder.special) if encoder.plain else [text]
             for k, part in enumerate(parts):
                 held.append(part)
                 owner.append((k == len(parts) - 1, doc_id))
@@ -314,10 +336,10 @@ def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tu
         yield from ((*o, ids) for o, ids in zip(owner, encoder.narrow(held)))
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Chunks of consecutive documents in ascending doc_id order: (shard, seq, ids, lengths, doc_ids, counts).
 
-    ``ids`` are little-endian, as wide as the vocabulary needs, with END_ID
+    ``ids`` are little-endian, as wide as the vocabulary needs, with ``end_id``
     after each document; null texts have that alone. A task's last row has seq
     -1 and the compressed counts of all its ids. Documents with equal doc_id
     follow by text hash, null ids come first; an empty table gives no rows.
@@ -326,7 +348,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, seq = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         counts = np.zeros(len(encoder.lengths), np.int64)
-        width, end = np.dtype(encoder.dtype).itemsize, np.array([END_ID], encoder.dtype).tobytes()
+        width, end = np.dtype(encoder.dtype).itemsize, np.array([end_id], encoder.dtype).tobytes()
         parts: list[bytes] = []
         lengths: list[int] = []
         doc_ids: list[int | None] = []
@@ -381,20 +403,23 @@ def frequencies(chunks: DataFrame, n_ids: int) -> np.ndarray:
     return out
 
 
-def write_blocks(docs: DataFrame, tokenizer_path: str, path: str) -> None:
+def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` into the data set at ``path``: blocks/ (a row per block) and table/ (the shared frequencies and the format's constants).
 
-    Null texts are empty documents of one end id. Documents with equal doc_id
+    Any tokenizer file of the library will do; ``end_id`` is one of its ids, or
+    ValueError. Null texts are empty documents of one end id. Documents with equal doc_id
     follow by text hash; null ids come first. Each row is a document of its
     own; an empty table gives no blocks. Other columns are not kept.
     """
     spark = docs.sparkSession
-    n_ids = _tokenizer(tokenizer_path).get_vocab_size()
+    n_ids = n_ids_of(_tokenizer(tokenizer_path))
+    if not 0 <= end_id < n_ids:
+        raise ValueError(f"{end_id} is no id of the tokenizer")
     began = mark()
-    chunks = cut(tokenize(docs, tokenizer_path), "token-chunks")
+    chunks = cut(tokenize(docs, tokenizer_path, end_id), "token-chunks")
     counts, dtype = frequencies(chunks, n_ids), id_type(n_ids)
     shared = spark.sparkContext.broadcast(counts)
-    meta = json.dumps({"probability_bits": PROBABILITY_BITS, "end_id": END_ID})
+    meta = json.dumps({"probability_bits": PROBABILITY_BITS, "end_id": end_id})
     spark.createDataFrame([(meta, zlib.compress(counts.astype("<i8").tobytes()))], "meta string, counts binary").coalesce(1).write.parquet(f"{path}/table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
