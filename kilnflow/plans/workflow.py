@@ -7,10 +7,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnflow.operators import diagnose, evaluate, events as ev, models, prepare, profile, screening
+from kilnflow.operators import diagnose, evaluate, events as ev, leakage, models, prepare, profile, screening
 from kilnflow.operators.prepare import PARTITION, Range, RefusedError
 from kilnflow.plans.reporting import run_manifest
 from kilnflow.sources import tables
+from kilnflow.sources.shared import cut
 from kilnflow.sources.tables import ROW_ID
 
 
@@ -81,8 +82,12 @@ def run(spark: SparkSession, request: Request) -> Report:
         df = prepare.impute(df, prepare.impute_values(df.filter(F.col(PARTITION) == "train"), dict.fromkeys(request.features, "median")))
         done(stage)
         stage = "LEAKAGE_CHECK"
-        if request.target in request.features or not prepare.shared_keys(df, ROW_ID).isEmpty():
-            raise RefusedError("LEAKAGE")
+        named = spark.createDataFrame([(f, None) for f in request.features], "feature string, role string")
+        report.results["leakage"] = cut(leakage.check(df, ROW_ID, named, request.target, time=request.time), "leakage")
+        try:
+            leakage.assert_safe(report.results["leakage"])
+        except leakage.LeakageError as e:
+            raise RefusedError("LEAKAGE") from e
         done(stage)
         if request.target:
             stage = "MODELS"
