@@ -6,12 +6,13 @@ each, five hundred scenarios), so window functions over the whole are small.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kilnflow.sources.shared import cut
+
 TOLERANCE, MAX_SCENARIOS, MAX_CHANGES, POINTS = 1e-12, 500, 3, 5
 
+
 def _all():
     """The window over all rows of a bounded relation."""
     return Window.partitionBy()
@@ -71,24 +72,20 @@ def scenarios(points: DataFrame, variables: list[str], most: int = MAX_SCENARIOS
     """
     change = F.col("is_current") == F.lit(False)
     order = Window.partitionBy("variable").orderBy(F.abs("delta") / F.col("span"), "value")
-    moves = points.filter(change).withColumn("k", F.row_number().over(order))
+    place = F.array_position(F.array(*map(F.lit, variables)), F.col("variable")).cast("int") if variables else F.lit(0)
+    moves = points.filter(change).withColumn("k", F.row_number().over(order)).select(place.alias("place"), "variable", "k", "value", (F.abs("delta") / F.col("span")).alias("m")).filter("place > 0")
+    moves = cut(moves, "moves")  # a few points of each variable
     now = points.filter("is_current").groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("variable", "value")))).alias("current"))
-    none = now.select(F.lit(0).alias("n"), F.lit(0).alias("combo"), F.array().cast("array<int>").alias("ks"), F.array().cast("array<string>").alias("changed"), F.create_map().cast("map<string,double>").alias("new"), F.lit(0.0).alias("magnitude"))
-    parts = [none]
+    rows = now.select(F.array().cast("array<int>").alias("places"), F.array().cast("array<int>").alias("ks"), F.array().cast("array<string>").alias("changed"), F.create_map().cast("map<string,double>").alias("new"), F.lit(0.0).alias("magnitude"))
+    level = rows
     for n in range(1, min(changes, len(variables)) + 1):
-        for c, names in enumerate(combinations(variables, n)):
-            out: DataFrame | None = None
-            for i, name in enumerate(names):
-                side = moves.filter(F.col("variable") == name).select(F.col("k").alias(f"k{i}"), F.col("value").alias(f"v{i}"), (F.abs("delta") / F.col("span")).alias(f"m{i}"))
-                out = side if out is None else out.crossJoin(side)  # a few points a side
-            assert out is not None
-            entries = [x for i, name in enumerate(names) for x in (F.lit(name), F.col(f"v{i}"))]
-            magnitude = sum((F.col(f"m{i}") for i in range(1, n)), F.col("m0"))
-            parts.append(out.select(F.lit(n).alias("n"), F.lit(c).alias("combo"), F.array(*[F.col(f"k{i}") for i in range(n)]).alias("ks"), F.array(*map(F.lit, names)).alias("changed"), F.create_map(*entries).alias("new"), magnitude.alias("magnitude")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    indexed = rows.withColumn("scenario_index", F.row_number().over(_all().orderBy("n", "combo", "ks")) - 1).filter(F.col("scenario_index") < most).crossJoin(F.broadcast(now))  # one row
+        # Each combination grows by the moves of later variables: a join a level, however many variables there are.
+        later = F.col("place") > F.coalesce(F.try_element_at("places", F.lit(-1)), F.lit(0))
+        grown = level.join(F.broadcast(moves), later)
+        level = grown.select(F.array_append("places", F.col("place")).alias("places"), F.array_append("ks", F.col("k")).alias("ks"), F.array_append("changed", F.col("variable")).alias("changed"), F.map_concat("new", F.create_map("variable", "value")).alias("new"), (F.col("magnitude") + F.col("m")).alias("magnitude"))
+        rows = rows.unionByName(level)
+    rows = rows.withColumn("n", F.size("places"))
+    indexed = rows.withColumn("scenario_index", F.row_number().over(_all().orderBy("n", "places", "ks")) - 1).filter(F.col("scenario_index") < most).crossJoin(F.broadcast(now))  # one row
     merged = F.map_concat(F.map_filter("current", lambda k, _: ~F.array_contains("changed", k)), F.col("new"))
     return indexed.select("scenario_index", F.format_string("SCN-%06d", "scenario_index").alias("scenario_id"), merged.alias("values"), "changed", F.col("n").alias("change_count"), "magnitude")
 
