@@ -142,9 +142,13 @@ def _votes(rule: str) -> Column:
 
 
 def aggregate_events(factors: DataFrame, rule: str = "robust", top: int = 10) -> DataFrame:
-    """Factors of several events (event_id, feature, place, normalized_score, confidence, difference, direction) as one ranked list of means."""
-    sums = factors.groupBy("feature").agg(F.avg("normalized_score").alias("mean_score"), F.avg("confidence").alias("mean_confidence"), F.avg("difference").alias("mean_deviation"), F.count("*").alias("occurrences"), F.min("place").alias("place"), _votes(rule).alias("direction"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_score"), F.desc("mean_confidence"), F.desc("occurrences"), F.asc("place"))
+    """Factors of several events (event_id, feature, place, normalized_score, confidence, difference, direction) as one ranked list of means.
+
+    By the ``residual`` rule, with rho_score, the mean of its sizes breaks ties of the mean score first.
+    """
+    related = [F.avg(F.abs("rho_score")).alias("mean_correlation")] if rule == "residual" else []
+    sums = factors.groupBy("feature").agg(F.avg("normalized_score").alias("mean_score"), F.avg("confidence").alias("mean_confidence"), F.avg("difference").alias("mean_deviation"), F.count("*").alias("occurrences"), F.min("place").alias("place"), _votes(rule).alias("direction"), *related)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_score"), *([F.desc("mean_correlation")] if related else []), F.desc("mean_confidence"), F.desc("occurrences"), F.asc("place"))
     return sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
@@ -178,6 +182,19 @@ def fuse(sources: DataFrame, weights: dict[str, float], constant: float = RRF, m
     return ranked.filter(F.col("rank") <= top).drop("_base", "_coverage", "_methods")
 
 
+def _reference_scale(rows: DataFrame) -> DataFrame:
+    """(feature, ref_median, mad, n_reference) of long reference rows."""
+    medians = exact_quantiles(rows, "feature", "value", {"ref_median": 0.5})
+    deviations = rows.join(F.broadcast(medians), "feature").select("feature", F.abs(F.col("value") - F.col("ref_median")).alias("d"))  # a row per feature
+    return medians.join(exact_quantiles(deviations, "feature", "d", {"mad": 0.5}), "feature").join(rows.groupBy("feature").agg(F.count("*").alias("n_reference")), "feature")
+
+
+def _top_flagged(df: DataFrame, features: list[str], flag: str, score: str, row_id: str, events: int) -> DataFrame:
+    """Long rows (event_id, feature, place, value) of the flagged rows of the highest scores, equal ones by id."""
+    top = df.filter(decode_flag(F.col(flag))).orderBy(F.desc(score), F.asc(row_id)).limit(events)
+    return long_features(top, features, {"event_id": F.col(row_id)}).filter("value IS NOT NULL")
+
+
 def compare_events(df: DataFrame, features: list[str], flag: str, score: str, row_id: str, events: int = 20) -> DataFrame:
     """Group comparison of each of the top flagged rows alone against all reference rows: (event_id, feature, ...).
 
@@ -185,12 +202,8 @@ def compare_events(df: DataFrame, features: list[str], flag: str, score: str, ro
     computed once for all of them.
     """
     rows = long_features(df, features, {"flag": decode_flag(F.col(flag))}).filter("value IS NOT NULL")
-    reference = rows.filter(~F.col("flag"))
-    medians = exact_quantiles(reference, "feature", "value", {"ref_median": 0.5})
-    deviations = reference.join(F.broadcast(medians), "feature").select("feature", F.abs(F.col("value") - F.col("ref_median")).alias("d"))  # a row per feature
-    fitted = medians.join(exact_quantiles(deviations, "feature", "d", {"mad": 0.5}), "feature").join(reference.groupBy("feature").agg(F.count("*").alias("n_reference")), "feature")
-    top = df.filter(decode_flag(F.col(flag))).orderBy(F.desc(score), F.asc(row_id)).limit(events)
-    each = long_features(top, features, {"event_id": F.col(row_id)}).filter("value IS NOT NULL").join(F.broadcast(fitted), "feature")
+    fitted = _reference_scale(rows.filter(~F.col("flag")))
+    each = _top_flagged(df, features, flag, score, row_id, events).join(F.broadcast(fitted), "feature")
     s, d = MAD_TO_SIGMA * F.col("mad"), F.col("value") - F.col("ref_median")
     flat = s <= MIN_SCALE
     z = F.when(~flat, F.abs(d) / s)
@@ -202,4 +215,30 @@ def compare_events(df: DataFrame, features: list[str], flag: str, score: str, ro
     return out.filter("confidence <> 0").withColumn("normalized_score", F.col("confidence") / F.max("confidence").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("confidence"), F.desc("prevalence"), F.asc("place"))))
 
 
-__all__ = ["aggregate_events", "aggregate_rrf", "compare_events", "correlation", "decode_flag", "fuse", "group_comparison", "long_features", "rank_correlations", "rank_factors", "residual_association", "spearman"]
+def associate_events(df: DataFrame, features: list[str], flag: str = "_is_residual_anomaly", residual: str = "_regression_residual", score: str = "_residual_anomaly_score", row_id: str = "_original_row_id", events: int = 20, weights: tuple[float, float, float] = (0.45, 0.35, 0.20), minimum: tuple[int, int] = (5, 2), threshold: float = Z_THRESHOLD, top: int = 10) -> DataFrame:
+    """Residual association of each of the top flagged rows alone: (event_id, feature, ...), the first ``top`` factors of each event.
+
+    Rank correlations are those over all rows and the same for all events, so
+    all columns are ranked once; of an event its own values count, measured by
+    the median and scale of the rows that aren't flagged. ``minimum``: rows in
+    all and reference rows of full support. A null value leaves its feature out
+    of that event; without flagged or without reference rows there are none.
+    Equal residuals, scores and values share their ranks, to nine places.
+    """
+    rows = cut(long_features(df, features, {"flag": decode_flag(F.col(flag)), "residual": F.round(residual, 9), "score": F.round(score, 9)}).filter("value IS NOT NULL"), "long-features")
+    fitted = _reference_scale(rows.filter(~F.col("flag")).select("feature", "value")).withColumn("scale", F.greatest(MAD_TO_SIGMA * F.col("mad"), F.lit(MIN_SCALE)))
+    related = rank_correlations(rows, ["residual", "score"]).join(rows.groupBy("feature").agg(F.count("*").alias("n_rows")), "feature")
+    each = _top_flagged(df, features, flag, score, row_id, events).join(F.broadcast(fitted.join(related, "feature")), "feature")  # a row per feature
+    d = F.col("value") - F.col("ref_median")
+    each = each.withColumn("difference", d).withColumn("group_z", F.abs(d) / F.col("scale")).withColumn("prevalence", (F.col("group_z") >= threshold).cast("double"))
+    raw = weights[0] * F.abs("rho_score") + weights[1] * F.col("group_z") / (F.col("group_z") + 1) + weights[2] * F.col("prevalence")
+    support = F.least(F.lit(1.0), F.col("n_rows") / minimum[0]) * F.least(F.lit(1.0), F.col("n_reference") / minimum[1])
+    direction = F.when(F.col("rho_residual") > TOLERANCE, POSITIVE).when(F.col("rho_residual") < -TOLERANCE, NEGATIVE).otherwise(UNKNOWN)
+    each = each.withColumn("raw_score", F.least(F.lit(1.0), raw)).filter("raw_score <> 0").withColumn("confidence", F.col("raw_score") * support).withColumn("direction", direction)
+    w = Window.partitionBy("event_id")  # a row per feature
+    order = w.orderBy(F.desc("raw_score"), F.desc(F.abs("rho_score")), F.desc("prevalence"), F.desc("confidence"), F.asc("place"))
+    ranked = each.withColumn("normalized_score", F.col("raw_score") / F.max("raw_score").over(w)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return ranked.select("event_id", "feature", "place", "difference", "group_z", "prevalence", "rho_residual", "rho_score", "raw_score", "confidence", "direction", "normalized_score", "rank")
+
+
+__all__ = ["aggregate_events", "aggregate_rrf", "associate_events", "compare_events", "correlation", "decode_flag", "fuse", "group_comparison", "long_features", "rank_correlations", "rank_factors", "residual_association", "spearman"]

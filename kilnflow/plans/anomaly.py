@@ -173,6 +173,32 @@ def diag_top_events(spark, sf_dir):
     return rounded(diagnose.aggregate_events(each), "mean_score", "mean_confidence", "mean_deviation").select("feature", "mean_score", "mean_confidence", "mean_deviation", "occurrences", "direction")
 
 
+_EACH = """top AS (SELECT event_id FROM d WHERE part = 'test' AND f ORDER BY s DESC, event_id LIMIT 20),
+nr AS (SELECT feature, count(*) AS n_reference FROM x WHERE NOT f GROUP BY feature),
+v0 AS (SELECT x.event_id, x.feature, x.place, value - ref AS difference, abs(value - ref) / greatest(1.4826 * mad, 1e-12) AS z, n_reference, n_rows, rho_residual, rho_score FROM x JOIN top USING (event_id) JOIN md USING (feature) JOIN mad USING (feature) JOIN nr USING (feature) JOIN co USING (feature)),
+v1 AS (SELECT *, (z >= 3.5)::INT AS prevalence, least(1.0, 0.45 * abs(rho_score) + 0.35 * z / (z + 1) + 0.20 * (z >= 3.5)::INT) AS raw_score, CASE WHEN rho_residual > 1e-12 THEN 'positive' WHEN rho_residual < -1e-12 THEN 'negative' ELSE 'unknown' END AS direction FROM v0),
+v2 AS (SELECT *, raw_score * least(1.0, n_rows / 5) * least(1.0, n_reference / 2) AS confidence, raw_score / max(raw_score) OVER (PARTITION BY event_id) AS norm, row_number() OVER (PARTITION BY event_id ORDER BY raw_score DESC, abs(rho_score) DESC, prevalence DESC, place) AS rank FROM v1 WHERE raw_score <> 0)"""
+
+
+def _associated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = flagged(spark, sf_dir).filter(F.col(PARTITION) == "test")
+    return diagnose.associate_events(test, FEATURES, row_id="event_id")
+
+
+@query(f"WITH {BASE}, {LONG}, {ASSOC}, {_EACH} SELECT event_id, feature, round(difference, 6) AS difference, round(z, 6) AS group_z, prevalence::DOUBLE AS prevalence, round(raw_score, 6) AS raw_score, round(confidence, 6) AS confidence, direction, round(norm, 6) AS normalized_score, rank FROM v2")
+def diag_association_events(spark, sf_dir):
+    """Residual association of each of the events of the highest residual scores."""
+    names = ("difference", "group_z", "raw_score", "confidence", "normalized_score")
+    return rounded(_associated(spark, sf_dir), *names).select("event_id", "feature", *names, "prevalence", "direction", "rank")
+
+
+@query(f"WITH {BASE}, {LONG}, {ASSOC}, {_EACH} SELECT feature, round(avg(norm), 6) AS mean_score, round(avg(abs(rho_score)), 6) AS mean_correlation, round(avg(confidence), 6) AS mean_confidence, round(avg(difference), 6) AS mean_deviation, count(*) AS occurrences, any_value(direction) AS direction, row_number() OVER (ORDER BY avg(norm) DESC, avg(abs(rho_score)) DESC, avg(confidence) DESC, count(*) DESC, min(place)) AS rank FROM v2 GROUP BY feature")
+def diag_association_top(spark, sf_dir):
+    """The events' factors as one list."""
+    names = ("mean_score", "mean_correlation", "mean_confidence", "mean_deviation")
+    return rounded(diagnose.aggregate_events(_associated(spark, sf_dir), "residual"), *names).select("feature", *names, "occurrences", "direction", "rank")
+
+
 @query(f"WITH {BASE} SELECT event_id, f AS flagged, round(s, 6) AS score, 'high' AS severity, row_number() OVER (ORDER BY f DESC, s DESC, event_id) AS rank FROM d WHERE part = 'test' AND (f OR (SELECT count(*) FROM d WHERE part = 'test' AND f) < 1) QUALIFY rank <= 5")
 def events_topk(spark, sf_dir):
     test = flagged(spark, sf_dir).filter(F.col(PARTITION) == "test")
