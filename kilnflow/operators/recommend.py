@@ -141,11 +141,14 @@ def neighbours(points: DataFrame, proposal: DataFrame) -> DataFrame:
     return chosen.select("variable", F.explode(both).alias("x")).select("variable", "x.*").filter("value IS NOT NULL")
 
 
+def _stability(n: Column, better: Column, improves: Column) -> Column:
+    return F.when(~improves, "NOT_IMPROVING").when(n == 0, "NO_NEIGHBORS").when(better == n, "STABLE").when(better == 0, "ISOLATED").otherwise("MIXED")
+
+
 def stability(checked: DataFrame, proposal_improves: bool) -> DataFrame:
     """One row: the class of neighbour checks (improves): NOT_IMPROVING, NO_NEIGHBORS, STABLE, ISOLATED or MIXED."""
     sums = checked.agg(F.count("*").alias("n"), F.count_if("improves").alias("better"))
-    kind = F.when(~F.lit(proposal_improves), "NOT_IMPROVING").when(F.col("n") == 0, "NO_NEIGHBORS").when(F.col("better") == F.col("n"), "STABLE").when(F.col("better") == 0, "ISOLATED").otherwise("MIXED")
-    return sums.select(F.col("n").alias("n_neighbours"), F.col("better").alias("n_improving"), kind.alias("stability"))
+    return sums.select(F.col("n").alias("n_neighbours"), F.col("better").alias("n_improving"), _stability(F.col("n"), F.col("better"), F.lit(proposal_improves)).alias("stability"))
 
 
 #: The stages of a recommendation, in order.
@@ -255,6 +258,70 @@ def improvements(rows: DataFrame, objective: str = "BOTH", direction: str = "MAX
     return rows.withColumn("improves", worst > TOLERANCE).withColumn("improves_or_matches", worst >= -TOLERANCE)
 
 
+def proposal_of(ranked: DataFrame) -> DataFrame:
+    """(place, variable, value): the changes of the first eligible scenario in rank order; no rows where none is eligible."""
+    best = ranked.filter("eligible").orderBy("rank").limit(1)
+    return best.select(F.posexplode("changed").alias("place", "variable"), "values").select("place", "variable", F.element_at("values", F.col("variable")).alias("value"))
+
+
+def what_if_scenarios(points: DataFrame, proposal: DataFrame) -> DataFrame:
+    """The scenarios of a check: the current values, the proposed ones, and those with one proposed value replaced by the grid value next below or above.
+
+    ``points`` (variable, value, is_current) of all variables; ``proposal``
+    (place, variable, value), a row per change, snapped to its grid point.
+    Columns: place, scenario_id, kind, variable (replaced, else null), values,
+    first (the place of the first scenario of equal values, to twelve places).
+    A change at either end of its grid has one neighbour. Raises where a
+    proposed value isn't on the grid.
+    """
+    order = Window.partitionBy("variable").orderBy("value")
+    near = points.select("variable", "value", F.lag("value").over(order).alias("lower"), F.lead("value").over(order).alias("upper"))
+    asked = proposal.select(F.col("place").cast("int").alias("change"), "variable", F.col("value").alias("asked")).join(near.withColumnRenamed("variable", "variable_"), (F.col("variable") == F.col("variable_")) & (F.abs(F.col("value") - F.col("asked")) <= TOLERANCE), "left")
+    off = F.raise_error(F.concat(F.lit("a proposed value is not on the grid: "), "variable")).cast("double")
+    changes = cut(asked.select("change", "variable", F.coalesce("value", off).alias("value"), "lower", "upper"), "changes")
+    pairs = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    now = points.filter("is_current").agg(pairs("variable", "value").alias("current"))
+    new = changes.agg(pairs("variable", "value").alias("new"))
+    replaced = lambda new: F.map_concat(F.map_filter("current", lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+    centre = now.crossJoin(F.broadcast(new)).select("current", replaced(F.col("new")).alias("proposed"))  # one row each
+    nothing = F.lit(None).cast("string").alias("variable")
+    row = lambda at, kind, values: F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"), nothing, F.col(values).alias("values"))
+    ends = centre.select(F.explode(F.array(row(-2, "BASELINE", "current"), row(-1, "PROPOSED_CENTER", "proposed"))).alias("x")).select("x.*")
+    sides = F.array(*[F.struct((2 * F.col("change") + i).alias("at"), F.lit(kind).alias("kind"), F.col(c).alias("value")) for i, (kind, c) in enumerate((("LOWER_NEIGHBOR", "lower"), ("UPPER_NEIGHBOR", "upper")))])
+    moves = changes.select("variable", F.explode(sides).alias("x")).select("variable", "x.*").filter("value IS NOT NULL").crossJoin(F.broadcast(centre))  # one row
+    one = moves.select("at", "kind", "variable", F.transform_values("proposed", lambda k, v: F.when(k == F.col("variable"), F.col("value")).otherwise(v)).alias("values"))
+    rows = ends.unionByName(one).withColumn("place", F.row_number().over(_all().orderBy("at")) - 1)
+    key = F.transform(F.array_sort(F.map_entries("values")), lambda e: F.struct(e["key"], F.round(e["value"], 12)))
+    return rows.withColumn("first", F.min("place").over(Window.partitionBy(key))).select("place", F.format_string("WIF-%06d", "place").alias("scenario_id"), "kind", "variable", "values", "first")
+
+
+def what_if(points: DataFrame, proposal: DataFrame, score, objective: str = "BOTH", direction: str = "MAXIMIZE", target: float | None = None) -> DataFrame:
+    """what_if_scenarios() scored by ``score``, as run_stages() calls it: adds quality_prediction and anomaly_score, improves (on the current values) and improves_or_matches (the proposed ones).
+
+    Scenarios of equal values are scored once. The current values never improve
+    on themselves. A missing value that the objective counts gives null.
+    """
+    rows = cut(what_if_scenarios(points, proposal), "what-if")
+    asked = rows.filter("place = first").withColumnRenamed("place", "scenario_index")
+    scored = score(asked).select(F.col("scenario_index").alias("first"), F.col("quality_prediction").alias("quality"), F.col("anomaly_score").alias("anomaly"))
+    known = cut(rows.join(scored, "first"), "what-if-scores")
+    for kind, flag in (("BASELINE", "improves"), ("PROPOSED_CENTER", "improves_or_matches")):
+        reference = known.filter(F.col("kind") == kind).select(F.col("quality").alias("reference_quality"), F.col("anomaly").alias("reference_anomaly"))
+        judged = improvements(known.select("place", "quality", "anomaly").crossJoin(F.broadcast(reference)), objective, direction, target).select("place", flag)  # one row
+        rows = rows.join(judged, "place")
+    rows = rows.withColumn("improves", F.when(F.col("kind") == "BASELINE", False).otherwise(F.col("improves")))
+    values = known.select("place", F.col("quality").alias("quality_prediction"), F.col("anomaly").alias("anomaly_score"))
+    return rows.join(values, "place")
+
+
+def what_if_verdict(checked: DataFrame) -> DataFrame:
+    """One row of what_if(): scenarios, neighbours, those that improve, and the stability of the proposal."""
+    near, better = F.col("kind").isin("LOWER_NEIGHBOR", "UPPER_NEIGHBOR"), F.coalesce("improves", F.lit(False))
+    centre = F.coalesce(F.bool_or((F.col("kind") == "PROPOSED_CENTER") & better), F.lit(False))
+    sums = checked.agg(F.count("*").alias("n_scenarios"), F.count_if(near).alias("n_neighbours"), F.count_if(near & better).alias("n_improving"), centre.alias("_improves"))
+    return sums.select("n_scenarios", "n_neighbours", "n_improving", _stability(F.col("n_neighbours"), F.col("n_improving"), F.col("_improves")).alias("stability"))
+
+
 def anomaly_candidates(features: DataFrame, factors: DataFrame, stated: DataFrame, constraints: DataFrame, current: DataFrame, blocked: list[str]) -> DataFrame:
     """(variable, place): what may change in a run without a target, in the order of ``features`` (variable, place).
 

@@ -115,6 +115,48 @@ def what_if_stability(spark, sf_dir):
     return recommend.stability(checked, True)
 
 
+_W = """best AS (SELECT discount, quantity, tax FROM el WHERE eligible ORDER BY composite DESC, benefit DESC, n, magnitude, i LIMIT 1),
+ch AS (SELECT c.variable, CASE c.variable WHEN 'discount' THEN discount WHEN 'quantity' THEN quantity ELSE tax END AS value FROM c, best WHERE abs(CASE c.variable WHEN 'discount' THEN discount WHEN 'quantity' THEN quantity ELSE tax END - v) > 1e-12),
+near AS (SELECT variable, value, lag(value) OVER w AS lower, lead(value) OVER w AS upper FROM pts WINDOW w AS (PARTITION BY variable ORDER BY value)),
+nb AS (SELECT variable, kind, moved FROM (SELECT ch.variable, unnest(['LOWER_NEIGHBOR', 'UPPER_NEIGHBOR']) AS kind, unnest([lower, upper]) AS moved FROM ch JOIN near ON near.variable = ch.variable AND abs(near.value - ch.value) <= 1e-12) WHERE moved IS NOT NULL),
+wi AS (SELECT 'BASELINE' AS kind, NULL AS variable, discount, quantity, tax FROM sc WHERE i = 0 UNION ALL SELECT 'PROPOSED_CENTER', NULL, discount, quantity, tax FROM best
+UNION ALL SELECT kind, variable, CASE variable WHEN 'discount' THEN moved ELSE discount END, CASE variable WHEN 'quantity' THEN moved ELSE quantity END, CASE variable WHEN 'tax' THEN moved ELSE tax END FROM nb, best),
+ws AS (SELECT *, 10 - 120 * discount + 4 * quantity + 35.5 * tax AS quality, 0.5 + 2 * discount - 0.05 * quantity + tax AS anomaly FROM wi),
+wb AS (SELECT * FROM ws WHERE kind = 'BASELINE'), wp AS (SELECT * FROM ws WHERE kind = 'PROPOSED_CENTER'),
+wc AS (SELECT ws.*, ws.kind <> 'BASELINE' AND ws.quality - wb.quality > 1e-12 AND wb.anomaly - ws.anomaly > 1e-12 AS improves, ws.quality - wp.quality >= -1e-12 AND wp.anomaly - ws.anomaly >= -1e-12 AS improves_or_matches FROM ws, wb, wp)"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = lambda rows: recommend.score_linear(recommend.score_linear(rows, COEFFICIENTS, 10.0), ANOMALY, 0.5, "anomaly_score")
+    proposal = recommend.proposal_of(recommend.rank_scenarios(_scored(spark, sf_dir)))
+    return recommend.what_if(recommend.grid_points(_constraints(spark, sf_dir)), proposal, score)
+
+
+@query(f"WITH {_B}, {_W} SELECT kind, variable, round(discount, 9) AS discount, round(quantity, 9) AS quantity, round(tax, 9) AS tax, round(quality, 6) AS quality_prediction, round(anomaly, 6) AS anomaly_score, improves, improves_or_matches FROM wc")
+def what_if_proposal(spark, sf_dir):
+    """The proposed scenario and each of its neighbours, one value changed at a time."""
+    t = _checked(spark, sf_dir)
+    return t.select("kind", "variable", *[F.round(F.element_at("values", v), 9).alias(v) for v in VARIABLES], F.round("quality_prediction", 6).alias("quality_prediction"), F.round("anomaly_score", 6).alias("anomaly_score"), "improves", "improves_or_matches")
+
+
+@query(f"WITH {_B}, {_W}, k AS (SELECT count(*) AS n_scenarios, count(*) FILTER (variable IS NOT NULL) AS n_neighbours, count(*) FILTER (variable IS NOT NULL AND improves) AS n_improving, bool_or(kind = 'PROPOSED_CENTER' AND improves) AS p FROM wc) SELECT n_scenarios, n_neighbours, n_improving, CASE WHEN NOT p THEN 'NOT_IMPROVING' WHEN n_neighbours = 0 THEN 'NO_NEIGHBORS' WHEN n_improving = n_neighbours THEN 'STABLE' WHEN n_improving = 0 THEN 'ISOLATED' ELSE 'MIXED' END AS stability FROM k")
+def what_if_verdict(spark, sf_dir):
+    return recommend.what_if_verdict(_checked(spark, sf_dir))
+
+
+@query()
+def what_if_fitted(spark, sf_dir):
+    """The proposal by a regression and a forest that are fitted on the table, checked by the same fitted state."""
+    from kilnflow.operators import detectors, models
+
+    t = read(spark, sf_dir, "lineitem").select(*[F.col(f"l_{v}").cast("double").alias(v) for v in VARIABLES], F.col("l_extendedprice").cast("double").alias("y"))
+    model, forest = models.linear(t, VARIABLES, "y"), detectors.fit_forest(t.select(*VARIABLES), VARIABLES)
+    score = lambda rows: recommend.score_detected(recommend.score_fitted(rows, model, VARIABLES), forest)
+    points = recommend.grid_points(_constraints(spark, sf_dir))
+    ranked = recommend.rank_scenarios(score(recommend.scenarios(points, VARIABLES)))
+    return recommend.what_if_verdict(recommend.what_if(points, recommend.proposal_of(ranked), score))
+
+
 @query("""WITH f AS (SELECT * FROM (VALUES ('discount', 1, 0.9, true), ('quantity', 2, 0.1, true), ('tax', 3, 0.5, false), ('comment', 4, 0.8, true)) t(feature, rank, confidence, controllable))
 SELECT feature, rank, CASE feature WHEN 'quantity' THEN 'LOW_CONFIDENCE' WHEN 'tax' THEN 'NOT_CONTROLLABLE' WHEN 'comment' THEN 'NO_CONSTRAINT' END AS reason, feature = 'discount' AS eligible FROM f""")
 def safety_gate(spark, sf_dir):
