@@ -155,17 +155,59 @@ def stability(checked: DataFrame, proposal_improves: bool) -> DataFrame:
 STAGES = ("SAFETY", "CONSTRAINT_RESOLUTION", "CANDIDATE_SELECTION", "GRID_GENERATION", "SCENARIO_SCORING", "SCENARIO_RANKING", "RECOMMENDATION_GENERATION")
 
 
-def gate_decision(judged: DataFrame, blockers: dict[str, bool] | None = None, warnings: tuple[str, ...] = ()) -> DataFrame:
+#: Reasons against recommending anything after a run, in the order of a decision.
+RUN_REASONS = ("LEAKAGE_BLOCKER", "FINAL_EVALUATION_MISSING", "MODEL_PERFORMANCE_UNACCEPTABLE", "DIAGNOSIS_CONFIDENCE_TOO_LOW", "REFERENCE_SAMPLE_TOO_SMALL", "EXTRAPOLATION_RISK")
+
+
+def run_reasons(factors: DataFrame, reference: DataFrame, leakage: DataFrame | None = None, final: DataFrame | None = None, performance: DataFrame | None = None, outside: DataFrame | None = None, minimum_confidence: float = 0.20, minimum_rows: int = 5) -> DataFrame:
+    """(place, reason, blocks): what the tables of a run say against a recommendation, in the order of RUN_REASONS; warnings of leakage don't block.
+
+    ``factors`` (confidence) of the diagnosis, whose mean must reach the
+    minimum (without factors it is 0); ``reference``: one row (n_reference);
+    ``leakage``: the report (severity); ``final``: the final evaluation;
+    ``performance``: judged rules (status), which must all be ACCEPTABLE;
+    ``outside``: current values outside of what the model has seen. A final
+    evaluation or a judgement that is missing or has no rows blocks, too.
+    """
+    spark = factors.sparkSession
+    some = lambda df, what: df.agg(what.alias("holds"))
+    always = spark.range(1).select(F.lit(True).alias("holds"))
+    rows = F.count("*")
+    checks = [
+        (0, None, leakage is not None and some(leakage, F.count_if(F.col("severity") == "BLOCKER") > 0)),
+        (1, None, always if final is None else some(final, rows == 0)),
+        (2, None, always if performance is None else some(performance, (rows == 0) | (F.count_if(F.coalesce(F.col("status") != "ACCEPTABLE", F.lit(True))) > 0))),
+        (3, None, some(factors, F.coalesce(F.avg("confidence"), F.lit(0.0)) < minimum_confidence)),
+        (4, None, some(reference, F.coalesce(F.min("n_reference"), F.lit(0)) < minimum_rows)),
+        (5, None, outside is not None and some(outside, rows > 0)),
+        (len(RUN_REASONS), "LEAKAGE_WARNING", leakage is not None and some(leakage, F.count_if(F.col("severity") == "WARNING") > 0)),
+    ]
+    out = None
+    for place, warning, check in checks:
+        if check is not False:
+            one = check.filter("holds").select(F.lit(place).alias("place"), F.lit(warning or RUN_REASONS[min(place, len(RUN_REASONS) - 1)]).alias("reason"), F.lit(warning is None).alias("blocks"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def gate_decision(judged: DataFrame, blockers: dict[str, bool] | DataFrame | None = None, warnings: tuple[str, ...] = ()) -> DataFrame:
     """One row from safety_gate(): status, number of eligible and blocked variables, and the reasons.
 
     REFUSED with any global blocker or no eligible variable; CAUTION with a
-    warning or a blocked variable; else APPROVED. ``blockers``: reason to whether it holds.
+    warning or a blocked variable; else APPROVED. ``blockers``: reason to
+    whether it holds, or the rows of run_reasons(), with warnings among them.
     """
-    held = [name for name, holds in (blockers or {}).items() if holds]
     sums = judged.agg(F.count_if("eligible").alias("n_eligible"), F.count_if(~F.col("eligible")).alias("n_blocked"))
+    if isinstance(blockers, DataFrame):
+        ordered = F.array_sort(F.collect_list(F.when(F.col("blocks"), F.struct("place", "reason"))))  # a row per reason
+        stated = blockers.agg(F.transform(ordered, lambda x: x["reason"]).alias("held"), F.coalesce(F.bool_or(~F.col("blocks")), F.lit(False)).alias("warned"))
+        sums = sums.crossJoin(F.broadcast(stated))  # one row
+    else:
+        held = [name for name, holds in (blockers or {}).items() if holds]
+        sums = sums.withColumn("held", F.array(*map(F.lit, held)).cast("array<string>")).withColumn("warned", F.lit(bool(warnings)))
     none = F.col("n_eligible") == 0
-    status = F.when(F.lit(bool(held)) | none, "REFUSED").when(F.lit(bool(warnings)) | (F.col("n_blocked") > 0), "CAUTION").otherwise("APPROVED")
-    reasons = F.concat(F.array(*map(F.lit, held)).cast("array<string>"), F.when(none, F.array(F.lit("NO_ELIGIBLE_VARIABLE"))).otherwise(F.array().cast("array<string>")))
+    status = F.when((F.size("held") > 0) | none, "REFUSED").when(F.col("warned") | F.lit(bool(warnings)) | (F.col("n_blocked") > 0), "CAUTION").otherwise("APPROVED")
+    reasons = F.concat("held", F.when(none, F.array(F.lit("NO_ELIGIBLE_VARIABLE"))).otherwise(F.array().cast("array<string>")))
     return sums.select(status.alias("status"), "n_eligible", "n_blocked", F.array_join(reasons, ",").alias("reasons"))
 
 
@@ -210,14 +252,17 @@ def recommendation(ranked: DataFrame, decision: DataFrame) -> DataFrame:
     return joined.select(status.alias("status"), "safety_status", *[shown(c) for c in ("scenario_id", "scenario_index", "change_count", "quality_gain", "anomaly_gain", "composite")])
 
 
-def run_stages(factors: DataFrame, constraints: DataFrame, score, blockers: dict[str, bool] | None = None, most: int = MAX_SCENARIOS, changes: int = MAX_CHANGES) -> tuple[list[dict], DataFrame | None]:
+def run_stages(factors: DataFrame, constraints: DataFrame, score, blockers: dict[str, bool] | DataFrame | None = None, most: int = MAX_SCENARIOS, changes: int = MAX_CHANGES, direction: str = "MAXIMIZE", target: float | None = None, tables: dict[str, DataFrame] | None = None) -> tuple[list[dict], DataFrame | None]:
     """All stages from the gate to the recommendation; ``score`` adds quality_prediction and anomaly_score to scenario rows.
 
-    Returns (stage, status) of those that ran, and the recommendation. A refusal by the gate or a lack of candidates ends the run.
+    ``tables``, where given, receives the decision, the grid's points and the
+    ranked scenarios. Returns (stage, status) of those that ran, and the recommendation. A refusal by the gate or a lack of candidates ends the run.
     """
     done: list[dict] = []
     judged = safety_gate(factors, constraints)
     decision = gate_decision(judged, blockers)
+    kept = {} if tables is None else tables
+    kept["decision"] = decision
     status = decision.first().status
     done.append({"stage": STAGES[0], "status": status})
     if status == "REFUSED":
@@ -232,9 +277,10 @@ def run_stages(factors: DataFrame, constraints: DataFrame, score, blockers: dict
     every = grid_points(constraints)
     points = every.filter(F.col("variable").isin(names) | F.col("is_current"))  # variables that stay keep their current value
     done.append({"stage": STAGES[3], "status": "GENERATED"})
-    scored = score(scenarios(points, names, most, changes))
+    scored = cut(score(scenarios(points, names, most, changes)), "scenario-scores")
     done.append({"stage": STAGES[4], "status": "SCORED"})
-    ranked = rank_scenarios(scored)
+    ranked = rank_scenarios(scored, direction=direction, target=target)
+    kept["points"], kept["ranked"] = points, ranked
     done.append({"stage": STAGES[5], "status": "RANKED"})
     out = recommendation(ranked, decision)
     done.append({"stage": STAGES[6], "status": out.first().status})

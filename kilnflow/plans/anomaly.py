@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnflow.operators import diagnose, evaluate, events as ev, models, prepare
+from kilnflow.operators import diagnose, evaluate, events as ev, leakage, models, prepare, recommend
 from kilnflow.operators.evaluate import Calibration
 from kilnflow.operators.prepare import PARTITION
 from kilnflow.plans.preparation import LINE_KEY, read
@@ -335,3 +335,20 @@ def elliptic_envelope(spark, sf_dir):
 @query()
 def one_class(spark, sf_dir):
     return models.one_class(process(spark, sf_dir), ["y", *FEATURES]).select("event_id", PARTITION, "_anomaly_score", "_is_anomaly")
+
+
+@query(f"""WITH {BASE}, {LONG}, {GROUP}, h AS (SELECT 0 AS place, 'LEAKAGE_BLOCKER' AS reason, EXISTS (SELECT user_id FROM p GROUP BY user_id HAVING count(DISTINCT part) > 1) AS holds
+UNION ALL SELECT 2, 'MODEL_PERFORMANCE_UNACCEPTABLE', (SELECT 1 - sum(r * r) / (var_pop(y) * count(*)) FROM d WHERE part = 'test') < 0.5
+UNION ALL SELECT 3, 'DIAGNOSIS_CONFIDENCE_TOO_LOW', coalesce((SELECT avg(confidence) FROM gd WHERE confidence <> 0), 0) < 0.20 UNION ALL SELECT 4, 'REFERENCE_SAMPLE_TOO_SMALL', (SELECT count(*) FROM d WHERE part = 'test' AND NOT f) < 5
+UNION ALL SELECT 5, 'EXTRAPOLATION_RISK', (SELECT max(k) FROM d WHERE part = 'test') > (SELECT max(k) FROM d WHERE part = 'train')) SELECT place, reason, true AS blocks FROM h WHERE holds""")
+def run_gate_reasons(spark, sf_dir):
+    """What a run over events says against recommending: users in several parts, a poor line, the diagnosis, values not seen in training."""
+    d = flagged(spark, sf_dir)
+    test, train = d.filter(F.col(PARTITION) == "test"), d.filter(F.col(PARTITION) == "train")
+    factors = diagnose.rank_factors(diagnose.group_comparison(test, FEATURES, "_is_residual_anomaly"))
+    report = leakage.check(d, "event_id", spark.createDataFrame([(f, None) for f in FEATURES], "feature string, role string"), "y", group="user_id", time="ts")
+    final = evaluate.regression_metrics(test, "y", "_regression_prediction")
+    judged = evaluate.acceptance(final.select(F.lit("r2").alias("metric"), F.col("r2").alias("value")), spark.createDataFrame([("r2", "MIN", 0.5)], "metric string, direction string, threshold double"))
+    seen = train.agg(F.max("k").alias("hi"))
+    outside = test.agg(F.max("k").alias("value")).crossJoin(F.broadcast(seen)).filter("value > hi")  # one row
+    return recommend.run_reasons(factors, test.agg(F.count_if(~F.col("_is_residual_anomaly")).alias("n_reference")), report, final, judged, outside)

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnflow.operators import diagnose, evaluate, events as ev, leakage, models, prepare, profile, screening
+from kilnflow.operators import detectors, diagnose, evaluate, events as ev, leakage, models, prepare, profile, recommend, screening
 from kilnflow.operators.prepare import PARTITION, Range, RefusedError
 from kilnflow.plans.reporting import run_manifest
 from kilnflow.sources import tables
@@ -17,7 +17,12 @@ from kilnflow.sources.tables import ROW_ID
 
 @dataclass(frozen=True)
 class Request:
-    """What to analyse. Without a target, rows are scored by an isolation forest alone."""
+    """What to analyse. Without a target, rows are scored by an isolation forest alone.
+
+    With a target and ``bounds`` (variable, minimum, maximum), set-points of the
+    ``controllable`` features are recommended if the run allows it: the final
+    evaluation (its columns) must satisfy ``accept`` (metric, MIN or MAX, threshold).
+    """
 
     path: str
     order_by: list[str]
@@ -30,6 +35,11 @@ class Request:
     max_events: int = 5
     top_factors: int = 10
     context_radius: int = 3
+    bounds: tuple[tuple[str, float, float], ...] = ()
+    controllable: tuple[str, ...] = ()
+    accept: tuple[tuple[str, str, float], ...] = (("test_r2", "MIN", 0.0),)
+    direction: str = "MAXIMIZE"
+    wanted: float | None = None
 
 
 @dataclass
@@ -42,6 +52,37 @@ class Report:
     manifest: dict[str, Any] = field(default_factory=dict)
 
 
+def recommended(spark: SparkSession, request: Request, report: Report, train, scored: DataFrame, framed: DataFrame, flag: str, score: str) -> list[dict[str, str]]:
+    """The stages of a recommendation from the highest-scored test row, with the model and a forest fitted on the train part; results in ``report``."""
+    fitted, test = scored.filter(F.col(PARTITION) == "train"), scored.filter(F.col(PARTITION) == "test")
+    start = ev.choose_operating_point(test, request.time, ROW_ID, residual=score)
+    now = {f: float(v) for f, v in start.select(*request.features).first().asDict().items()}
+    bounds = spark.createDataFrame(list(request.bounds), "variable string, minimum double, maximum double")
+    none, current = bounds.limit(0), spark.createDataFrame(list(now.items()), "variable string, value double")
+    constraints = cut(recommend.merge_constraints(bounds, none, none, current), "constraints")
+    factors = cut(report.results["factors"].withColumn("controllable", F.col("feature").isin(*request.controllable)), "factors")
+    final = report.results["final"]
+    metrics = [m for m in dict.fromkeys(m for m, _, _ in request.accept) if m in final.columns]
+    values = final.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*") if metrics else spark.createDataFrame([], "metric string, value double")
+    judged = evaluate.acceptance(values, spark.createDataFrame(list(request.accept), "metric string, direction string, threshold double"))
+    seen = fitted.select(F.explode(F.array(*[F.struct(F.lit(f).alias("variable"), F.col(f).cast("double").alias("v")) for f in request.features])).alias("x")).groupBy("x.variable").agg(F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
+    outside = current.join(seen, "variable").filter(~F.col("value").between(F.col("lo"), F.col("hi"))).filter(F.col("variable").isin(*[b[0] for b in request.bounds]))
+    reference = framed.agg(F.count_if(~diagnose.decode_flag(F.col(flag))).alias("n_reference"))
+    report.results["reasons"] = cut(recommend.run_reasons(factors, reference, report.results["leakage"], final, judged, outside), "reasons")
+    forest = detectors.fit_forest(fitted.select(*request.features), request.features)
+    rest = F.create_map(*[x for f, v in now.items() for x in (F.lit(f), F.lit(v))])
+    whole = F.map_concat(F.map_filter(rest, lambda k, _: ~F.array_contains(F.map_keys("values"), k)), "values")
+    score_rows = lambda rows: recommend.score_detected(recommend.score_fitted(rows.withColumn("values", whole), train, request.features), forest)
+    tables_: dict[str, DataFrame] = {}
+    stages, out = recommend.run_stages(factors, constraints, score_rows, report.results["reasons"], direction=request.direction, target=request.wanted, tables=tables_)
+    report.results["decision"] = tables_["decision"]
+    if out is not None:
+        report.results["recommendation"] = out
+        if stages[-1]["status"] == "GENERATED":
+            report.results["what_if"] = recommend.what_if(tables_["points"], recommend.proposal_of(tables_["ranked"]), score_rows, direction=request.direction, target=request.wanted)
+    return stages
+
+
 def run(spark: SparkSession, request: Request) -> Report:
     """Run all stages; a refusal ends the run and is its last stage."""
     report = Report()
@@ -131,6 +172,10 @@ def run(spark: SparkSession, request: Request) -> Report:
         order = [F.col(request.time or ROW_ID), F.col(ROW_ID)] if request.time else [F.col(ROW_ID)]
         report.results["context"] = ev.context_windows(test.select(*dict.fromkeys([ROW_ID, *([request.time] if request.time else []), *request.features])), report.results["events"].select(ROW_ID), order, request.context_radius)
         done(stage)
+        if request.target and request.bounds:
+            stage = "RECOMMENDATION"
+            steps = recommended(spark, request, report, train, scored, framed, flag, score)
+            done(stage, steps=steps)
     except RefusedError as e:
         report.status = "REFUSED"
         report.stages.append({"stage": stage, "executed": True, "refusal": str(e)})
