@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Keywords of each industry.
@@ -71,37 +73,52 @@ def hints_table(spark: SparkSession, synonyms: dict[str, tuple[str, str]]) -> Da
     return spark.createDataFrame([(k, c, r) for k, (c, r) in synonyms.items()], "name string, canonical string, role string")
 
 
-def map_roles(columns: DataFrame, synonyms: dict[str, tuple[str, str]] | DataFrame | None = None, overrides: dict[str, str] | DataFrame | None = None) -> DataFrame:
-    """``columns``: (column_name, dtype, cardinality_ratio) of a profile. Adds role, confidence and use_in_model by the first rule that holds.
+def map_roles(columns: DataFrame, synonyms: dict[str, tuple[str, str]] | DataFrame | None = None, overrides: dict[str, str] | DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``columns``: (column_name, dtype, cardinality_ratio) of a profile. Adds role, confidence, use_in_model, canonical and alternatives by the first rule that holds.
 
     ``synonyms``: (name, canonical, role) rows, joined by words of the name; a
     canonical name also stands for itself; a synonym of several roles makes the
-    column UNKNOWN. ``overrides``: (column_name, role), exact. Rules: override,
-    row id, canonical name, synonym, temporal type, a name of time, a name of
-    an identifier or one that ends in "id", a name of a target, Boolean, text
-    of few values, text of nearly as many values as rows. A null ratio tells
-    nothing.
+    column UNKNOWN and lists these roles as alternatives. ``overrides``:
+    (column_name, role), exact. Rules: override, row id, canonical name,
+    synonym, temporal type, a name of time, a name of an identifier or one that
+    ends in "id", a name of a target, Boolean, text of few values, text of
+    nearly as many values as rows. A null ratio tells nothing. ``by``: columns
+    that synonyms and overrides share with ``columns``, as that of the table in
+    a catalog.
     """
     spark = columns.sparkSession
-    hints = hints_table(spark, synonyms or {}) if synonyms is None or isinstance(synonyms, dict) else synonyms
-    given = spark.createDataFrame(list((overrides or {}).items()), "column_name string, role string") if overrides is None or isinstance(overrides, dict) else overrides
+
+    def relation(given: dict | DataFrame | None, made: Callable[[dict], DataFrame]) -> DataFrame:
+        if isinstance(given, DataFrame):
+            return given
+        return made(given or {}).withColumns({b: F.lit(None).cast(columns.schema[b].dataType) for b in by})
+
+    hints = relation(synonyms, lambda d: hints_table(spark, d))
+    given = relation(overrides, lambda d: spark.createDataFrame(list(d.items()), "column_name string, role string"))
     words = lambda c: F.array_join(tokens_of(F.col(c)), " ")
-    canonical = hints.select(words("canonical").alias("plain_"), "role").filter("plain_ <> ''").groupBy("plain_").agg(F.min("role").alias("canonical_"))
-    synonym = hints.select(words("name").alias("plain_"), "role").filter("plain_ <> ''").groupBy("plain_").agg(F.min("role").alias("synonym_"), F.count_distinct("role").alias("roles_"))
-    by_user = given.groupBy("column_name").agg(F.min("role").alias("given_"))
+    first = lambda name: F.min(F.struct("role", "canonical")).alias(name)
+    canonical = hints.select(*by, words("canonical").alias("plain_"), "role", "canonical").filter("plain_ <> ''").groupBy(*by, "plain_").agg(first("canonical_"))
+    synonym = hints.select(*by, words("name").alias("plain_"), "role", "canonical").filter("plain_ <> ''").groupBy(*by, "plain_").agg(first("synonym_"), F.array_sort(F.collect_set("role")).alias("roles_"))
+    by_user = given.groupBy(*by, "column_name").agg(F.min("role").alias("given_"))
     names = columns.withColumn("plain_", words("column_name"))
     if "cardinality_ratio" not in columns.columns:
         names = names.withColumn("cardinality_ratio", F.lit(None).cast("double"))
-    joined = names.join(by_user, "column_name", "left").join(canonical, "plain_", "left").join(synonym, "plain_", "left")
+    joined = names.join(by_user, [*by, "column_name"], "left").join(canonical, [*by, "plain_"], "left").join(synonym, [*by, "plain_"], "left")
     plain, dtype, ratio = F.col("plain_"), F.col("dtype"), F.col("cardinality_ratio")
-    rule = lambda cond, role, confidence: F.when(cond, F.struct(role.alias("role") if isinstance(role, Column) else F.lit(role).alias("role"), F.lit(confidence).alias("confidence")))
+    none = F.lit(None).cast("string")
+
+    def rule(cond: Column, role: Column | str, confidence: float, name: Column = none, others: Column | None = None) -> Column:
+        role = role if isinstance(role, Column) else F.lit(role)
+        return F.when(cond, F.struct(role.alias("role"), F.lit(confidence).alias("confidence"), name.alias("canonical"), (F.array().cast("array<string>") if others is None else others).alias("alternatives")))
+
     found = F.coalesce(
-        rule(F.col("given_").isNotNull(), F.col("given_"), 1.0), rule(F.col("column_name") == "_original_row_id", "IDENTIFIER", 1.0), rule(F.col("canonical_").isNotNull(), F.col("canonical_"), 0.98),
-        rule(F.col("roles_") > 1, "UNKNOWN", 0.0), rule(F.col("synonym_").isNotNull(), F.col("synonym_"), 0.95), rule(F.regexp_like(dtype, F.lit("^(date|timestamp|time)")), "TIME", 0.90), rule(plain.isin(*TIME_NAMES), "TIME", 0.88),
+        rule(F.col("given_").isNotNull(), F.col("given_"), 1.0), rule(F.col("column_name") == "_original_row_id", "IDENTIFIER", 1.0),
+        rule(F.col("canonical_").isNotNull(), F.col("canonical_.role"), 0.98, F.col("canonical_.canonical")), rule(F.size("roles_") > 1, "UNKNOWN", 0.0, others=F.col("roles_")),
+        rule(F.col("synonym_").isNotNull(), F.col("synonym_.role"), 0.95, F.col("synonym_.canonical")), rule(F.regexp_like(dtype, F.lit("^(date|timestamp|time)")), "TIME", 0.90), rule(plain.isin(*TIME_NAMES), "TIME", 0.88),
         rule(plain.isin(*IDENTIFIER_NAMES) | F.regexp_like(plain, F.lit("(^| )id$")), "IDENTIFIER", 0.88), rule(plain.isin(*TARGET_NAMES), "TARGET_QUALITY", 0.85), rule(dtype == "boolean", "CONTEXT", 0.80),
         rule((dtype == "string") & (ratio <= CONTEXT_RATIO), "CONTEXT", 0.75), rule((dtype == "string") & (ratio >= IDENTIFIER_RATIO), "IDENTIFIER", 0.70), rule(F.lit(True), "UNKNOWN", 0.0),
     )
-    out = joined.withColumn("_r", found).select(*columns.columns, "_r.role", "_r.confidence")
+    out = joined.withColumn("_r", found).select(*columns.columns, "_r.role", "_r.confidence", "_r.canonical", "_r.alternatives")
     return out.withColumn("use_in_model", F.col("role").isin(*MODEL_ROLES))
 
 
