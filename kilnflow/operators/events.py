@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kilnflow.functions.ordering import with_positions
@@ -27,8 +29,18 @@ def select_events(df: DataFrame, flag: str, score: str, row_id: str = ROW_ID, mo
 
 def select_mixed_events(residual: DataFrame, unsupervised: DataFrame, row_id: str = ROW_ID, most: int = 5, least: int = 1) -> DataFrame:
     """Events of two detectors, each (row_id, flagged, score): an id that both flag is the residual one's; unflagged ones only fill up."""
-    both = residual.select(row_id, "flagged", "score", F.lit(0).alias("source")).unionByName(unsupervised.select(row_id, "flagged", "score", F.lit(1).alias("source")))
-    one = both.groupBy(row_id).agg(F.min(F.struct((~F.col("flagged")).alias("not_flagged"), "source", (-F.col("score")).alias("neg"))).alias("x"))
+    return select_events_of([residual, unsupervised], row_id, most, least)
+
+
+def select_events_of(sources: list[DataFrame], row_id: str = ROW_ID, most: int = 5, least: int = 1) -> DataFrame:
+    """Events of any number of detectors, each (row_id, flagged, score), in order of priority; ``source`` is the detector's place.
+
+    An id is that of the first detector that flags it or, if none does, of the
+    first that has it. Unflagged ids only fill up. Of repeated rows of a
+    detector the flagged one of the highest score counts.
+    """
+    every = reduce(DataFrame.unionByName, [s.select(row_id, "flagged", "score", F.lit(i).alias("source")) for i, s in enumerate(sources)])
+    one = every.groupBy(row_id).agg(F.min(F.struct((~F.col("flagged")).alias("not_flagged"), "source", (-F.col("score")).alias("neg"))).alias("x"))
     rows = one.select(row_id, (~F.col("x.not_flagged")).alias("flagged"), (-F.col("x.neg")).alias("score"), F.col("x.source").alias("source"))
     return select_events(rows, "flagged", "score", row_id, most, least).join(rows.select(row_id, "source"), row_id)
 

@@ -6,7 +6,7 @@ with partial aggregation and one shuffle by column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType, StringType
 
 from kilnflow.functions.statistics import is_number, stripped
@@ -64,6 +64,24 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     )
 
 
+def preview(df: DataFrame, row_id: str, rows: int = 20) -> DataFrame:
+    """The first rows by ``row_id``, without it, in that order: a top-k, so no sort of the table."""
+    if rows < 1:
+        raise ValueError("rows must be at least 1")
+    return df.orderBy(F.col(row_id)).limit(rows).drop(row_id)
+
+
+def samples(df: DataFrame, row_id: str, values: int = 5) -> DataFrame:
+    """(column_name, place, value): the first values of each column by ``row_id``, as text, nulls among them; no rows for an empty table."""
+    if values < 1:
+        raise ValueError("values must be at least 1")
+    columns = [c for c in df.columns if c != row_id]
+    first = df.orderBy(F.col(row_id)).limit(values)
+    numbered = first.select("*", F.row_number().over(Window.orderBy(row_id)).alias("_place"))  # `values` rows
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("_place").alias("place"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    return numbered.select(F.explode(cells).alias("x")).select("x.*")
+
+
 def duplicate_excess(df: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """One row: rows, distinct rows (nulls equal) and the excess, over all columns but ``ignore``."""
     columns = [F.col(f"`{c}`") for c in df.columns if c not in ignore]
@@ -139,7 +157,6 @@ def target_suitability(df: DataFrame, target: str) -> DataFrame:
 
 def column_suggestions(df: DataFrame, order_by: str) -> DataFrame:
     """(column_name, non_decreasing): whether each numeric column never falls in the order of a unique key."""
-    from pyspark.sql import Window
 
     # Each row's predecessor by position: an equi-join instead of a window over the whole table.
     from kilnflow.functions.ordering import with_positions

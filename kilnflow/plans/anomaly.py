@@ -218,6 +218,17 @@ def events_mixed(spark, sf_dir):
     return rounded(ev.select_mixed_events(a, b, "event_id", least=10**6), "score").select("event_id", "flagged", "score", "source", "rank")
 
 
+@query(f"""WITH {BASE}, b AS (SELECT event_id, f AS flagged, s AS score, 0 AS source FROM d WHERE part = 'test' UNION ALL SELECT event_id, user_id % 97 = 0, user_id::DOUBLE / 1000, 1 FROM d WHERE part = 'test' UNION ALL SELECT event_id, hour = 3, y, 2 FROM d WHERE part = 'test'),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY flagged DESC, source, score DESC) AS k FROM b)
+SELECT event_id, flagged, round(score, 6) AS score, source::INT AS source, row_number() OVER (ORDER BY flagged DESC, score DESC, event_id) AS rank FROM o WHERE k = 1 QUALIFY rank <= 25""")
+def events_of_three(spark, sf_dir):
+    """The 25 foremost events of three detectors in order of priority."""
+    test = flagged(spark, sf_dir).filter(F.col(PARTITION) == "test")
+    rule = lambda flag, score: test.select("event_id", flag.alias("flagged"), score.cast("double").alias("score"))
+    sources = [rule(F.col("_is_residual_anomaly"), F.col("_residual_anomaly_score")), rule(F.col("user_id") % 97 == 0, F.col("user_id") / 1000), rule(F.col("hour") == 3, F.col("y"))]
+    return rounded(ev.select_events_of(sources, "event_id", most=25, least=10**6), "score").select("event_id", "flagged", "score", "source", "rank")
+
+
 @query(f"WITH {BASE}, o AS (SELECT event_id, y, row_number() OVER (ORDER BY ts, event_id) AS place FROM d WHERE part = 'test'), e AS (SELECT event_id FROM d WHERE part = 'test' AND f) SELECT a.event_id, (b.place - a.place)::INT AS \"offset\", b.event_id AS row_event_id, round(b.y, 6) AS y FROM o a JOIN e USING (event_id) JOIN o b ON abs(b.place - a.place) <= 3")
 def context_window(spark, sf_dir):
     test = flagged(spark, sf_dir).filter(F.col(PARTITION) == "test").select("event_id", "ts", "y", "_is_residual_anomaly")

@@ -47,6 +47,21 @@ def scan_rowid(spark, sf_dir):
     return tables.with_row_id(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey")])
 
 
+@query("SELECT event_id, ts, event_type, CASE WHEN event_id % 3 > 0 THEN value END AS value FROM events ORDER BY event_id LIMIT 20")
+def table_preview(spark, sf_dir):
+    """The first rows of a table for its profile; the limit is the feature."""
+    t = read(spark, sf_dir, "events").selectExpr("event_id AS row", "event_id", "ts", "event_type", "CASE WHEN event_id % 3 > 0 THEN value END AS value")
+    return profile.preview(t, "row")
+
+
+@query("""WITH t AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS place, o_custkey, o_orderstatus, nullif(o_orderpriority, '1-URGENT') AS o_orderpriority FROM orders QUALIFY place <= 5)
+SELECT 'o_custkey' AS column_name, place, o_custkey::VARCHAR AS value FROM t UNION ALL SELECT 'o_orderstatus', place, o_orderstatus FROM t UNION ALL SELECT 'o_orderpriority', place, o_orderpriority FROM t""")
+def column_samples(spark, sf_dir):
+    """The first values of each column, nulls among them."""
+    t = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "nullif(o_orderpriority, '1-URGENT') AS o_orderpriority")
+    return profile.samples(t, "o_orderkey")
+
+
 _PROFILE = """
 SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, (count(*) - count({c})) * 1.0 / count(*) AS null_ratio,
   count(DISTINCT {c}) + CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END AS unique_count,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kilnflow.operators import detectors, diagnose, evaluate, events as ev, leakage, models, prepare, profile, recommend, screening
+from kilnflow.operators import catalog, detectors, diagnose, evaluate, events as ev, leakage, models, prepare, profile, recommend, screening
 from kilnflow.operators.prepare import PARTITION, Range, RefusedError
 from kilnflow.plans.reporting import run_manifest
 from kilnflow.sources import tables
@@ -17,7 +18,12 @@ from kilnflow.sources.tables import ROW_ID
 
 @dataclass(frozen=True)
 class Request:
-    """What to analyse. Without a target, rows are scored by an isolation forest alone.
+    """What to analyse. Rows are scored by the best of ``detectors`` (names in detectors.FITS), with a target by its residuals, too.
+
+    A target whose values look like classes is refused unless ``task`` is
+    REGRESSION. ``description`` and ``industry`` (the user's choice) tell which
+    names mean what; ``roles`` (column, role) win over these. An identifier
+    among the features is a leak.
 
     With a target and ``bounds`` (variable, minimum, maximum), set-points of the
     ``controllable`` features are recommended if the run allows it: the final
@@ -40,6 +46,11 @@ class Request:
     accept: tuple[tuple[str, str, float], ...] = (("test_r2", "MIN", 0.0),)
     direction: str = "MAXIMIZE"
     wanted: float | None = None
+    detectors: tuple[str, ...] = tuple(detectors.FITS)
+    task: str | None = None
+    description: str | None = None
+    industry: str | None = None
+    roles: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass
@@ -83,6 +94,37 @@ def recommended(spark: SparkSession, request: Request, report: Report, train, sc
     return stages
 
 
+def column_facts(df: DataFrame, profiled: DataFrame) -> DataFrame:
+    """What catalog.roles() needs of one table, named data, from its profile; counts of 0 for a table without rows."""
+    types = [("data", i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    known = df.sparkSession.createDataFrame(types, "table_name string, place int, column_name string, dtype string")
+    return known.join(profiled.select("column_name", "row_count", "null_count", "unique_count"), "column_name", "left").fillna(0, ["row_count", "null_count", "unique_count"])
+
+
+def routed(spark: SparkSession, request: Request, report: Report, facts: DataFrame, done: Callable[..., None]) -> DataFrame:
+    """The roles of all columns; the industry, the task and the roles are stages, and a task other than regression on a target is refused."""
+    told = [("data", "file_name", request.path.rstrip("/").rsplit("/", 1)[-1])] + ([("data", "user_description", request.description)] if request.description else [])
+    confirmed = spark.createDataFrame([("data", request.industry)], "table_name string, industry string") if request.industry else None
+    report.results["industry"] = cut(catalog.industries(facts, spark.createDataFrame(told, "table_name string, source string, text string"), confirmed), "industry")
+    industry = report.results["industry"].first()
+    done("INDUSTRY_ROUTING", industry=industry.industry, decision=industry.decision)
+    overrides = spark.createDataFrame([("data", *r) for r in request.roles], "table_name string, column_name string, role string")
+    wrong = catalog.unknown_overrides(facts, overrides).first() if request.roles else None
+    if wrong:
+        raise RefusedError(wrong.reason)
+    report.results["roles"] = mapped = cut(catalog.roles(facts, report.results["industry"], overrides), "roles")
+    if request.target:
+        asked = spark.createDataFrame([("data", None, request.target, request.time)], "table_name string, task string, target string, time_column string")
+        report.results["task"] = cut(catalog.tasks(mapped, asked), "task")
+        found = report.results["task"].first()
+        task = request.task or found.task
+        if task != "REGRESSION":
+            raise RefusedError(found.reason if task is None else f"TASK_{task}")
+        done("TASK_ROUTING", inferred=found.task, task=task, warnings=list(found.warnings))
+    done("ROLE_MAPPING", features=len(request.features))
+    return mapped
+
+
 def run(spark: SparkSession, request: Request) -> Report:
     """Run all stages; a refusal ends the run and is its last stage."""
     report = Report()
@@ -95,7 +137,9 @@ def run(spark: SparkSession, request: Request) -> Report:
         df = tables.load(spark, request.path, [F.col(c) for c in request.order_by])
         done(stage, columns=len(df.columns))
         stage = "PROFILE"
-        report.results["profile"] = profile.column_profile(df.drop(ROW_ID))
+        report.results["profile"] = cut(profile.column_profile(df.drop(ROW_ID)), "profile")
+        report.results["preview"], report.results["samples"] = profile.preview(df, ROW_ID), profile.samples(df, ROW_ID)
+        facts = column_facts(df.drop(ROW_ID), report.results["profile"])
         done(stage)
         stage = "VALIDATE"
         report.results["issues"] = profile.validate(df, (ROW_ID,))
@@ -113,6 +157,8 @@ def run(spark: SparkSession, request: Request) -> Report:
             if df.isEmpty():
                 raise RefusedError("EMPTY_COHORT")
         done(stage)
+        stage = "ROUTING"
+        mapped = routed(spark, request, report, facts, done)
         stage = "SPLIT"
         keep = [ROW_ID, *dict.fromkeys(c for c in [request.time, request.target, *request.features] if c)]
         df = df.select(*keep)
@@ -123,7 +169,7 @@ def run(spark: SparkSession, request: Request) -> Report:
         df = prepare.impute(df, prepare.impute_values(df.filter(F.col(PARTITION) == "train"), dict.fromkeys(request.features, "median")))
         done(stage)
         stage = "LEAKAGE_CHECK"
-        named = spark.createDataFrame([(f, None) for f in request.features], "feature string, role string")
+        named = spark.createDataFrame([(f,) for f in request.features], "feature string").join(mapped.select(F.col("column_name").alias("feature"), "role"), "feature", "left")
         report.results["leakage"] = cut(leakage.check(df, ROW_ID, named, request.target, time=request.time), "leakage")
         try:
             leakage.assert_safe(report.results["leakage"])
@@ -148,17 +194,31 @@ def run(spark: SparkSession, request: Request) -> Report:
             stage = "RESIDUAL_CALIBRATION"
             scored = evaluate.detect(scored, evaluate.calibrate(scored.filter(F.col(PARTITION) == "validation")))
             flag, score = "_is_residual_anomaly", "_residual_anomaly_score"
+            done(stage)
         else:
-            stage = "ANOMALY_MODEL"
-            forest = models.isolation_forest(df, request.features, ROW_ID)
-            scored = df.join(forest.select(ROW_ID, "_anomaly_score", "_is_anomaly"), ROW_ID)
-            flag, score = "_is_anomaly", "_anomaly_score"
-        done(stage)
+            scored, flag, score = df, "_is_anomaly", "_anomaly_score"
+        if request.detectors:
+            stage = "ANOMALY_SCREENING"
+            if not set(request.detectors) <= set(detectors.FITS):
+                raise RefusedError("NO_SUCH_DETECTOR")
+            report.results["detector_screening"], _ = screening.screen_fitted(df, request.features, {d: detectors.FITS[d] for d in request.detectors})
+            chosen = report.results["detector_screening"].filter("error IS NULL").orderBy("rank").first()
+            if chosen is None:
+                raise RefusedError("NO_DETECTOR")
+            done(stage, detector=chosen.model)
+            stage = "ANOMALY_FINAL_EVALUATION"
+            scored, _ = screening.final_fitted(scored, request.features, detectors.FITS[chosen.model])
+            scored = cut(scored, "detected")
+            report.results["detector_final"] = evaluate.score_summary(scored, "_anomaly_score", "_is_anomaly")
+            done(stage)
+        elif not request.target:
+            raise RefusedError("NO_DETECTOR")
         stage = "EVENTS"
         test = scored.filter(F.col(PARTITION) == "test")
         report.results["scored"] = scored
         report.results["summary"] = evaluate.score_summary(scored, score, flag)
-        report.results["events"] = ev.select_events(test, flag, score, ROW_ID, request.max_events)
+        judged = [test.select(ROW_ID, F.col(f).alias("flagged"), F.col(x).alias("score")) for f, x in [(flag, score), *([("_is_anomaly", "_anomaly_score")] if request.target and request.detectors else [])]]
+        report.results["events"] = ev.select_events_of(judged, ROW_ID, request.max_events)
         done(stage)
         stage = "DIAGNOSIS"
         framed = ev.flag_top_if_none(test, flag, score, ROW_ID)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kilnflow.operators.prepare import Range
+from kilnflow.operators import events
+from kilnflow.operators.prepare import PARTITION, Range
 from kilnflow.plans import reporting, workflow
 from kilnflow.sources.tables import ROW_ID
 from kilnflow.streaming.scoring import score_stream, windowed_shift
@@ -37,6 +38,30 @@ def test_workflow_finds_the_injected_rows(spark, process_table, target):
     assert precision / (12 / 180) >= 2.0
     assert report.results["factors"].count() and report.results["context"].count()
     assert report.manifest["run_signature"] == workflow.run(spark, request).manifest["run_signature"]
+    assert {r.model for r in report.results["detector_screening"].filter("error IS NULL").collect()} == {"isolation_forest", "one_class", "elliptic_envelope"}
+    assert {r[PARTITION] for r in report.results["detector_final"].collect()} == {"train", "validation", "test"}
+    names = [s["stage"] for s in report.stages]
+    assert [n for n in names if n in ("INDUSTRY_ROUTING", "TASK_ROUTING", "ROLE_MAPPING", "ANOMALY_SCREENING")] == ["INDUSTRY_ROUTING", *(["TASK_ROUTING"] if target else []), "ROLE_MAPPING", "ANOMALY_SCREENING"]
+    assert report.results["preview"].count() == 20 and report.results["samples"].filter("column_name = 'pressure' AND place = 1").first().value is None
+
+
+def test_workflow_routes_by_names_and_values(spark, process_table):
+    run = lambda features=FEATURES, target="quality", **more: workflow.run(spark, workflow.Request(process_table, ["timestamp"], features, target, "timestamp", detectors=("isolation_forest",), max_events=1, **more))
+    classes = run(FEATURES, "injected")
+    assert (classes.status, classes.stages[-1]["refusal"]) == ("REFUSED", "TASK_CLASSIFICATION") and classes.results["task"].first().reason == "FEW_VALUES"
+    assert run(FEATURES, "injected", task="REGRESSION").stages[-1].get("refusal") != "TASK_CLASSIFICATION"
+    roles = run(roles=(("flow", "IDENTIFIER"),), description="battery cathode and anode")
+    assert roles.stages[-1]["refusal"] == "LEAKAGE" and roles.results["industry"].first().industry == "battery"
+    assert {r.column_name: r.role for r in roles.results["roles"].collect()} == {"timestamp": "TIME", "temperature": "STATE_SENSOR", "pressure": "UNKNOWN", "flow": "IDENTIFIER", "quality": "UNKNOWN", "injected": "UNKNOWN"}
+    assert run(roles=(("gone", "TIME"),)).stages[-1]["refusal"] == "NO_SUCH_COLUMN"
+    assert workflow.run(spark, workflow.Request(process_table, ["timestamp"], FEATURES, detectors=("none",))).stages[-1]["refusal"] == "NO_SUCH_DETECTOR"
+
+
+def test_events_of_many_detectors(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), f"{ROW_ID} long, flagged boolean, score double")
+    sources = [rows((1, True, 1.0), (2, False, 9.0), (1, True, 3.0)), rows((2, True, 2.0), (1, True, 8.0), (3, False, 5.0)), rows((3, True, 4.0), (4, False, 7.0))]
+    got = {r[ROW_ID]: (r.flagged, r.score, r.source) for r in events.select_events_of(sources, most=10, least=10).collect()}
+    assert got == {1: (True, 3.0, 0), 2: (True, 2.0, 1), 3: (True, 4.0, 2), 4: (False, 7.0, 2)}
 
 
 def test_workflow_refuses(spark, process_table):
