@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ LANE_IDS = 128
 #: Steps of all lanes between two checkpoints.
 CHECKPOINT = 64
 END_ID = 0
-#: Bytes of words that a worker remembers in each of two generations, and what a word with its ids takes of them.
+#: Bytes of pieces that a worker remembers in each of two generations, and what a piece with its ids takes of them.
 REMEMBERED, _ENTRY = 64 << 20, 210
 #: Characters of texts that are encoded at a time.
 _SLAB = 1 << 18
@@ -159,103 +158,155 @@ def n_ids_of(tokenizer) -> int:
 
 #: Marks that pre-tokens part from a letter before them.
 _MARKS = ".,;:!?*$%&#|()\""
-
-
+#: Begins a piece without a space before it, and stands between texts; texts that hold either are encoded whole.
+_JOIN, _PART = "\x01", "\x02"
 #: Stands for a word after which a text can't be cut into pieces: it is empty or begins with white space.
 _BAD = False
+#: Characters of the longest piece that is remembered.
+_LONGEST = 64
+#: Pieces that are encoded together.
+_GROUP = 512
 
 
-class _Pieces(dict):
-    """Ids of a space and each word. Words that it doesn't have come from the generation before; new ones get an empty place that is filled when they are learnt."""
+def _of_bytes(text: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(text.encode())] = True
+    return out
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: dict[str, bytearray] = {}
-        self.old: dict[str, bytes | bool] = {}
 
-    def __missing__(self, word: str) -> bytes | bytearray | bool:
-        ids = self.old.get(word)
-        if ids is None:
-            return self.new.setdefault(word, bytearray())
-        self[word] = ids
-        return ids
+_LETTER = _of_bytes("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_MARK, _ENDS = _of_bytes(_MARKS + "\n"), _of_bytes(_MARKS) | _LETTER
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that a byte-level token has for each byte."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(others)) for b in range(256)}
+
 
-    def age(self) -> None:
-        """Start a new generation when this one is full; words that recur move on to it."""
-        if len(self) * _ENTRY > REMEMBERED:
-            self.old = self.copy()
-            self.clear()
+_CHARACTERS = _byte_characters()
+#: The same, but for the space that parts pieces and the sign before some.
+_KEPT_APART = _CHARACTERS | {ord(x): x for x in (" ", _JOIN)}
+_SPACE = _CHARACTERS[ord(" ")]
+
+
+def cut_marks(text: str) -> str:
+    """``text``, which begins with _JOIN, with a space and _JOIN between letters and the mark or line end after them, and between a single line end and a letter.
+
+    Pre-tokens end there, whatever comes before or after. Letters are those of
+    ASCII, Latin-1 and Cyrillic; after others nothing is cut.
+    """
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.flatnonzero(_MARK[data])
+    last, lead = data[at - 1], data[at - 2]
+    accented = (lead == 0xC3) & (last != 0x97) & (last != 0xB7)  # no signs of multiplication and division
+    line = at[data[at] == 10]
+    line = line[line + 1 < len(data)]
+    line = line[_ENDS[data[line - 1]] & _LETTER[data[line + 1]]] + 1
+    at = np.sort(np.concatenate([at[_LETTER[last] | accented | (lead == 0xD0) | (lead == 0xD1)], line]))
+    gap = at + 2 * np.arange(len(at))
+    out, rest = np.empty(len(data) + 2 * len(at), np.uint8), np.ones(len(data) + 2 * len(at), bool)
+    out[gap], out[gap + 1] = ord(" "), ord(_JOIN)
+    rest[gap] = rest[gap + 1] = False
+    out[rest] = data
+    return out.tobytes().decode()
 
 
 class Encoder:
-    """Ids of texts, by the tokenizers library, with words that recur kept in memory.
+    """Ids of texts, by the tokenizers library, with pieces that recur kept in memory.
 
     In a byte-level pre-token a space comes first or among white space only. So
     where each space is followed by a mark that isn't white space, a text is cut
-    before its spaces, and the pieces' ids join to the text's. Other texts, and
-    those with special tokens, are encoded whole. A piece of letters and then
-    plain marks is cut between them as pre-tokens are. New pieces are encoded
-    many at a time, run together; as ids stand for bytes, their lengths tell
-    where each piece's ids end. Tokenizers of any other kind (other models or
-    patterns, normalisers, prefix spaces) get whole texts and nothing is kept.
+    before its spaces, and the pieces' ids join to the text's. They are cut at
+    marks after letters, too, as pre-tokens are, so that a word is learnt once
+    whatever follows it. Other texts, and those with special tokens, are encoded
+    whole. New pieces are encoded many at a time, run together; as ids stand for
+    bytes, their lengths tell where each piece's ids end. Words of letters alone
+    are pre-tokens already and go to the file's model without its pattern.
+    Tokenizers of any other kind (other models or patterns, normalisers, prefix
+    spaces) get whole texts and nothing is kept.
     """
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
         tokenizer = _tokenizer(path)
         self.encode_all = tokenizer.encode_batch_fast
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]  # these are found across pieces
         vocabulary = tokenizer.get_vocab()
-        self.plain = cut_at_spaces(tokenizer)
+        self.plain = cut_at_spaces(tokenizer) and all(x in vocabulary for x in _CHARACTERS.values())  # a byte without an id would be left out
         self.dtype = id_type(n_ids_of(tokenizer))
         self.lengths = np.zeros(n_ids_of(tokenizer), np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # one character of a byte-level token is one byte
-        self.known = _Pieces()
-        self.marks: dict[str, bytes] = {}  # short runs of few characters
+        words = Tokenizer(tokenizer.model)
+        words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.encode_words = words.encode_batch_fast
+        self.known: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
 
+    def _keep(self, words: list[str], ids: list[int], sizes: Iterable[int]) -> None:
+        """``ids`` of words run together, of so many bytes each."""
+        data = np.array(ids, self.dtype)
+        ends = np.searchsorted(np.cumsum(self.lengths[data]), np.cumsum(np.fromiter(sizes, np.int64, len(words))), side="right") * data.itemsize
+        joined, at = data.tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
+            self.known[word] = joined[at:end]
+            at = end
+
     def _together(self, words: list[str]) -> None:
-        """Learn words that end without white space."""
-        groups = [words[at : at + 512] for at in range(0, len(words), 512)]
+        """Learn words, each after a space, that end without white space."""
+        groups = [words[at : at + _GROUP] for at in range(0, len(words), _GROUP)]
         for group, e in zip(groups, self.encode_all([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, self.dtype)
-            sizes = np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1
-            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), side="right") * ids.itemsize).tolist()
-            data = ids.tobytes()
-            self.known.update(zip(group, [data[a:z] for a, z in zip([0, *ends], ends)]))
-
-    def learn(self) -> None:
-        new, self.known.new = self.known.new, {}
-        parts: list[tuple[str, str, str]] = []
-        joined: set[str] = set()
+            self._keep(group, e.ids, (len(w.encode()) + 1 for w in group))
+
+    def _letters(self, words: list[str]) -> None:
+        """Learn words of letters alone, after a space or _JOIN. The library's pattern may know fewer letters than Python beyond Latin-1."""
+        far: list[str] = []
+        for at in range(0, len(words), _GROUP):
+            group = words[at : at + _GROUP]
+            run = " ".join(group)
+            if not run.isascii():
+                if max(run) > "\xff":
+                    far += [w for w in group if max(w) > "\xff"]
+                    group = [w for w in group if max(w) <= "\xff"]
+                    run = " ".join(group)
+                run = run.encode().decode("latin-1").translate(_KEPT_APART)
+            if group:
+                run = (_SPACE + run.replace(" ", " " + _SPACE)).replace(_SPACE + _JOIN, "")
+                self._keep(group, self.encode_words([run], add_special_tokens=False)[0].ids, map(len, run.split(" ")))
+        self._together([w for w in far if w[0] != _JOIN])
+        self._alone([w for w in far if w[0] == _JOIN])
+
+    def _alone(self, words: list[str]) -> None:
+        self.known.update(zip(words, self.whole([w[1:] if w[0] == _JOIN else " " + w for w in words])))
+
+    def learn(self, new: set[str]) -> list[str]:
+        """Learn pieces; gives those that are too long to be remembered."""
+        letters: list[str] = []
+        joined: list[str] = []
         alone: list[str] = []
+        known, get = self.known, self.old.get
         for word in new:
-            if word.isalpha():
-                joined.add(word)
-                continue
-            if not word or word[0].isspace():
-                self.known[word] = _BAD
-                continue
-            stem = word.rstrip(_MARKS)
-            if stem and stem != word and stem[-1].isalpha():
-                parts.append((word, stem, word[len(stem) :]))
-                if stem not in new and stem not in self.known:
-                    joined.add(stem)
-            elif word[-1].isspace():
-                alone.append(word)
+            ids = get(word)
+            if ids is not None:
+                known[word] = ids
+            elif word.isalpha():
+                letters.append(word)
+            elif not word or word[0].isspace():
+                known[word] = _BAD
+            elif word[0] == _JOIN:
+                (letters if word[1:].isalpha() else alone).append(word)
             else:
-                joined.add(word)
-        self._together(list(joined))
-        self.known.update(zip(alone, self.whole([" " + w for w in alone])))
-        if len(self.marks) * _ENTRY > REMEMBERED // 4:
-            self.marks.clear()
-        fresh = [m for m in {mark for _, _, mark in parts} if m not in self.marks]
-        self.marks.update(zip(fresh, self.whole(fresh)))
-        # A stem that is cut itself comes before what it is the stem of.
-        for word, stem, mark in sorted(parts, key=lambda x: len(x[0])):
-            self.known[word] = self.known[stem] + self.marks[mark]  # type: ignore[operator]
+                (alone if word[-1].isspace() else joined).append(word)
+        self._letters(letters)
+        self._together(joined)
+        self._alone(alone)
+        return [w for w in new if len(w) > _LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -265,30 +316,30 @@ class Encoder:
         """The ids of each text, little-endian, as wide as the vocabulary needs."""
         if not self.plain:
             return self.whole(texts)
-        self.known.age()
-        get = self.known.__getitem__
-        cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        first = self.whole([t if words is None else words[0] for t, words in zip(texts, cut)])
-        found = [None if words is None else list(map(get, islice(words, 1, None))) for words in cut]
-        places = self.known.new
-        if places:
-            self.learn()
-            odd = False
-            for word, place in places.items():
-                ids = get(word)
-                if ids is _BAD:
-                    odd = True
-                else:
-                    place[:] = ids
-            if odd:
-                return [a if words is None else self._joined(t, a, map(get, islice(words, 1, None))) for t, a, words in zip(texts, first, cut)]
-        return [a if x is None else self._joined(t, a, x) for t, a, x in zip(texts, first, found)]
-
-    def _joined(self, text: str, first: bytes, ids: Iterable) -> bytes:
-        try:
-            return first + b"".join(ids)
-        except TypeError:  # one is _BAD
-            return self.whole([text])[0]
+        if len(self.known) * _ENTRY > REMEMBERED:  # a new generation; pieces that recur move on to it
+            self.old, self.known = self.known, {}
+        odd = [_JOIN, _PART, *self.special]
+        apart = [any(s in t for s in odd) for t in texts]
+        cut = self._pieced([t for t, x in zip(texts, apart) if not x])
+        whole = iter(self.whole([t for t, x in zip(texts, apart) if x]))
+        return [next(whole) if x else next(cut) for x in apart]
+
+    def _pieced(self, texts: list[str]) -> Iterator[bytes]:
+        words = cut_marks(_JOIN + f" {_PART} {_JOIN}".join(texts)).split(" ")
+        ids = list(map(self.known.get, words))
+        lost = [i for i, x in enumerate(ids) if x is None]
+        long = self.learn({words[i] for i in lost} - {_PART})
+        for i in lost:
+            ids[i] = self.known.get(words[i])
+        for word in long:
+            del self.known[word]
+        at = 0
+        for text, end in zip(texts, [*(i for i in lost if ids[i] is None), len(words)]):  # only _PART is never known
+            try:
+                yield b"".join(ids[at:end])  # type: ignore[arg-type]
+            except TypeError:  # one is _BAD
+                yield self.whole([text])[0]
+            at = end + 1
 
 
 @lru_cache(maxsize=1)
