@@ -37,7 +37,7 @@ LANE_IDS = 128
 CHECKPOINT = 64
 END_ID = 0
 #: Bytes of pieces that a worker remembers in each of two generations, and what a piece with its ids takes of them.
-REMEMBERED, _ENTRY = 64 << 20, 210
+REMEMBERED, _ENTRY = 128 << 20, 210
 #: Characters of texts that are encoded at a time.
 _SLAB = 1 << 18
 
