@@ -72,3 +72,14 @@ def test_proposals(spark):
     ranked = spark.createDataFrame([(2, True, ["x"], {"x": 3.0, "y": 20.0}), (1, False, ["y"], {"x": 2.0, "y": 30.0}), (3, True, ["y"], {"x": 2.0, "y": 0.0})], "rank int, eligible boolean, changed array<string>, values map<string,double>")
     assert [tuple(r) for r in recommend.proposal_of(ranked).collect()] == [(0, "x", 3.0)]
     assert recommend.proposal_of(ranked.filter("NOT eligible")).count() == 0
+
+
+def test_classes_when_minimizing(spark):
+    """Lower is better; also what test_classes asserts after its line on MINIMIZE."""
+    assert verdict(spark, lambda x, y: -x, "MINIMIZE", x=3.0) == (2, 1, "MIXED")  # -2 now, -3 proposed; neighbours -2 and -4
+    assert verdict(spark, lambda x, y: x, "MINIMIZE", x=3.0) == (2, 0, "NOT_IMPROVING")
+    assert verdict(spark, lambda x, y: -x, "MINIMIZE", y=30.0) == (2, 0, "NOT_IMPROVING")
+    assert verdict(spark, lambda x, y: x, "TARGET", 4.0, x=4.0) == (1, 1, "STABLE")
+    lone = spark.createDataFrame([("x", 5.0, False), ("z", 1.0, True)], "variable string, value double, is_current boolean").unionByName(grid(spark).filter("variable = 'y'"))
+    t = recommend.what_if(lone, proposal(spark, x=5.0), by(lambda x, y: F.coalesce(x, F.lit(0.0))), "QUALITY")
+    assert recommend.what_if_verdict(t).first().stability == "NO_NEIGHBORS"
