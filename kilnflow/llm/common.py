@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kilnflow.sources.shared import cut, mark, new_path, release, shared_dir
+from kilnflow.sources.shared import cut, mark, new_path, release, shared_dir, small_batches
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,4 +33,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["SPACE", "SPACE_CHARS", "WORD", "cut", "mark", "n_words", "new_path", "partitions", "release", "shared_dir", "table", "words"]
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "cut", "mark", "n_words", "new_path", "partitions", "release", "shared_dir", "small_batches", "table", "words"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kilnflow.llm.common import cut, mark, partitions, release
+from kilnflow.llm.common import cut, mark, partitions, release, small_batches
 
 LANES = 2048
 #: Frequencies add up to 2 ** PROBABILITY_BITS; states stay at 2 ** 31 and above.
@@ -348,6 +348,12 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _forgetting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task after encoding; workers live on, so what they remember is given back before."""
+    _encoder.cache_clear()
+    yield from batches
+
+
 _CHUNK = "shard int, seq long, ids binary, lengths array<long>, doc_ids array<long>, counts binary"
 
 
@@ -441,7 +447,7 @@ def frequencies(chunks: DataFrame, n_ids: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n_ids, np.int64)
-        for b in batches:
+        for b in _forgetting(batches):
             for x in b.column(0):
                 counts += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
         ids = np.flatnonzero(counts)
@@ -475,7 +481,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table.of(shared.value)
-        for b in batches:
+        for b in _forgetting(batches):
             payload, check = [], []
             for x in b.column(2):
                 ids = np.frombuffer(x.as_py(), dtype).astype("<u4")
@@ -493,7 +499,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     first = placed.select(F.col("shard").alias("c_"), F.col("seq").alias("q_"), (F.col("before") + F.sum("n").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n")).alias("first"))
     first = cut(first, "token-places")
     rows = chunks.join(first, (F.col("shard") == F.col("c_")) & (F.col("seq") == F.col("q_"))).select("shard", "seq", "ids", "lengths", "doc_ids", "first")
-    rows.mapInArrow(run, "shard int, seq long, payload binary, crc32 long, lengths array<long>, doc_ids array<long>, first long").write.parquet(f"{path}/blocks")
+    with small_batches(spark):
+        rows.mapInArrow(run, "shard int, seq long, payload binary, crc32 long, lengths array<long>, doc_ids array<long>, first long").write.parquet(f"{path}/blocks")
     release(began)
 
 
@@ -508,7 +515,7 @@ def read_documents(spark, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table.of(shared.value, bits)
-        for b in batches:
+        for b in _forgetting(batches):
             for k in range(b.num_rows):
                 ids = decode(b.column(0)[k].as_py(), table).astype("<u4")
                 if zlib.crc32(ids) != b.column(1)[k].as_py():

@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that Spark gives to a Python worker at a time. Its buffers, several times that in each task, stay with the executor.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that are run inside give Python workers BATCH_BYTES at a time, or what the session has set."""
+    if spark.conf.get(_BATCH, None) is not None:
+        yield
+        return
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, so that lost executors cost no recomputation before it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
