@@ -38,8 +38,8 @@ CHECKPOINT = 64
 END_ID = 0
 #: Bytes of pieces that a worker remembers in each of two generations, and what a piece with its ids takes of them.
 REMEMBERED, _ENTRY = 128 << 20, 210
-#: Characters of texts that are encoded at a time.
-_SLAB = 1 << 18
+#: Characters of texts that the library gets at a time, and of texts whose pieces are looked up at a time.
+_SLAB, _TOGETHER = 1 << 18, 1 << 22
 
 
 def id_type(n_ids: int) -> str:
@@ -84,18 +84,25 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES) -> bytes:
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
     written = 0
-    shift, bits = np.uint64(63 - table.bits), np.uint64(table.bits)
+    shift = np.uint64(63 - table.bits)
     for step in range(steps - 1, -1, -1):
-        symbols = ids[step * lanes : (step + 1) * lanes]
-        live = state[: len(symbols)]
-        f, s = table.freq[symbols], table.start[symbols]
-        spill = (live >> shift) >= f
-        if spill.any():
-            words.append(live[spill].astype(np.uint32))
-            written += len(words[-1])
-            live = np.where(spill, live >> np.uint64(32), live)
-        q = live // f
-        state[: len(symbols)] = (q << bits) + (live - q * f) + s
+        if step == steps - 1 or step % CHECKPOINT == CHECKPOINT - 1:  # what the ids of the steps up to a checkpoint need
+            base = (step - step % CHECKPOINT) * lanes
+            symbols = ids[base : (step + 1) * lanes]
+            freq, start = table.freq[symbols], table.start[symbols]
+            most, rest = freq << shift, np.uint64(1 << table.bits) - freq
+        here = slice(step * lanes - base, (step + 1) * lanes - base)
+        live = state[: len(freq[here])]
+        spill = np.flatnonzero(live >= most[here])
+        if len(spill):
+            out = live[spill]
+            words.append(out.astype(np.uint32))
+            written += len(spill)
+            live[spill] = out >> np.uint64(32)
+        q = live // freq[here]
+        q *= rest[here]
+        live += q  # (q << bits) + live % freq
+        live += start[here]
         if step and step % CHECKPOINT == 0:
             marks.append((written, state.copy()))
     stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
@@ -191,13 +198,13 @@ _KEPT_APART = _CHARACTERS | {ord(x): x for x in (" ", _JOIN)}
 _SPACE = _CHARACTERS[ord(" ")]
 
 
-def cut_marks(text: str) -> str:
-    """``text``, which begins with _JOIN, with a space and _JOIN between letters and the mark or line end after them, and between a single line end and a letter.
+def cut_marks(text: bytes) -> np.ndarray:
+    """The bytes of ``text``, which begins with _JOIN, with a space and _JOIN between letters and the mark or line end after them, and between a single line end and a letter.
 
     Pre-tokens end there, whatever comes before or after. Letters are those of
     ASCII, Latin-1 and Cyrillic; after others nothing is cut.
     """
-    data = np.frombuffer(text.encode(), np.uint8)
+    data = np.frombuffer(text, np.uint8)
     at = np.flatnonzero(_MARK[data])
     last, lead = data[at - 1], data[at - 2]
     accented = (lead == 0xC3) & (last != 0x97) & (last != 0xB7)  # no signs of multiplication and division
@@ -210,7 +217,15 @@ def cut_marks(text: str) -> str:
     out[gap], out[gap + 1] = ord(" "), ord(_JOIN)
     rest[gap] = rest[gap + 1] = False
     out[rest] = data
-    return out.tobytes().decode()
+    return out
+
+
+def distinct(data: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct pieces of UTF-8 that spaces end, in the order of their first, and which of them each piece is."""
+    starts = np.concatenate([[0], np.flatnonzero(data == ord(" ")) + 1])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+    run = coded.dictionary.buffers()[2].to_pybytes().decode()
+    return run.split(" ")[: len(coded.dictionary)], coded.indices.to_numpy()
 
 
 class Encoder:
@@ -247,36 +262,41 @@ class Encoder:
         self.old: dict[str, bytes | bool] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        held: list[str] = []
+        chars = 0
+        for k, text in enumerate(texts, 1):
+            held.append(text)
+            chars += len(text)
+            if chars >= _SLAB or k == len(texts):
+                out += [np.array(e.ids, self.dtype).tobytes() for e in self.encode_all(held, add_special_tokens=False)]
+                held, chars = [], 0
+        return out
 
     def _keep(self, words: list[str], ids: list[int], sizes: Iterable[int]) -> None:
         """``ids`` of words run together, of so many bytes each."""
         data = np.array(ids, self.dtype)
         ends = np.searchsorted(np.cumsum(self.lengths[data]), np.cumsum(np.fromiter(sizes, np.int64, len(words))), side="right") * data.itemsize
-        joined, at = data.tobytes(), 0
-        for word, end in zip(words, ends.tolist()):
-            self.known[word] = joined[at:end]
-            at = end
+        joined, ends = data.tobytes(), ends.tolist()
+        self.known.update(zip(words, [joined[at:end] for at, end in zip([0, *ends], ends)]))
 
     def _together(self, words: list[str]) -> None:
         """Learn words, each after a space, that end without white space."""
-        groups = [words[at : at + _GROUP] for at in range(0, len(words), _GROUP)]
-        for group, e in zip(groups, self.encode_all([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            self._keep(group, e.ids, (len(w.encode()) + 1 for w in group))
+        for at in range(0, len(words), _GROUP):
+            group = words[at : at + _GROUP]
+            self._keep(group, self.encode_all([" " + " ".join(group)], add_special_tokens=False)[0].ids, (len(w.encode()) + 1 for w in group))
 
     def _letters(self, words: list[str]) -> None:
         """Learn words of letters alone, after a space or _JOIN. The library's pattern may know fewer letters than Python beyond Latin-1."""
-        far: list[str] = []
-        for at in range(0, len(words), _GROUP):
-            group = words[at : at + _GROUP]
-            run = " ".join(group)
-            if not run.isascii():
-                if max(run) > "\xff":
-                    far += [w for w in group if max(w) > "\xff"]
-                    group = [w for w in group if max(w) <= "\xff"]
-                    run = " ".join(group)
-                run = run.encode().decode("latin-1").translate(_KEPT_APART)
-            if group:
+        wide = [w for w in words if not w.isascii()]
+        near = [w for w in wide if max(w) <= "\xff"]
+        far = [w for w in wide if max(w) > "\xff"] if len(near) < len(wide) else []
+        for some in ([w for w in words if w.isascii()], near):
+            for at in range(0, len(some), _GROUP):
+                group = some[at : at + _GROUP]
+                run = " ".join(group)
+                if some is near:
+                    run = run.encode().decode("latin-1").translate(_KEPT_APART)
                 run = (_SPACE + run.replace(" ", " " + _SPACE)).replace(_SPACE + _JOIN, "")
                 self._keep(group, self.encode_words([run], add_special_tokens=False)[0].ids, map(len, run.split(" ")))
         self._together([w for w in far if w[0] != _JOIN])
@@ -285,7 +305,7 @@ class Encoder:
     def _alone(self, words: list[str]) -> None:
         self.known.update(zip(words, self.whole([w[1:] if w[0] == _JOIN else " " + w for w in words])))
 
-    def learn(self, new: set[str]) -> list[str]:
+    def learn(self, new: list[str]) -> list[str]:
         """Learn pieces; gives those that are too long to be remembered."""
         letters: list[str] = []
         joined: list[str] = []
@@ -320,26 +340,31 @@ class Encoder:
             self.old, self.known = self.known, {}
         odd = [_JOIN, _PART, *self.special]
         apart = [any(s in t for s in odd) for t in texts]
-        cut = self._pieced([t for t, x in zip(texts, apart) if not x])
+        plain = [t for t, x in zip(texts, apart) if not x]
+        cut = self._pieced(plain) if plain else iter(())
         whole = iter(self.whole([t for t, x in zip(texts, apart) if x]))
         return [next(whole) if x else next(cut) for x in apart]
 
     def _pieced(self, texts: list[str]) -> Iterator[bytes]:
-        words = cut_marks(_JOIN + f" {_PART} {_JOIN}".join(texts)).split(" ")
+        """Each distinct piece is looked up once; Arrow joins the pieces' ids."""
+        words, which = distinct(cut_marks(b"".join([f"{_JOIN}{t} {_PART} ".encode() for t in texts])))
         ids = list(map(self.known.get, words))
         lost = [i for i, x in enumerate(ids) if x is None]
-        long = self.learn({words[i] for i in lost} - {_PART})
+        long = self.learn([words[i] for i in lost if words[i] != _PART])
         for i in lost:
             ids[i] = self.known.get(words[i])
         for word in long:
             del self.known[word]
-        at = 0
-        for text, end in zip(texts, [*(i for i in lost if ids[i] is None), len(words)]):  # only _PART is never known
-            try:
-                yield b"".join(ids[at:end])  # type: ignore[arg-type]
-            except TypeError:  # one is _BAD
-                yield self.whole([text])[0]
-            at = end + 1
+        bad = np.array([x is _BAD for x in ids])
+        parts = np.array([w == _PART for w in words])
+        joined = pa.array([x or b"" for x in ids], pa.large_binary()).take(pa.array(which))
+        offsets, data = np.frombuffer(joined.buffers()[1], np.int64, len(which) + 1), memoryview(joined.buffers()[2] or b"")
+        ends = np.flatnonzero(parts[which])
+        odd = np.zeros(len(ends), bool)
+        odd[np.searchsorted(ends, np.flatnonzero(bad[which]))] = True
+        starts = np.append(0, ends[:-1])  # _PART has no ids
+        for text, whole, at, end in zip(texts, odd.tolist(), offsets[starts].tolist(), offsets[ends].tolist()):
+            yield self.whole([text])[0] if whole else data[at:end].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -374,7 +399,7 @@ def pieces(text: str, special: list[str], most: int = 0) -> list[str]:
 
 
 def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, int | None, bytes]]:
-    """(whether it is a document's last part, doc_id, ids) in order; texts are encoded a slab at a time."""
+    """(whether it is a document's last part, doc_id, ids) in order; texts are encoded some _TOGETHER characters at a time."""
     gc.freeze()  # the words that a worker remembers hold no cycles
     for b in batches:
         held: list[str] = []
@@ -387,7 +412,7 @@ def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tu
                 held.append(part)
                 owner.append((k == len(parts) - 1, doc_id))
                 chars += len(part)
-                if chars >= _SLAB:
+                if chars >= _TOGETHER:
                     yield from ((*o, ids) for o, ids in zip(owner, encoder.narrow(held)))
                     held, owner, chars = [], [], 0
         yield from ((*o, ids) for o, ids in zip(owner, encoder.narrow(held)))
