@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from kilnflow.operators import forests
 from kilnflow.operators.prepare import PARTITION
 from kilnflow.sources.shared import cut
 
@@ -28,7 +29,9 @@ def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 1.0):
 
 
 def forest_regressor(df: DataFrame, features: list[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42):
-    return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed).fit(assemble(df, features))
+    """Rows are added up by cell where they lie in few, see forests.py; else Spark's forest passes over the rows."""
+    forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
+    return forests.fit(df, forest, features, target, classes=False) or forest.fit(assemble(df, features))
 
 
 def logistic(df: DataFrame, features: list[str], target: str, c: float = 1.0):
