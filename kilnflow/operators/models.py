@@ -40,7 +40,9 @@ def logistic(df: DataFrame, features: list[str], target: str, c: float = 1.0):
 
 
 def forest_classifier(df: DataFrame, features: list[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42):
-    return RandomForestClassifier(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(assemble(df, features))
+    """As forest_regressor(); each split is among a random square root of the features, as Spark's 'auto' has it."""
+    forest = RandomForestClassifier(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt" if trees > 1 else "all", seed=seed)
+    return forests.fit(df, forest, features, target, classes=True) or forest.fit(assemble(df, features))
 
 
 def predict(model, df: DataFrame, features: list[str], name: str = "p") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def grid(spark):
     return spark.createDataFrame(rows, "id long, a double, b double, y double, noisy double, label double").cache()
 
 
-@pytest.mark.parametrize("kind, fit, target", [(RandomForestRegressor, models.forest_regressor, "noisy")])
+@pytest.mark.parametrize("kind, fit, target", [(RandomForestRegressor, models.forest_regressor, "noisy"), (RandomForestClassifier, models.forest_classifier, "label")])
 def test_no_tree_passes_over_the_rows(spark, grid, small, monkeypatch, kind, fit, target):
     given, plain = [], kind._fit
     monkeypatch.setattr(kind, "_fit", lambda self, df: (given.append(df.count()), plain(self, df))[1])
@@ -36,14 +37,14 @@ def test_a_target_that_follows_from_the_cell_is_met(grid, small):
     assert out.filter(F.abs(F.col("p") - F.col("y")) > 1e-9).count() == 0
 
 
-def test_noisy_means_equal_those_of_a_forest_of_the_rows(grid, small, monkeypatch):
-    cells = grid.groupBy("a", "b").agg(F.avg("noisy").alias("mean"))
-    by = lambda m: {(r.a, r.b): r.p for r in models.predict(m, cells, ["a", "b"]).select("a", "b", "p").collect()}
-    new = by(models.forest_regressor(grid, ["a", "b"], "noisy", trees=10))
+def test_noisy_means_and_classes_equal_those_of_a_forest_of_the_rows(grid, small, monkeypatch):
+    cells = grid.groupBy("a", "b").agg(F.avg("noisy").alias("mean"), F.avg("label").alias("share"))
+    by = lambda m, c: {(r.a, r.b): r.p for r in models.predict(m, cells, ["a", "b"]).select("a", "b", "p").collect()}
+    new = by(models.forest_regressor(grid, ["a", "b"], "noisy", trees=10), "mean"), by(models.forest_classifier(grid, ["a", "b"], "label", trees=10), "share")
     monkeypatch.setattr(forests, "LEAST_ROWS", 1 << 40)
-    old = by(models.forest_regressor(grid, ["a", "b"], "noisy", trees=10))
-    gaps = [abs(new[k] - old[k]) for k in old]
-    assert len(gaps) == 64 and max(gaps) < 0.25  # a mean of 10 bootstraps of 100 rows varies by some 0.03
+    old = by(models.forest_regressor(grid, ["a", "b"], "noisy", trees=10), "mean"), by(models.forest_classifier(grid, ["a", "b"], "label", trees=10), "share")
+    gaps = [abs(new[0][k] - old[0][k]) for k in old[0]]
+    assert len(gaps) == 64 and max(gaps) < 0.25 and new[1] == old[1]  # a mean of 10 bootstraps of 100 rows varies by some 0.03
 
 
 def bags(spark, rows):
