@@ -7,6 +7,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from kilnflow.operators import forests, models
+from kilnflow.operators.prepare import PARTITION
 
 
 @pytest.fixture
@@ -94,3 +95,12 @@ def test_rare_values_and_ties_keep_their_bins(spark):
     rows = spark.createDataFrame([(0.0 if i % 10 else float(i), float(i % 5)) for i in range(5000)] + [(0.0, 99.0)], "x0 double, x1 double")
     ties, few = forests._limits(rows, [500, 6])
     assert few == (0.5, 1.5, 2.5, 3.5, 51.5) and 10 <= len(ties) < forests.BINS and list(ties) == sorted(set(ties))
+
+
+def test_screening_fits_its_forest_on_cells(grid, small, monkeypatch):
+    given, plain = [], RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, df: (given.append(df.count()), plain(self, df))[1])
+    parts = grid.withColumn(PARTITION, F.when(F.col("id") < 3840, "train").when(F.col("id") < 5120, "validation").otherwise("test"))
+    out = {r.model: r for r in models.screen(parts, {"linear": models.linear, "forest": lambda t, f, y: models.forest_regressor(t, f, y, trees=3)}, ["a", "b"], "noisy").collect()}
+    assert given and max(given) <= 64
+    assert {r.error for r in out.values()} == {None} and out["forest"]["rank"] == 1 and out["forest"].rmse < 1.2 < out["linear"].rmse
